@@ -86,3 +86,33 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 WHITE = re.compile(r"[\x20\x09-\x0D]+")
+
+
+BITMAP_BITS = 32768  # what bitmap_construct_agg holds in one binary of 4 KiB
+
+
+def _slot(key, bits: int):
+    return F.pmod(F.xxhash64(key), F.lit(1 << bits)) + F.lit(1)
+
+
+def key_filter(keys: DataFrame, column: str, bits: int = 23) -> DataFrame:
+    """A bitmap of 2^bits bits (1 MiB by default, whatever the input) with a bit set for every key; to be broadcast."""
+    slot = _slot(F.col(column), bits)
+    return (
+        keys.select(F.bitmap_bucket_number(slot).alias("__bucket"), F.bitmap_bit_position(slot).alias("__bit"))
+        .groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__bitmap"))
+    )
+
+
+def maybe_in(rows: DataFrame, column: str, bitmap: DataFrame, bits: int = 23) -> DataFrame:
+    """Rows whose key may be in the key_filter: all that are, few others. No row is shuffled."""
+    slot = _slot(F.col(column), bits)
+    joined = rows.withColumns({"__bucket": F.bitmap_bucket_number(slot), "__bit": F.bitmap_bit_position(slot)}).join(F.broadcast(bitmap), "__bucket")
+    byte = F.conv(F.hex(F.substring("__bitmap", F.shiftright(F.col("__bit"), 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return joined.withColumn("__byte", byte).filter("shiftright(__byte, cast(__bit % 8 as int)) & 1 = 1").drop("__bucket", "__bit", "__bitmap", "__byte")
+
+
+def salted_lookup(rows: DataFrame, unique: DataFrame, key: str, spread: str, how: str = "left", salts: int = 16) -> DataFrame:
+    """rows joined with `unique` (one row a key), a hot key's rows being spread over `salts` tasks by the column `spread`."""
+    many = unique.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("__salt", salt_of(spread, n=salts)).join(many, [key, "__salt"], how).drop("__salt")

@@ -23,7 +23,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
-BITS_PER_BITMAP = 32768  # what bitmap_construct_agg holds in one binary of 4 KiB
 
 
 def normalised(text: Column) -> Column:
@@ -32,7 +31,7 @@ def normalised(text: Column) -> Column:
 
 def _keys(docs: DataFrame, id_col: str, text_col: str, prefix: int) -> DataFrame:
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("raw"))
-    rows = rows.select("id", F.length("raw").cast("long").alias("n_points"), normalised(F.col("raw")).alias("norm"))
+    rows = rows.select("id", F.length("raw").cast("long").alias("n_points"), F.xxhash64("raw").alias("text_key"), normalised(F.col("raw")).alias("norm"))
     return rows.withColumns({
         "n_norm": F.length("norm").cast("long"),
         "prefix_hash": F.xxhash64(F.substring("norm", 1, prefix)),
@@ -63,7 +62,7 @@ def exact_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     prefix: int = 64, bits: int = 23, salts: int = 32, digest_all: bool = False,
 ) -> DataFrame:
-    """One row per input row: id_col, keep_id, group_size, kept, text_sha256.
+    """One row per input row: id_col, keep_id, group_size, kept, text_sha256, text_key (xxhash64 of the text, null as empty).
 
     text_sha256 is the SHA-256 of the normalised text; without digest_all it is null for rows that the refinement
     showed to be unique before their full content was read.
@@ -81,7 +80,7 @@ def exact_groups(
     )
     full = F.sha2(F.encode("norm", "UTF-8"), 256)
     rows = rows.select(
-        "id", "n_points", "n_norm", "prefix_hash", "through",
+        "id", "text_key", "n_points", "n_norm", "prefix_hash", "through",
         (full if digest_all else F.when(F.col("through"), full)).alias("full_hash"),
     )
     group = ["n_norm", "prefix_hash", "full_hash"]
@@ -97,13 +96,13 @@ def exact_groups(
     return joined.select(
         F.col("id").alias(id_col), keep.alias("keep_id"),
         F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
-        F.col("id").eqNullSafe(keep).alias("kept"), F.col("full_hash").alias("text_sha256"),
+        F.col("id").eqNullSafe(keep).alias("kept"), F.col("full_hash").alias("text_sha256"), "text_key",
     )
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return exact_groups(docs, digest_all=True)
+    return exact_groups(docs, digest_all=True).drop("text_key")
 
 
 ORACLE_SQL = r"""

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from cairnwork.llm import bpe, exact_dedup, packing, repetition, warc
+import corpus_pipeline
+from cairnwork.llm import bpe, exact_dedup, html_extract, langid, minhash, packing, repetition, suffix_dedup, warc
 
 QUERIES = {
+    "op1_html": html_extract.op1_html,
+    "op3_langid": langid.op3_langid,
     "op4_bpe": bpe.op4_bpe,
+    "op5_minhash": minhash.op5_minhash,
     "op6_packing": packing.op6_packing,
     "op7_repetition": repetition.op7_repetition,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_warc": warc.op10_warc,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {

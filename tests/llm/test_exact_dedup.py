@@ -25,7 +25,7 @@ def test_cases_against_brute_force(spark):
     ]
     docs = spark.createDataFrame([(*r, 1, 2, "x") for r in rows], SCHEMA)
     found = exact_groups(docs, digest_all=True, prefix=2, bits=15)
-    assert sorted([tuple(r) for r in found.collect()], key=str) == brute(rows)
+    assert sorted([tuple(r)[:5] for r in found.collect()], key=str) == brute(rows)
 
 
 def test_only_survivors_are_hashed(spark):
