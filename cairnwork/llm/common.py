@@ -37,12 +37,45 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def filesystem(uri: str):
+    """(file system, path) of a folder in the shared storage, as pyarrow knows it; local paths without a scheme too."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri.removeprefix('file:')}")
+
+
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write df as a table in the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    Each task attempt writes a Parquet file of its own name and reports it; just the files that successful attempts
+    reported are read, so what failed or repeated attempts leave behind does no harm. The files are written by the
+    Python workers: on a file system without Hadoop's native library the JVM would start a process for each file.
+    """
     spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = shared_path(spark, name)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet as pq
+
+        out = path = None
+        fs, base = filesystem(folder)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if out is None:
+                fs.create_dir(base, recursive=True)
+                path = f"part-{uuid.uuid4().hex}.parquet"
+                out = pq.ParquetWriter(f"{base}/{path}", batch.schema, filesystem=fs, compression=codec, use_dictionary=False)
+            out.write_batch(batch)
+        if out is not None:
+            out.close()
+            trim()
+            yield pa.RecordBatch.from_arrays([pa.array([path])], names=["path"])
+
+    paths = sorted(f"{folder}/{r['path']}" for r in df.mapInArrow(write, "path string").collect())
+    if not paths:
+        return spark.createDataFrame([], df.schema)
+    return spark.read.schema(df.schema).parquet(*paths)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +91,17 @@ def salt_of(*cols: str, n: int = 32):
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
 
 
+def trim() -> None:
+    """Give freed memory back to the system, so that a worker kept for its next task holds little meanwhile."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Split Arrow batches so that `column` has about max_bytes in each slice (a longer row goes alone)."""
     for batch in batches:
@@ -72,6 +116,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 <<
                 total, start = 0, i
             total += size
         yield batch.slice(start)
+        del batch
+        trim()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

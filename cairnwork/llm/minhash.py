@@ -4,13 +4,12 @@
    `TREES * STEP` minima. Documents with equal sets form one class, found by aggregation; only classes go on.
 2. The forest: tree t sorts the signatures in an order of its own, which begins at minimum t * STEP and goes round.
    In each sorted order the classes that share their first STEP minima form a region. Regions of one are dropped.
-3. Candidates are neighbours by longest common prefix. First, next neighbours in the regions of `FIRST_TREES` trees.
-   Once these are confirmed and components are known, further rounds over all trees pair each class outside a
+3. Candidates are neighbours by longest common prefix. First, next neighbours in every tree's regions. Once these are confirmed and components are known, further rounds over all trees pair each class outside a
    region's largest component with the `reach` nearest classes of other components on either side. A region with
    more than `block` classes is cut, while it streams by, where its neighbours' common prefix is shortest: dense
    regions are so explored at a greater depth, memory is bounded, and candidates stay linear in the classes.
-4. A pair whose signatures agree in fewer than `THRESHOLD - 5 standard errors` of the minima is dropped; all others
-   are confirmed on the full sets of hashed shingles, which are computed again for just the classes concerned (a
+4. Each row of a region has a sketch, the last four bits of each minimum. A pair whose sketches agree in fewer places
+   than a similarity at the threshold would give, less five standard errors, is dropped; all others are confirmed on the full sets of hashed shingles, which are computed again for just the classes concerned (a
    broadcast bitmap of fixed size lets through their rows).
 5. Components of confirmed links are taken by star contraction; every row gets its class's component.
 
@@ -37,7 +36,6 @@ from cairnwork.llm import common
 from cairnwork.llm.components import components
 
 TREES, STEP, DEPTH = 32, 4, 12
-FIRST_TREES = 8
 SIZE = TREES * STEP
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _factors = np.random.default_rng(20).integers(0, 1 << 63, SIZE).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -142,71 +140,87 @@ def _regions(orders: DataFrame) -> DataFrame:
     return orders.repartition(parts, "region").sortWithinPartitions("region", "key", "cid").mapInArrow(run, "region long, key binary, tree int, cid long")
 
 
+def _sketches(classes: DataFrame) -> DataFrame:
+    """(cid, sketch): the last four bits of each minimum."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low = (np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u4").reshape(-1, SIZE) & 15).astype(np.uint8)
+            packed = low[:, ::2] << 4 | low[:, 1::2]
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array([x.tobytes() for x in packed], pa.binary())], names=["cid", "sketch"])
+
+    return classes.select("cid", "sig").mapInArrow(run, "cid long, sketch binary")
+
+
+_agree = np.array([(x >> 4 == 0) + (x & 15 == 0) for x in range(256)], np.uint8)  # halves of a byte that are equal, by xor
+
+
+def likely(sketches: np.ndarray, pairs: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs of rows the sketches do not rule out."""
+    expected = threshold + (1 - threshold) / 16
+    least = expected - 5 * (expected * (1 - expected) / SIZE) ** 0.5
+    return _agree[sketches[pairs[:, 0]] ^ sketches[pairs[:, 1]]].sum(axis=1) >= least * SIZE
+
+
 def _common_prefix(a: bytes, b: bytes) -> int:
     return next((i for i, (x, y) in enumerate(zip(a, b, strict=True)) if x != y), len(a))
 
 
-def region_pairs(cids: np.ndarray, labels: np.ndarray, reach: int) -> Iterator[tuple[int, int]]:
-    """Pairs of one region in sorted order: next neighbours for reach 0, else those of classes outside its largest component."""
+def region_pairs(labels: np.ndarray, reach: int) -> list[tuple[int, int]]:
+    """Pairs of places in one region in sorted order: neighbours for reach 0, else those of places outside its largest component."""
     if reach == 0:
-        yield from zip(cids[:-1].tolist(), cids[1:].tolist(), strict=True)
-        return
+        return [(i, i + 1) for i in range(len(labels) - 1)]
     names, counts = np.unique(labels, return_counts=True)
-    if len(names) == 1:
-        return
-    largest = names[counts.argmax()]
-    for i in np.flatnonzero(labels != largest).tolist():
-        for side in (1, -1):
-            got, j = 0, i + side
-            while 0 <= j < len(cids) and got < reach and abs(j - i) < 4 * reach:
-                if labels[j] != labels[i]:
-                    got += 1
-                    yield int(cids[i]), int(cids[j])
-                j += side
-
-
-def _pairs(regions: DataFrame, reach: int, block: int = 4096) -> DataFrame:
-    """Candidate pairs (a < b) from rows (region, key, cid, label)."""
+    out = []
+    if len(names) > 1:
+        for i in np.flatnonzero(labels != names[counts.argmax()]).tolist():
+            for side in (1, -1):
+                got, j = 0, i + side
+                while 0 <= j < len(labels) and got < reach and abs(j - i) < 4 * reach:
+                    if labels[j] != labels[i]:
+                        got += 1
+                        out.append((i, j))
+                    j += side
+    return out
+
+
+def _pairs(regions: DataFrame, reach: int, threshold: float, block: int = 4096) -> DataFrame:
+    """Candidate pairs (a < b) from rows (region, key, cid, label, sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            cids, labels = np.array([r[2] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64)
-            found = {(min(p), max(p)) for p in region_pairs(cids, labels, reach)}
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+        def found(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+            pairs = region_pairs(np.array([r[3] for r in rows], np.int64), reach) if len(rows) > 1 else []
+            if pairs:
+                sketches = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
+                keep = likely(sketches, np.array(pairs), threshold)
+                yield from ((min(rows[i][2], rows[j][2]), max(rows[i][2], rows[j][2])) for (i, j), k in zip(pairs, keep.tolist(), strict=True) if k)
+
+        def out(pairs: set) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["a", "b"])
 
+        pairs: set[tuple[int, int]] = set()
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("region", "key", "cid", "label")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("region", "key", "cid", "label", "sketch")), strict=True):
                 if held and row[0] != held[-1][0]:
-                    yield out(held)
+                    pairs.update(found(held))
                     held = []
                 held.append(row)
                 if len(held) == block:  # go deeper: cut where the common prefix is shortest
                     half = block // 2
                     cut = min(range(half, block), key=lambda i: _common_prefix(held[i - 1][1], held[i][1]))
-                    yield out(held[:cut])
+                    pairs.update(found(held[:cut]))
                     held = held[cut - 1 if reach == 0 else cut :]
-        if held:
-            yield out(held)
+            if len(pairs) > 100_000:
+                yield out(pairs)
+                pairs = set()
+        pairs.update(found(held))
+        yield out(pairs)
 
     parts = common.shuffle_partitions(regions.sparkSession)
-    return regions.repartition(parts, "region").sortWithinPartitions("region", "key", "cid").mapInArrow(run, "a long, b long").distinct()
-
-
-def _likely(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
-    """Pairs whose signatures do not rule out the threshold."""
-    least = threshold - 5 * (threshold * (1 - threshold) / SIZE) ** 0.5
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(i, 4096) for i in range(0, batch.num_rows, 4096)):
-                x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), "<u4").reshape(-1, SIZE) for c in ("sig_a", "sig_b"))
-                keep = pa.array((x == y).mean(axis=1) >= least)
-                yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep)], names=["a", "b"])
-
-    a, b = (signed.select(F.col("cid").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "ab")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    columns = ["region", "key", "cid", "label", "sketch"]
+    return regions.select(*columns).repartition(parts, "region").sortWithinPartitions("region", "key", "cid").mapInArrow(run, "a long, b long").distinct()
 
 
 def _sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
@@ -255,16 +269,18 @@ def near_duplicates(
     )
     regions = common.materialize(_regions(_orders(classes)), "regions")
     active = common.materialize(classes.join(regions.select("cid").distinct(), "cid", "left_semi"), "active")
-    sets = common.materialize(_sets(rows, active, words), "sets")
-    found = None
-    labels = None
+    sets = common.materialize(_sets(rows, active.select("cid", "id"), words), "sets")
+    places = common.materialize(regions.join(_sketches(active), "cid"), "places")
+    found = labels = tried = None
     for reach in (0, *reaches):
         if labels is None:
-            ordered = regions.filter(F.col("tree") < FIRST_TREES).withColumn("label", F.col("cid"))
+            ordered = places.withColumn("label", F.col("cid"))
         else:
-            ordered = regions.join(labels, regions["cid"] == labels["node"], "left").select("region", "key", "cid", F.coalesce("label", "cid").alias("label"))
-        pairs = _pairs(ordered, reach)
-        links = common.materialize(_confirmed(_likely(pairs, active, percent / 100), sets, percent), "confirmed")
+            ordered = places.join(labels, places["cid"] == labels["node"], "left").withColumn("label", F.coalesce("label", "cid"))
+        pairs = _pairs(ordered, reach, percent / 100)
+        pairs = common.materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = common.materialize(_confirmed(pairs, sets, percent), "confirmed")
         found = links if found is None else found.unionByName(links)
         labels = components(found)
     joined = classes.join(labels, classes["cid"] == labels["node"], "left").select("cid", "id", "size", F.coalesce("label", "cid").alias("label"), F.col("label").isNotNull().alias("linked"))

@@ -43,13 +43,6 @@ def _arrow(schema: str) -> pa.Schema:
     return pa.schema([(n, kinds[k]) for n, k in (f.split() for f in schema.split(", "))])
 
 
-def _filesystem(uri: str):
-    """(file system, path) of a folder; local paths without a scheme too."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri.removeprefix('file:')}")
-
-
 def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -103,7 +96,7 @@ def write_archives(typed: DataFrame, folder: str, max_archive_bytes: int = 256 <
     schema = _arrow(INDEX_SCHEMA)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = _filesystem(folder)
+        fs, base = common.filesystem(folder)
         out = name = None
         offset = 0
         try:
@@ -180,7 +173,7 @@ def read_records(
     dealt = keyed.repartition(parts, "archive", "section").sortWithinPartitions("archive", "offset")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = _filesystem(folder)
+        fs, base = common.filesystem(folder)
         for batch in batches:
             rows = batch.to_pylist()
             start = 0

@@ -77,9 +77,9 @@ def test_hot_family(spark):
 
 def test_blocks_of_a_region_keep_neighbours(spark):
     rows = [(1, bytes([i // 8, i % 8] * 8), i, i) for i in range(50)]
-    df = spark.createDataFrame([(a, bytearray(b), c, d) for a, b, c, d in rows], "region long, key binary, cid long, label long")
-    whole = {tuple(x) for x in minhash._pairs(df, 0).collect()}
-    assert whole == {tuple(x) for x in minhash._pairs(df, 0, block=8).collect()} == {(i, i + 1) for i in range(49)}
+    df = spark.createDataFrame([(a, bytearray(b), c, d, bytearray(64)) for a, b, c, d in rows], "region long, key binary, cid long, label long, sketch binary")
+    whole = {tuple(x) for x in minhash._pairs(df, 0, 0.8).collect()}
+    assert whole == {tuple(x) for x in minhash._pairs(df, 0, 0.8, block=8).collect()} == {(i, i + 1) for i in range(49)}
 
 
 def test_table_against_brute_force(spark, sf_dir):
@@ -92,8 +92,9 @@ def test_empty_table(spark):
 
 def test_components(spark):
     links = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (101, 100), (7, 7), (200, 150), (150, 120), (None, 3)]
-    got = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == {**{i: 1 for i in range(1, 61)}, 100: 100, 101: 100, 120: 120, 150: 120, 200: 120}
+    for few in (0, 1000):
+        got = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long"), few=few).collect()}
+        assert got == {**{i: 1 for i in range(1, 61)}, 100: 100, 101: 100, 120: 120, 150: 120, 200: 120}
 
 
 def test_jaccard_bounds():

@@ -40,7 +40,7 @@ def test_small_payloads_are_responses_and_selection_reads_only_those(spark):
 def test_archives_are_gzip_members_that_any_reader_opens(spark):
     df = spark.createDataFrame([(1, "u", "<p>x</p>"), (2, "v", "<p>x</p>")], "page_id long, url string, html string")
     index, folder = warc.archive_pages(spark, df)
-    fs, base = warc._filesystem(folder)
+    fs, base = common.filesystem(folder)
     whole = b"".join(gzip.decompress(fs.open_input_file(f"{base}/{a}").read()) for a in sorted({r.archive for r in index.collect()}))
     assert whole.count(b"WARC/1.1\r\n") == 2 and whole.count(b"WARC-Type: revisit") == 1
 
