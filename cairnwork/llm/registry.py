@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from cairnwork.llm import bpe, exact_dedup, html_extract, langid, minhash, packing, repetition, suffix_dedup, warc
+from cairnwork.llm import bpe, chaining, exact_dedup, html_extract, langid, minhash, packing, repetition, suffix_dedup, warc
 
 QUERIES = {
     "op1_html": html_extract.op1_html,
+    "op2_chaining": chaining.op2_chaining,
     "op3_langid": langid.op3_langid,
     "op4_bpe": bpe.op4_bpe,
     "op5_minhash": minhash.op5_minhash,
