@@ -6,21 +6,24 @@ A byte goes if it lies in a string of `LENGTH` bytes that also starts anywhere e
    WINDOW positions. It depends on that string alone, so equal strings have their anchors at equal distances, and
    only suffixes at anchors (about two in WINDOW positions) need sorting. Anchors whose GRAM bytes occur once in the
    corpus are dropped by counting them.
-2. Sorted runs. Each task sorts the suffixes (LENGTH bytes) at its anchors, drops equal ones but marks them, and cuts
-   the run at splitters, front-coded: an entry is the length it shares with the one before, and the rest.
+2. Sorted runs. Each task sorts the suffixes (LENGTH bytes) at its anchors; equal ones are one entry with several
+   places. The run is cut at splitters and front-coded: an entry is the length it shares with the one before, and the
+   rest. A place is (document, position, starts it stands for, the bytes before it that those starts cover).
 3. Merge. Each range of the sort order is merged by a loser tree that keeps, for every run, the length that its head
    shares with the last output. Heads are compared by these lengths; bytes are compared only on a tie and only
-   beyond the known common prefix. The result is, for each suffix, the longest prefix it shares with any other
-   (its neighbours in the suffix array; at a range's ends the splitter stands in, which can only lengthen it).
+   beyond the known common prefix. For each suffix this gives the longest prefix it shares with any other (its
+   neighbours in the suffix array; at a range's ends the splitter stands in, which can only lengthen it).
 4. A string that starts d bytes before an anchor can repeat only if the anchor's suffix shares LENGTH - d bytes with
-   another. What the sort leaves is confirmed by 128-bit hashes: first whole stretches around an anchor, then, for the
-   rest and one stretch of each repeated kind that shares a gram with it, blocks of BLOCK starts by the bytes they
-   have in common, then single strings in the blocks that are left.
-5. Starts that were confirmed are marked, and the marked bytes of every document removed.
+   another. The strings that the sort leaves stand next to each other in it, by anchors of one gram, and are compared
+   by 64-bit hashes as the group goes by. Equal stretches are confirmed as they come and one is held. A group of more
+   than GROUP different stretches, or one that a splitter cuts, is not held: its strings go to a table and are counted there in three steps that aggregate before they shuffle: whole
+   stretches around an anchor; then, for the rest and one stretch of each repeated kind that shares a gram with it,
+   blocks of BLOCK starts by the bytes they have in common; then single strings in the blocks that are left.
+5. Confirmed starts are marked, and the marked bytes of every document removed.
 
-Counts aggregate before they are shuffled, lookups of hot keys are salted, splitters come from a bounded sample of
-SAMPLE suffixes for each range, which bears on balance alone. Texts travel compressed and only for documents with
-an anchor left. Steps are written to the shared folder.
+Splitters come from a bounded sample of SAMPLE suffixes for each range, which bears on balance alone. Lookups of
+counts are plain sort-merge joins of narrow rows, which adaptive execution splits where a key is hot. Texts travel
+compressed and only for documents with an anchor left. Steps are written to the shared folder.
 
 Cases: a null text is empty. Rows are documents: a row given twice repeats itself and loses every byte that is in a
 LENGTH-byte string. Texts shorter than LENGTH bytes stay whole. Very long texts are hashed alone; a run of one byte
@@ -46,40 +49,32 @@ WINDOW = 320
 GRAM = LENGTH - WINDOW + 1
 BLOCK = 16
 SAMPLE = 32
-RUN_BYTES = 24 << 20
-_bases = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)]
+GROUP = 4000
+RUN_BYTES = 12 << 20
+RANGE_BYTES = 8 << 20
+BASE = 0x9E3779B97F4A7C15
 _values = np.random.default_rng(9).integers(0, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: list[list[np.ndarray]] = []
+_powers: list[np.ndarray] = []
 
 
-def _power(n: int) -> list[list[np.ndarray]]:
-    """For each base its powers, and those of its inverse, up to n."""
-    if not _powers or len(_powers[0][0]) < n:
-        _powers.clear()
-        for b in _bases:
-            inverse = np.uint64(pow(int(b), -1, 1 << 64))
-            _powers.append([np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, x)))) for x in (b, inverse)])
+def _power(n: int) -> list[np.ndarray]:
+    """Powers of the base, and of its inverse, up to n at least."""
+    if not _powers or len(_powers[0]) < n:
+        ones = (np.uint64(BASE), np.uint64(pow(BASE, -1, 1 << 64)))
+        _powers[:] = [np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, x)))) for x in ones]
     return _powers
 
 
 class Hashes:
     """Hashes of any stretch of some bytes."""
 
-    def __init__(self, data: np.ndarray, both: bool = True):
-        powers = _power(len(data) + 1)
-        values = _values[data]
-        self.sums, self.back = [], []
-        for up, down in powers[: 1 + both]:
-            total = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(values * up[: len(data)], out=total[1:])
-            self.sums.append(total)
-            self.back.append(down)
+    def __init__(self, data: np.ndarray):
+        up, self.back = _power(len(data) + 1)
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_values[data] * up[: len(data)], out=self.sums[1:])
 
-    def of(self, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
-        return common.mix64((self.sums[which][end] - self.sums[which][start]) * self.back[which][start])
-
-    def pair(self, start: np.ndarray, end: np.ndarray) -> list[pa.Array]:
-        return [pa.array(self.of(start, end, i).view(np.int64)) for i in (0, 1)]
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return common.mix64((self.sums[end] - self.sums[start]) * self.back[start])
 
 
 def find_anchors(data: np.ndarray, bounds: np.ndarray, length: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -88,7 +83,7 @@ def find_anchors(data: np.ndarray, bounds: np.ndarray, length: int, window: int)
     last = len(data) - length
     if last < 0:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-    h = Hashes(data, both=False)
+    h = Hashes(data)
     at = np.arange(len(data) - gram + 1)
     grams = h.of(at, at + gram)
     low = np.uint64(0xFFFFFFFF)
@@ -118,35 +113,54 @@ def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
     return n - (x.bit_length() + 7) // 8
 
 
-def front_code(entries: list[tuple[bytes, bool, bytes]]) -> bytes:
-    """A sorted stretch of a run: shared lengths, lengths of the rests, repeat marks, keys of 16 bytes, the rests."""
+class Place:
+    """Where a suffix stands: its document, position, the distances of the nearest and farthest start, the bytes before."""
+
+    __slots__ = ("at", "before", "doc", "far", "near")
+
+    def __init__(self, doc: int, at: int, near: int, far: int, before: bytes):
+        self.doc, self.at, self.near, self.far, self.before = doc, at, near, far, before
+
+
+def front_code(entries: list[tuple[bytes, list[Place]]]) -> bytes:
+    """A sorted stretch of a run: shared lengths, rests' lengths, numbers of places, the places, then all bytes."""
     import zstandard
 
     shared = [0, *(common_prefix(a[0], b[0]) for a, b in zip(entries, entries[1:]))]
     rests = [e[0][n:] for e, n in zip(entries, shared, strict=True)]
-    head = np.array([len(entries)], "<u4").tobytes() + np.array([shared, [len(r) for r in rests]], "<u2").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(
-        head + bytes(e[1] for e in entries) + b"".join(e[2] for e in entries) + b"".join(rests)
-    )
+    places = [p for _, ps in entries for p in ps]
+    head = np.array([len(entries), len(places)], "<u4").tobytes() + np.array([shared, [len(r) for r in rests]], "<u2").tobytes()
+    head += np.array([len(ps) for _, ps in entries], "<u4").tobytes() + np.array([p.doc for p in places], "<i8").tobytes()
+    head += np.array([p.at for p in places], "<i8").tobytes() + np.array([[p.near for p in places], [p.far for p in places]], "<u2").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(rests) + b"".join(p.before for p in places))
 
 
-def front_decode(block: bytes) -> Iterator[tuple[int, bytes, bool, bytes]]:
-    """(shared with the one before, entry, mark, key) in order, one at a time."""
+def front_decode(block: bytes) -> Iterator[tuple[int, bytes, list[Place]]]:
+    """(shared with the one before, entry, places) in order, one at a time."""
     import zstandard
 
     data = zstandard.ZstdDecompressor().decompress(block)
-    n = int.from_bytes(data[:4], "little")
-    shared, sizes = np.frombuffer(data, "<u2", 2 * n, 4).reshape(2, n).tolist()
-    marks, keys = 4 + 4 * n, 4 + 5 * n
-    at, before = keys + 16 * n, b""
+    n, m = np.frombuffer(data, "<u4", 2).tolist()
+    at = 8
+    columns = []
+    for kind, size, count in (("<u2", 2, n), ("<u2", 2, n), ("<u4", 4, n), ("<i8", 8, m), ("<i8", 8, m), ("<u2", 2, m), ("<u2", 2, m)):
+        columns.append(np.frombuffer(data, kind, count, at).tolist())
+        at += size * count
+    shared, sizes, counts, docs, positions, near, far = columns
+    left, entry, k = at + sum(sizes), b"", 0
     for i in range(n):
-        before = before[: shared[i]] + data[at : at + sizes[i]]
+        entry = entry[: shared[i]] + data[at : at + sizes[i]]
         at += sizes[i]
-        yield shared[i], before, bool(data[marks + i]), data[keys + 16 * i : keys + 16 * i + 16]
+        places = []
+        for j in range(k, k + counts[i]):
+            places.append(Place(docs[j], positions[j], near[j], far[j], data[left : left + far[j]]))
+            left += far[j]
+        k += counts[i]
+        yield shared[i], entry, places
 
 
-def loser_tree(runs: list[Iterator[tuple[int, bytes, bool, bytes]]]) -> Iterator[tuple[int, bytes, bool, bytes]]:
-    """Merge sorted front-coded runs: (shared with the last output, entry, mark, key) in order.
+def loser_tree(runs: list[Iterator[tuple[int, bytes, object]]]) -> Iterator[tuple[int, bytes, object]]:
+    """Merge sorted front-coded runs: (shared with the last output, entry, places) in order.
 
     Every run's head has the length that it shares with the last output. Of two heads the one that shares more is the
     smaller; bytes are compared on a tie only, beyond that length, and the loser keeps the length found.
@@ -178,8 +192,8 @@ def loser_tree(runs: list[Iterator[tuple[int, bytes, bool, bytes]]]) -> Iterator
         winners[node], losers[node] = play(winners[2 * node], winners[2 * node + 1])
     best = winners[1] if k > 1 else 0
     while heads[best] is not None:
-        _, entry, mark, key = heads[best]
-        yield shares[best], entry, mark, key
+        _, entry, places = heads[best]
+        yield shares[best], entry, places
         heads[best] = next(runs[best], None)
         shares[best] = -1 if heads[best] is None else heads[best][0]
         node = (best + k) // 2
@@ -188,20 +202,77 @@ def loser_tree(runs: list[Iterator[tuple[int, bytes, bool, bytes]]]) -> Iterator
             node //= 2
 
 
-def longest_shared(merged: Iterator[tuple[int, bytes, bool, bytes]], low: bytes | None, high: bytes | None) -> Iterator[tuple[bytes, int]]:
-    """(key, longest prefix shared with another suffix) of each distinct entry between the splitters low and high."""
-    before: tuple[bytes, bytes, int] | None = None  # entry, key, longest so far
-    for n, entry, mark, key in merged:
+def longest_shared(merged: Iterator[tuple[int, bytes, list[Place]]], low: bytes | None, high: bytes | None) -> Iterator[tuple[int, bytes, int, list[Place]]]:
+    """(shared with the one before, entry, longest prefix shared with another suffix, places) of each distinct entry.
+
+    low and high are the splitters around the range.
+    """
+    before: tuple[int, bytes, int, list[Place]] | None = None
+    for n, entry, places in merged:
         if before is None:
             n = common_prefix(low, entry) if low is not None else 0
-        elif n == len(entry) == len(before[0]):  # the same suffix in another run
-            before = (before[0], before[1], n)
+        elif n == len(entry) == len(before[1]):  # the same suffix in another run
+            before = (before[0], entry, n, [*before[3], *places])
             continue
         else:
-            yield before[1], max(before[2], n)
-        before = (entry, key, len(entry) if mark else n)
+            yield before[0], before[1], max(before[2], n), before[3]
+        before = (n, entry, len(entry) if len(places) > 1 else n, places)
     if before is not None:
-        yield before[1], max(before[2], common_prefix(before[0], high) if high is not None else 0)
+        yield before[0], before[1], max(before[2], common_prefix(before[1], high) if high is not None else 0), before[3]
+
+
+class Stretch:
+    """The strings that start near to far bytes before an anchor, and their bytes."""
+
+    __slots__ = ("at", "bytes", "doc", "far", "near", "whole")
+
+    def __init__(self, entry: bytes, shared: int, p: Place, length: int):
+        self.doc, self.at, self.far, self.near = p.doc, p.at, p.far, max(p.near, length - shared)
+        self.whole = self.near == p.near  # the sort has ruled out none of its strings
+        self.bytes = p.before + entry[: length - self.near]
+
+
+class Group:
+    """The stretches of one gram as they come: equal ones are confirmed at once, and one of each kind is held."""
+
+    def __init__(self) -> None:
+        self.kinds: dict[tuple[bytes, int], list] = {}  # the first of its kind, and whether there were more
+
+    def add(self, x: Stretch) -> Iterator[tuple[int, int, int]]:
+        """(doc, first, last): ranges of starts that this one confirms."""
+        kind = self.kinds.get((x.bytes, x.near))
+        if kind is None:
+            self.kinds[x.bytes, x.near] = [x, False]
+            return
+        if not kind[1]:
+            kind[1] = True
+            yield kind[0].doc, kind[0].at - x.far, kind[0].at - x.near
+        yield x.doc, x.at - x.far, x.at - x.near
+
+    def strings(self, length: int) -> Iterator[tuple[int, int, int]]:
+        """Ranges of starts, of stretches alone in their kind, whose strings are in another kind as well."""
+        one = [kind[0] for kind in self.kinds.values()]
+        if len(one) < 2:
+            return
+        bounds = np.concatenate(([0], np.cumsum([len(x.bytes) for x in one])))
+        near, far = np.array([x.near for x in one]), np.array([x.far for x in one])
+        counts = far - near + 1
+        which = np.repeat(np.arange(len(one)), counts)
+        step = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
+        start = bounds[which] + step
+        h = Hashes(np.frombuffer(b"".join(x.bytes for x in one), np.uint8)).of(start, start + length)
+        distance = far[which] - step
+        keys = common.mix64(h + distance.astype(np.uint64))
+        order = np.argsort(keys)
+        same = keys[order][1:] == keys[order][:-1]
+        twice = np.zeros(len(keys), bool)
+        twice[order[1:][same]] = True
+        twice[order[:-1][same]] = True
+        edge = np.flatnonzero(np.concatenate(([True], (twice[1:] != twice[:-1]) | (which[1:] != which[:-1]), [True])))
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            x = one[which[a]]
+            if twice[a] and not self.kinds[x.bytes, x.near][1]:
+                yield x.doc, x.at - int(distance[a]), x.at - int(distance[b - 1])
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, with_others: bool = False) -> DataFrame:
@@ -214,80 +285,61 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, with_others: bool = False
 
 
 def _anchors(rows: DataFrame, length: int, window: int) -> DataFrame:
-    """(doc, at, first, last, gram): anchors with the first and last start that they stand for."""
+    """(doc, place, gram): anchors, place packing position, farthest and nearest start as at << 24 | far << 12 | near."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, "text", 1 << 20):
+        for batch in common.slices(batches, "text", 1 << 18):
             texts = [t.encode() for t in batch.column("text").to_pylist()]
             bounds = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
             at, first, last, gram = find_anchors(np.frombuffer(b"".join(texts), np.uint8), bounds, length, window)
             text = np.searchsorted(bounds, at, "right") - 1
-            start = bounds[text]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc").take(pa.array(text)), *(pa.array((x - start).astype(np.int32)) for x in (at, first, last)), pa.array(gram.view(np.int64))],
-                names=["doc", "at", "first", "last", "gram"],
-            )
+            place = (at - bounds[text]) << 24 | (at - first) << 12 | (at - last)
+            yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(text)), pa.array(place), pa.array(gram.view(np.int64))], names=["doc", "place", "gram"])
 
-    return rows.filter(F.octet_length("text") >= length).select("doc", "text").mapInArrow(run, "doc long, at int, first int, last int, gram long")
+    return rows.filter(F.octet_length("text") >= length).select("doc", "text").mapInArrow(run, "doc long, place long, gram long")
 
 
-def repeated(rows: DataFrame, keys: list[str], spread: list[str]) -> DataFrame:
-    """Rows whose key occurs in two rows or more. Counted with partial aggregation, looked up by salted keys."""
-    salts = 16
+def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose key occurs in two rows or more; counts aggregate before they are shuffled."""
     twice = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").drop("__n")
-    twice = twice.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("__salt", common.salt_of(*spread, n=salts)).join(twice, [*keys, "__salt"], "left_semi").drop("__salt")
+    return rows.join(common.materialize(twice, "twice"), keys, "left_semi")
 
 
-def _with_texts(rows: DataFrame, anchors: DataFrame, columns: list[str]) -> DataFrame:
-    """(doc, packed, anchors): the compressed text of each document that has anchors, and these."""
+def _packed(rows: DataFrame, lists: DataFrame) -> DataFrame:
+    """(doc, packed, list): the compressed text of each document that has a list."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        packer = zstandard.ZstdCompressor(level=1)
+        packer = zstandard.ZstdCompressor(level=3)
         for batch in common.slices(batches, "text"):
             packed = pa.array([packer.compress(t.encode()) for t in batch.column("text").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc"), packed], names=["doc", "packed"])
 
-    lists = anchors.groupBy("doc").agg(F.collect_list(F.struct(*columns)).alias("anchors"))
     some = common.maybe_in(rows.select("doc", "text"), "doc", common.key_filter(lists, "doc"))
     return some.mapInArrow(pack, "doc long, packed binary").join(lists, "doc")
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[int, bytes, list[np.ndarray]]]:
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes, pa.Array]]:
     import zstandard
 
     unpack = zstandard.ZstdDecompressor()
     for batch in common.slices(batches, "packed", 1 << 20):
-        for doc, packed, anchors in zip(batch.column("doc").to_pylist(), batch.column("packed"), batch.column("anchors"), strict=True):
-            found = anchors.values
-            yield doc, unpack.decompress(packed.as_py()), [found.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns]
-
-
-def _keyed(texts: DataFrame, length: int) -> DataFrame:
-    """Every anchor with hashes of its suffix and of the stretch of all strings that it stands for."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc, data, (at, first, last, gram) in _unpacked(batches, ["at", "first", "last", "gram"]):
-            h = Hashes(np.frombuffer(data, np.uint8))
-            n = len(at)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, doc, np.int64)), *(pa.array(x.astype(np.int32)) for x in (at, first, last)), pa.array(gram),
-                 *h.pair(at, np.minimum(at + length, len(data))), *h.pair(first, last + length)],
-                names=["doc", "at", "first", "last", "gram", "s1", "s2", "h1", "h2"],
-            )
+        for doc, packed, listed in zip(batch.column("doc").to_pylist(), batch.column("packed"), batch.column("list"), strict=True):
+            yield doc, unpack.decompress(packed.as_py()), listed.values
 
-    return texts.mapInArrow(run, "doc long, at int, first int, last int, gram long, s1 long, s2 long, h1 long, h2 long")
 
+def _splitters(texts: DataFrame, length: int, gram: int, ranges: int) -> list[bytes]:
+    """Splitters of the sort order from the SAMPLE * ranges suffixes of the least hashes.
 
-def _splitters(texts: DataFrame, length: int, ranges: int) -> list[bytes]:
-    """Splitters of the sort order from the SAMPLE * ranges suffixes of the least hashes."""
+    One stands before a whole group of one gram, but inside if its neighbour does too: that group fills a range.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         most, held = SAMPLE * ranges, {}
-        for _, data, (at,) in _unpacked(batches, ["at"]):
-            h = Hashes(np.frombuffer(data, np.uint8), both=False).of(at, np.minimum(at + length, len(data)))
+        for _, data, places in _unpacked(batches):
+            at = places.to_numpy() >> 24
+            h = Hashes(np.frombuffer(data, np.uint8)).of(at, np.minimum(at + length, len(data)))
             for p, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True):
                 held[x] = data[p : p + length]
             if len(held) > 4 * most:
@@ -297,7 +349,9 @@ def _splitters(texts: DataFrame, length: int, ranges: int) -> list[bytes]:
 
     sample = texts.mapInArrow(run, "h long, suffix binary").orderBy("h").limit(SAMPLE * ranges).select("suffix")
     found = sorted({bytes(r["suffix"]) for r in sample.collect()})
-    return sorted({found[len(found) * i // ranges] for i in range(1, ranges)}) if found else []
+    cuts = sorted({found[len(found) * i // ranges] for i in range(1, ranges)}) if found else []
+    near = [{x[:gram] for x in cuts[max(0, i - 1) : i] + cuts[i + 1 : i + 2]} for i in range(len(cuts))]
+    return [s if s[:gram] in others else s[:gram] for s, others in zip(cuts, near, strict=True)]
 
 
 def _runs(texts: DataFrame, length: int, splitters: list[bytes]) -> DataFrame:
@@ -305,7 +359,7 @@ def _runs(texts: DataFrame, length: int, splitters: list[bytes]) -> DataFrame:
     cuts = texts.sparkSession.sparkContext.broadcast(splitters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, list] = {}
+        held: dict[bytes, list[Place]] = {}
         size = 0
 
         def out() -> pa.RecordBatch:
@@ -315,22 +369,23 @@ def _runs(texts: DataFrame, length: int, splitters: list[bytes]) -> DataFrame:
             for i, end in enumerate(ends):
                 if end > start:
                     names.append(i)
-                    blocks.append(front_code([(s, *held[s]) for s in order[start:end]]))
+                    blocks.append(front_code([(s, held[s]) for s in order[start:end]]))
                     start = end
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blocks, pa.binary())], names=["range", "block"])
 
-        for _, data, (at,) in _unpacked(batches, ["at"]):
-            h = Hashes(np.frombuffer(data, np.uint8))
-            end = np.minimum(at + length, len(data))
-            keys = np.stack([h.of(at, end, 0), h.of(at, end, 1)], axis=1).tobytes()
-            for i, p in enumerate(at.tolist()):
-                s = data[p : p + length]
-                if s in held:
-                    held[s][0] = True
+        for doc, data, places in _unpacked(batches):
+            for x in places.to_pylist():
+                at, far, near = x >> 24, x >> 12 & 4095, x & 4095
+                place = Place(doc, at, near, far, data[at - far : at])
+                suffix = data[at : at + length]
+                same = held.get(suffix)
+                if same is None:
+                    held[suffix] = [place]
+                    size += len(suffix) + 100
                 else:
-                    held[s] = [False, keys[16 * i : 16 * i + 16]]
-                    size += len(s)
+                    same.append(place)
+                size += far + 150
             if size > RUN_BYTES:
                 yield out()
                 size = 0
@@ -339,61 +394,83 @@ def _runs(texts: DataFrame, length: int, splitters: list[bytes]) -> DataFrame:
     return texts.mapInArrow(run, "range int, block binary")
 
 
-def _merged(runs: DataFrame, splitters: list[bytes]) -> DataFrame:
-    """(s1, s2, shared): for each distinct suffix the longest prefix that it shares with another."""
+def _merged(runs: DataFrame, splitters: list[bytes], length: int, gram: int, most: int) -> DataFrame:
+    """Rows of two kinds: (doc, first, last) of confirmed starts, and, for groups not held, their stretches."""
     cuts = runs.sparkSession.sparkContext.broadcast(splitters)
+    kinds = [("doc", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("gram", pa.int64()), ("at", pa.int64()), ("near", pa.int32()), ("far", pa.int32()), ("whole", pa.bool_()), ("bytes", pa.binary())]
 
-    def merge(number: int, blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def merge(number: int, blocks: list[bytes]) -> Iterator[dict]:
         low = cuts.value[number - 1] if number else None
         high = cuts.value[number] if number < len(cuts.value) else None
-        keys, shared = [], []
-
-        def out() -> pa.RecordBatch:
-            pair = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
-            made = pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(shared, pa.int32())], names=["s1", "s2", "shared"])
-            keys.clear()
-            shared.clear()
-            return made
-
-        for key, n in longest_shared(loser_tree([front_decode(b) for b in blocks]), low, high):
-            keys.append(key)
-            shared.append(n)
-            if len(keys) == 20_000:
-                yield out()
-        yield out()
+        group = Group()
+        name, kept_back = 0, False  # of the group; whether its strings go to the table
+
+        def let_go() -> Iterator[dict]:
+            """One stretch of each kind, and a second where there were more, which makes its strings count as repeated."""
+            for x, more in group.kinds.values():
+                row = {"doc": x.doc, "gram": name, "at": x.at, "near": x.near, "far": x.far, "whole": x.whole, "bytes": x.bytes}
+                yield row
+                if more:
+                    yield row | {"at": -1 - x.at}
+            group.kinds.clear()
+
+        def close() -> Iterator[dict]:
+            if kept_back:
+                yield from let_go()
+            else:
+                for doc, first, last in group.strings(length):
+                    yield {"doc": doc, "first": first, "last": last}
+            group.kinds.clear()
+
+        entry = None
+        for n, entry, shared, places in longest_shared(loser_tree([front_decode(b) for b in blocks]), low, high):
+            if n < gram or not name:
+                yield from close()
+                name = int.from_bytes(hashlib.blake2b(entry[:gram], digest_size=8).digest(), "big", signed=True) or 1
+                kept_back = n >= gram  # the splitter below cuts it
+            if shared >= gram:
+                for p in places:
+                    x = Stretch(entry, shared, p, length)
+                    if x.near <= x.far:
+                        for doc, first, last in group.add(x):
+                            yield {"doc": doc, "first": first, "last": last}
+                if len(group.kinds) > most:
+                    kept_back = True
+                    yield from let_go()
+        if entry is not None and high is not None and common_prefix(entry, high) >= gram:
+            kept_back = True
+        yield from close()
+
+    def batched(found: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for r in found:
+            rows.append(r)
+            size += 100 + len(r.get("bytes", b""))
+            if size > 1 << 20:
+                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(kinds))
+                rows, size = [], 0
+        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, blocks = None, []
         for batch in batches:
             for i, block in zip(batch.column("range").to_pylist(), batch.column("block").to_pylist(), strict=True):
                 if i != number and blocks:
-                    yield from merge(number, blocks)
+                    yield from batched(merge(number, blocks))
                     blocks = []
+                    common.trim()
                 number = i
                 blocks.append(block)
         if blocks:
-            yield from merge(number, blocks)
+            yield from batched(merge(number, blocks))
+        common.trim()
 
     dealt = runs.repartition(len(splitters) + 1, "range").sortWithinPartitions("range")
-    return dealt.mapInArrow(run, "s1 long, s2 long, shared int")
-
-
-def _stretches(texts: DataFrame, length: int) -> DataFrame:
-    """(doc, at, near, far, bytes): the bytes of the strings that start near to far bytes before an anchor."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc, data, (at, near, far) in _unpacked(batches, ["at", "near", "far"]):
-            bits = [data[p - f : p - n + length] for p, n, f in zip(at.tolist(), near.tolist(), far.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(at), doc, np.int64)), *(pa.array(x.astype(np.int32)) for x in (at, near, far)), pa.array(bits, pa.binary())],
-                names=["doc", "at", "near", "far", "bytes"],
-            )
-
-    return texts.mapInArrow(run, "doc long, at int, near int, far int, bytes binary")
+    return dealt.mapInArrow(run, "doc long, first long, last long, gram long, at long, near int, far int, whole boolean, bytes binary")
 
 
 def _pieces(stretches: DataFrame, length: int, step: int) -> DataFrame:
-    """(doc, at, d, k1, k2): for each block of `step` distances d, d+1, ... the bytes that all its strings have in common.
+    """(doc, at, d, key): for each block of `step` distances d, d+1, ... the bytes that all its strings have in common.
 
     With step 1 these are the strings themselves. near and far are distances from the anchor.
     """
@@ -411,54 +488,50 @@ def _pieces(stretches: DataFrame, length: int, step: int) -> DataFrame:
             start, end = anchor - d, anchor - d + length - step + 1
             take = pa.array(which)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc").take(take), batch.column("at").take(take), pa.array(d.astype(np.int32)), *h.pair(np.maximum(start, bounds[which]), end)],
-                names=["doc", "at", "d", "k1", "k2"],
+                [batch.column("doc").take(take), batch.column("at").take(take), pa.array(d.astype(np.int32)), pa.array(h.of(start, end).view(np.int64))],
+                names=["doc", "at", "d", "key"],
             )
 
-    return stretches.mapInArrow(run, "doc long, at int, d int, k1 long, k2 long")
+    return stretches.select("doc", "at", "near", "far", "bytes").mapInArrow(run, "doc long, at long, d int, key long")
 
 
-def repeated_starts(docs: DataFrame, length: int = LENGTH, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """((doc, first, last): ranges of starts of strings that occur elsewhere; (doc, packed, anchors): the documents concerned)."""
-    spark = docs.sparkSession
-    rows = docs
+def _counted(stretches: DataFrame, length: int) -> DataFrame:
+    """(doc, first, last) of the starts in a table of stretches whose strings occur twice in it."""
     step = min(BLOCK, length // 2)
-    anchors = common.materialize(_anchors(rows, length, window), "anchors")
-    left = repeated(anchors, ["gram"], ["doc", "at"])
-    texts = common.materialize(_with_texts(rows, left, ["at", "first", "last", "gram"]), "texts")
-    keyed = common.materialize(_keyed(texts, length), "keyed")
-
-    splitters = _splitters(texts, length, common.shuffle_partitions(spark))
-    shared = common.materialize(_merged(_runs(texts, length, splitters), splitters), "shared")
-    salts = 16
-    many = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    sorted_ = keyed.withColumn("salt", common.salt_of("doc", "at", n=salts)).join(many, ["s1", "s2", "salt"])
-    able = sorted_.withColumns({"near": F.greatest(F.col("at") - F.col("last"), F.lit(length) - F.col("shared")), "far": F.col("at") - F.col("first")})
-    able = common.materialize(able.filter("near <= far").select("doc", "at", "first", "last", "near", "far", "gram", "h1", "h2"), "able")
-
-    # whole stretches that occur twice; near > at - last says that the sort has ruled out the nearest strings
-    stretch = ["h1", "h2", "spans", "back"]
-    marked = able.withColumns({"spans": F.col("last") - F.col("first"), "back": F.col("at") - F.col("last")})
-    whole = common.materialize(repeated(marked.filter("near = back"), stretch, ["doc", "at"]), "whole")
-    rest = able.join(whole.select("doc", "at").distinct(), ["doc", "at"], "left_anti").select("doc", "at", "near", "far", "gram")
-    rest = common.materialize(rest, "rest")
+    hashed = stretches.withColumn("key", F.xxhash64("bytes"))
+    whole = common.materialize(repeated(hashed.filter("whole"), ["gram", "key", "near", "far"]), "whole")
+    rest = hashed.join(whole.select("doc", "at").distinct(), ["doc", "at"], "left_anti")
     # strings of the rest may also equal some in a whole stretch: one of each kind stands in for those
-    kinds = whole.groupBy(*stretch).agg(F.min(F.struct("doc", "at", "near", "far", "gram")).alias("one")).select("one.*")
-    rest = rest.unionByName(kinds.join(rest.select("gram").distinct(), "gram", "left_semi"))
-    stretches = common.materialize(_stretches(_with_texts(rows, rest, ["at", "near", "far"]), length), "stretches")
-
-    blocks = repeated(_pieces(stretches, length, step), ["k1", "k2", "d"], ["doc", "at"]).select("doc", "at", "d").distinct()
-    narrowed = stretches.join(blocks, ["doc", "at"])
+    kinds = whole.groupBy("gram", "key", "near", "far").agg(F.min(F.struct("doc", "at")).alias("one")).select("gram", "one.*")
+    kinds = kinds.join(rest.select("gram").distinct(), "gram", "left_semi").select("doc", "at")
+    columns = ["doc", "at", "near", "far", "bytes"]
+    some = common.materialize(rest.select(*columns).unionByName(whole.join(kinds, ["doc", "at"], "left_semi").select(*columns)), "stretches")
+    blocks = repeated(_pieces(some, length, step), ["key", "d"]).select("doc", "at", "d").distinct()
     near, far = F.greatest("near", "d"), F.least("far", F.col("d") + step - 1)
     cut = F.substring("bytes", (F.col("far") - far + 1).cast("int"), (far - near + length).cast("int"))
-    narrowed = narrowed.select("doc", "at", near.alias("near"), far.alias("far"), cut.alias("bytes"))
-    single = repeated(_pieces(narrowed, length, 1), ["k1", "k2", "d"], ["doc", "at"])
-    single = single.select("doc", (F.col("at") - F.col("d")).alias("first"), (F.col("at") - F.col("d")).alias("last"))
-    return whole.select("doc", "first", "last").unionByName(single), texts.select("doc", "packed")
+    narrowed = some.join(blocks, ["doc", "at"]).select("doc", "at", near.alias("near"), far.alias("far"), cut.alias("bytes"))
+    single = repeated(_pieces(narrowed, length, 1), ["key", "d"])
+    single = single.select("doc", (F.col("at") - F.col("d")).alias("first"), (F.col("at") - F.col("d")).alias("last"), "at")
+    found = whole.select("doc", (F.col("at") - F.col("far")).alias("first"), (F.col("at") - F.col("near")).alias("last"), "at")
+    return found.unionByName(single).filter("at >= 0").drop("at")
+
+
+def repeated_starts(rows: DataFrame, length: int = LENGTH, window: int = WINDOW, group: int = GROUP) -> DataFrame:
+    """(doc, first, last): ranges of starts of strings that occur elsewhere, of rows (doc, text)."""
+    anchors = _anchors(rows, length, window)
+    lists = repeated(anchors, ["gram"]).groupBy("doc").agg(F.collect_list("place").alias("list"))
+    lists = common.materialize(lists, "anchors")
+    texts = common.materialize(_packed(rows, lists), "texts")
+    anchors_left = lists.agg(F.sum(F.size("list"))).first()[0] or 0
+    gram = length - window + 1
+    splitters = _splitters(texts, length, gram, 1 + anchors_left * (length + window // 2) // RANGE_BYTES)
+    merged = common.materialize(_merged(_runs(texts, length, splitters), splitters, length, gram, group), "merged")
+    found = merged.filter("first IS NOT NULL").select("doc", "first", "last")
+    return found.unionByName(_counted(merged.filter("first IS NULL"), length))
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = LENGTH, window: int | None = None, with_text: bool = False,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = LENGTH, window: int | None = None, group: int = GROUP, with_text: bool = False,
 ) -> DataFrame:
     """One row per input row: id_col, n_bytes, n_removed, n_spans, kept_sha256, spans [(from, to) in bytes], and with_text kept_text.
 
@@ -466,14 +539,14 @@ def remove_repeats(
     other columns, as the fields of one column `others`.
     """
     rows = _rows(docs, id_col, text_col, with_text)
-    marks, texts = repeated_starts(rows, length, window or max(1, length * 4 // 5))
-    marks = common.materialize(marks, "marks")
+    marks = repeated_starts(rows, length, window or max(1, length * 4 // 5), group)
+    lists = common.materialize(marks.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("list")), "marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc, data, (first, last) in _unpacked(batches, ["first", "last"]):
+        for doc, data, ranges in _unpacked(batches):
             depth = np.zeros(len(data) + 1, np.int64)
-            np.add.at(depth, first, 1)
-            np.add.at(depth, last + length, -1)
+            np.add.at(depth, ranges.field("first").to_numpy(), 1)
+            np.add.at(depth, ranges.field("last").to_numpy() + length, -1)
             gone = np.cumsum(depth[:-1]) > 0
             edge = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
             kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
@@ -485,10 +558,10 @@ def remove_repeats(
                 ("spans", pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))), ("kept_text", pa.string()),
             ]))
 
-    lists = marks.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("anchors"))
-    changed = texts.dropDuplicates(["doc"]).join(lists, "doc").mapInArrow(
+    texts = _packed(rows.select("doc", "text"), lists)
+    changed = texts.mapInArrow(
         run, "doc long, n_removed long, n_spans long, kept string, spans array<struct<from: long, to: long>>, kept_text string",
-    )
+    ).dropDuplicates(["doc"])
     whole = rows.select("doc", "id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.encode("text", "UTF-8"), 256).alias("sha"), *([c for c in ("text", "others") if c in rows.columns] if with_text else []))
     out = whole.join(changed, "doc", "left")
     zero: Callable[[str], object] = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)

@@ -25,9 +25,9 @@ def brute(rows, length):
     return sorted(out, key=str)
 
 
-def check(spark, rows, length):
+def check(spark, rows, length, **options):
     docs = spark.createDataFrame([(*r, 0, 0) for r in rows], "doc_id long, text string, at int, doc int")
-    got = sorted([tuple(r)[:5] for r in sd.remove_repeats(docs, length=length).collect()], key=str)
+    got = sorted([tuple(r)[:5] for r in sd.remove_repeats(docs, length=length, **options).collect()], key=str)
     assert got == brute(rows, length)
 
 
@@ -42,9 +42,10 @@ def test_cases(spark):
     ]
     for length in (20, 31):
         check(spark, rows, length)
+        check(spark, rows, length, group=1)
 
 
-def test_near_copies_and_partners_that_differ_by_side(spark):
+def test_near_copies_and_partners_that_differ_by_side(spark, monkeypatch):
     r = random.Random(2)
     base = [r.choice(["alpha", "beta", "gamma", "delta"]) + str(r.randrange(60)) for _ in range(300)]
     rows = []
@@ -54,6 +55,9 @@ def test_near_copies_and_partners_that_differ_by_side(spark):
             own[r.randrange(len(own))] = f"edit{r.randrange(1000)}"
         rows.append((i, " ".join(own)))
     check(spark, rows, 50)
+    check(spark, rows, 50, group=2)
+    monkeypatch.setattr(sd, "RANGE_BYTES", 2000)  # many ranges
+    check(spark, rows, 50)
 
 
 def test_production_length_on_the_table(spark, sf_dir):
@@ -70,7 +74,7 @@ def test_kept_text_and_empty_table(spark):
 
 
 def entries(words):
-    return [(w, False, hashlib.md5(w).digest()) for w in sorted(set(words))]
+    return [(w, [sd.Place(i, i + 9, 0, len(w) % 3, b"xy"[: len(w) % 3])] * (1 + i % 2)) for i, w in enumerate(sorted(set(words)))]
 
 
 @settings(max_examples=200, deadline=None)
@@ -83,6 +87,13 @@ def test_loser_tree_merges_and_knows_common_prefixes(runs):
         assert b[0] == sd.common_prefix(a[1], b[1])
 
 
+def test_front_coding_round_trip():
+    made = entries([b"abc", b"abd", b"ab", b"x"])
+    back = list(sd.front_decode(sd.front_code(made)))
+    key = lambda p: (p.doc, p.at, p.near, p.far, p.before)
+    assert [(w, [key(p) for p in ps]) for _, w, ps in back] == [(w, [key(p) for p in ps]) for w, ps in made]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("ab", min_size=0, max_size=120).map(str.encode))
 def test_every_start_has_one_anchor_that_its_string_fixes(data):
