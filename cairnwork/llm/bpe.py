@@ -121,7 +121,7 @@ def head_words(rows: DataFrame, vocabulary: str, head: int, head_bytes: int, hel
 
 def encode_rows(
     docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", *,
-    head: int = 100_000, head_bytes: int = 32,
+    head: int = 400_000, head_bytes: int = 32,
 ) -> DataFrame:
     """id, ids (packed 32-bit little-endian numbers) of every row."""
     spark = docs.sparkSession
@@ -134,11 +134,10 @@ def encode_rows(
         for batch in common.slices(batches, "text"):
             doc, position, words = [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                for at, w in enumerate(v.split(text)):
-                    if w not in words_known:
-                        doc.append(i)
-                        position.append(at)
-                        words.append(w)
+                found = [x for x in enumerate(v.split(text)) if x[1] not in words_known]
+                doc += [i] * len(found)
+                position += [at for at, _ in found]
+                words += [w for _, w in found]
             doc = pa.array(doc, pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id").take(doc), batch.column("text_key").take(doc), pa.array(position, pa.int32()), pa.array(words, pa.string())],
