@@ -45,7 +45,7 @@ class WordTokenizer:
     """Ids of whole texts under a tokenizer whose words are independent of each other, with a bounded word cache."""
 
     _loaded: dict[str, WordTokenizer] = {}
-    HELD = 300_000
+    HELD = 350_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -68,19 +68,33 @@ class WordTokenizer:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
+    def _each(self, words: list[str], at_once: int = 2000) -> list[bytes]:
+        """Ids of each word: many are encoded as one text of words between spaces, and its ids parted by word."""
+        out: list[bytes] = []
+        for i in range(0, len(words), at_once):
+            part = words[i : i + at_once]
+            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids = np.array(e.ids, IDS).tobytes()
+            bounds = (4 * np.searchsorted(np.array(e.word_ids), np.arange(len(part) + 1))).tolist()
+            out += [ids[a:b] for a, b in zip(bounds, bounds[1:])]
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as packed little-endian 32-bit numbers, as encode(add_special_tokens=False) gives them."""
         words: list[list[str] | None] = []
         for text in texts:
             plain = (text.isascii() or self._plain.fullmatch(text)) and not any(x in text for x in self.added)
             words.append(self._words.findall(text.lower()) if plain else None)
-        missing = list({w for ws in words if ws for w in ws if w not in self.cache})
+        seen: set[str] = set()
+        for ws in words:
+            seen.update(ws or ())
+        missing = [w for w in seen if w not in self.cache]
         if len(self.cache) + len(missing) > self.HELD:
             self.cache.clear()
-            missing = list({w for ws in words if ws for w in ws})
-        encode = lambda xs: [np.array(e.ids, IDS).tobytes() for e in self.tokenizer.encode_batch_fast(xs, add_special_tokens=False)]
-        self.cache.update(zip(missing, encode(missing), strict=True))
-        whole = iter(encode([t for t, ws in zip(texts, words, strict=True) if ws is None]))
+            missing = list(seen)
+        self.cache.update(zip(missing, self._each(missing), strict=True))
+        others = [t for t, ws in zip(texts, words, strict=True) if ws is None]
+        whole = (np.array(e.ids, IDS).tobytes() for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False))
         get = self.cache.__getitem__
         return [next(whole) if ws is None else b"".join(map(get, ws)) for ws in words]
 
@@ -150,7 +164,7 @@ def pack(
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, bins = WordTokenizer.load(tokenizer), Bins(capacity, TaskContext.get().partitionId())
         end = np.array([end_id], IDS).tobytes()
-        for batch in common.slices(batches, "text"):
+        for batch in common.slices(batches, "text", 1 << 20):
             out: list[dict] = []
             for doc, ids in zip(batch.column("id").to_pylist(), t.encode([x or "" for x in batch.column("text").to_pylist()]), strict=True):
                 ids += end
