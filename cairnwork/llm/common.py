@@ -131,6 +131,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+# \p{L} and \p{N} among ASCII and U+00A1 to U+024F, as classes for `re`
+LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+NUMBERS = "0-9²³¹¼½¾"
+
 WHITE = re.compile(r"[\x20\x09-\x0D]+")
 
 

@@ -20,6 +20,7 @@ rows and null ids are packed like any other. Very long texts are cut into many p
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -45,22 +46,23 @@ class WordTokenizer:
     """Ids of whole texts under a tokenizer whose words are independent of each other, with a bounded word cache."""
 
     _loaded: dict[str, WordTokenizer] = {}
-    HELD = 350_000
+    HELD = 250_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        # the split of the vocabulary file's pre-tokenizer
-        self._words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        # text that normalises to its lower case alone and that both regex libraries class alike
-        self._plain = regex.compile(r"[\x00-\x1b\x20-\x7e¡-įı-ɏ]*")
-        self.cache: dict[str, bytes] = {}
+        # text with these goes to the library whole: added tokens, and controls that only Python takes for white space
+        self.others = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] + list("\x1c\x1d\x1e\x1f")
+        # the split of the vocabulary file's pre-tokenizer, for plain text in lower case
+        self._words = re.compile(rf"'(?:[stmd]|re|ve|ll)|[{common.LETTERS}]+|[{common.NUMBERS}]|[^\s{common.LETTERS}{common.NUMBERS}]+")
+        # text that normalises to its lower case alone, which is in this range too
+        self._plain = re.compile(r"[\x00-\x1b\x20-\x7e¡-įı-ž]*")
+        self.words: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
 
     @classmethod
     def load(cls, path: str) -> WordTokenizer:
@@ -74,6 +76,7 @@ class WordTokenizer:
         for i in range(0, len(words), at_once):
             part = words[i : i + at_once]
             e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            assert e.word_ids[-1] == len(part) - 1, "the tokenizer splits words otherwise"
             ids = np.array(e.ids, IDS).tobytes()
             bounds = (4 * np.searchsorted(np.array(e.word_ids), np.arange(len(part) + 1))).tolist()
             out += [ids[a:b] for a, b in zip(bounds, bounds[1:])]
@@ -81,21 +84,16 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as packed little-endian 32-bit numbers, as encode(add_special_tokens=False) gives them."""
-        words: list[list[str] | None] = []
-        for text in texts:
-            plain = (text.isascii() or self._plain.fullmatch(text)) and not any(x in text for x in self.added)
-            words.append(self._words.findall(text.lower()) if plain else None)
-        seen: set[str] = set()
-        for ws in words:
-            seen.update(ws or ())
-        missing = [w for w in seen if w not in self.cache]
-        if len(self.cache) + len(missing) > self.HELD:
-            self.cache.clear()
-            missing = list(seen)
-        self.cache.update(zip(missing, self._each(missing), strict=True))
+        words = [self._words.findall(t.lower()) if (t.isascii() or self._plain.fullmatch(t)) and not any(x in t for x in self.others) else None for t in texts]
+        if len(self.words) > self.HELD:  # the words met again come back out of the old generation
+            self.words, self.old_words = {}, self.words
+        new = {w for ws in words for w in set(ws or ()).difference(self.words)}
+        self.words.update((w, self.old_words[w]) for w in new if w in self.old_words)
+        missing = [w for w in new if w not in self.words]
+        self.words.update(zip(missing, self._each(missing), strict=True))
         others = [t for t, ws in zip(texts, words, strict=True) if ws is None]
         whole = (np.array(e.ids, IDS).tobytes() for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False))
-        get = self.cache.__getitem__
+        get = self.words.__getitem__
         return [next(whole) if ws is None else b"".join(map(get, ws)) for ws in words]
 
 

@@ -69,3 +69,12 @@ def test_cuts(n, waste):
     pieces = packing.cuts(n, 4096, waste, room)
     assert sum(pieces) == n and all(0 < p <= room[p] <= 4096 for p in pieces)
     assert all((room[p] - p) * waste <= p for p in pieces)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.one_of(st.characters(max_codepoint=0x250), st.sampled_from("aZ' st9,\n\x1c\x1fȺİé你́")), max_size=30), max_size=6))
+def test_ids_are_the_library_s(texts):
+    t = packing.WordTokenizer.load(PATH)
+    t.HELD, t.words, t.old_words = 5, {}, {}  # generations of the cache change all the time
+    for _ in range(2):
+        assert t.encode(texts) == [np.array(t.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
