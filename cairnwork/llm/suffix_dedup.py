@@ -21,7 +21,7 @@ A byte goes if it lies in a string of `LENGTH` bytes that also starts anywhere e
    blocks of BLOCK starts by the bytes they have in common; then single strings in the blocks that are left.
 5. Confirmed starts are marked, and the marked bytes of every document removed.
 
-Splitters come from a bounded sample of SAMPLE suffixes for each range, which bears on balance alone. Lookups of
+Splitters come from a sample, by hash, of about SAMPLE suffixes for each range, which bears on balance alone. Lookups of
 counts are plain sort-merge joins of narrow rows, which adaptive execution splits where a key is hot. Texts travel
 compressed and only for documents with an anchor left. Steps are written to the shared folder.
 
@@ -329,27 +329,35 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes, p
             yield doc, unpack.decompress(packed.as_py()), listed.values
 
 
-def _splitters(texts: DataFrame, length: int, gram: int, ranges: int) -> list[bytes]:
-    """Splitters of the sort order from the SAMPLE * ranges suffixes of the least hashes.
+def _splitters(texts: DataFrame, length: int, gram: int, share: float) -> list[bytes]:
+    """Splitters of the sort order: every SAMPLE-th of the suffixes that a share of all hash values admits.
 
-    One stands before a whole group of one gram, but inside if its neighbour does too: that group fills a range.
+    The sample is sorted in Spark, equal suffixes being one, and the driver gets the splitters alone. One stands before
+    a whole group of one gram, but inside if its neighbour does too: that group fills a range.
     """
+    most = np.uint64(min(share, 1.0) * 0xFFFFFFFFFFFFF000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        most, held = SAMPLE * ranges, {}
+        held: set[bytes] = set()
         for _, data, places in _unpacked(batches):
             at = places.to_numpy() >> 24
-            h = Hashes(np.frombuffer(data, np.uint8)).of(at, np.minimum(at + length, len(data)))
-            for p, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True):
-                held[x] = data[p : p + length]
-            if len(held) > 4 * most:
-                held = {x: held[x] for x in sorted(held)[:most]}
-        least = sorted(held)[:most]
-        yield pa.RecordBatch.from_arrays([pa.array(least, pa.int64()), pa.array([held[x] for x in least], pa.binary())], names=["h", "suffix"])
-
-    sample = texts.mapInArrow(run, "h long, suffix binary").orderBy("h").limit(SAMPLE * ranges).select("suffix")
-    found = sorted({bytes(r["suffix"]) for r in sample.collect()})
-    cuts = sorted({found[len(found) * i // ranges] for i in range(1, ranges)}) if found else []
+            h = common.mix64(Hashes(np.frombuffer(data, np.uint8)).of(at, np.minimum(at + length, len(data))))
+            held.update(data[p : p + length] for p in at[h <= most].tolist())
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(held), pa.binary())], names=["suffix"])
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, n = None, 0
+        for batch in batches:
+            out = []
+            for x in batch.column("suffix").to_pylist():
+                if x != last:
+                    last, n = x, n + 1
+                    if n % SAMPLE == 0:
+                        out.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["suffix"])
+
+    sample = texts.mapInArrow(run, "suffix binary").orderBy("suffix").mapInArrow(every, "suffix binary")
+    cuts = sorted(bytes(r["suffix"]) for r in sample.collect())
     near = [{x[:gram] for x in cuts[max(0, i - 1) : i] + cuts[i + 1 : i + 2]} for i in range(len(cuts))]
     return [s if s[:gram] in others else s[:gram] for s, others in zip(cuts, near, strict=True)]
 
@@ -522,9 +530,8 @@ def repeated_starts(rows: DataFrame, length: int = LENGTH, window: int = WINDOW,
     lists = repeated(anchors, ["gram"]).groupBy("doc").agg(F.collect_list("place").alias("list"))
     lists = common.materialize(lists, "anchors")
     texts = common.materialize(_packed(rows, lists), "texts")
-    anchors_left = lists.agg(F.sum(F.size("list"))).first()[0] or 0
     gram = length - window + 1
-    splitters = _splitters(texts, length, gram, 1 + anchors_left * (length + window // 2) // RANGE_BYTES)
+    splitters = _splitters(texts, length, gram, SAMPLE * (length + window // 2) / RANGE_BYTES)
     merged = common.materialize(_merged(_runs(texts, length, splitters), splitters, length, gram, group), "merged")
     found = merged.filter("first IS NOT NULL").select("doc", "first", "last")
     return found.unionByName(_counted(merged.filter("first IS NULL"), length))
