@@ -7,7 +7,12 @@
 3. Candidates are neighbours by longest common prefix. First, next neighbours in every tree's regions. Once these are confirmed and components are known, further rounds over all trees pair each class outside a
    region's largest component with the `reach` nearest classes of other components on either side. A region with
    more than `block` classes is cut, while it streams by, where its neighbours' common prefix is shortest: dense
-   regions are so explored at a greater depth, memory is bounded, and candidates stay linear in the classes.
+   regions are so explored at a greater depth, and memory is bounded.
+   These rounds only join most of what belongs together cheaply. What they leave is compared in full: in each region
+   that still holds several components, every class outside the largest is held against every class of another one,
+   a part of them at a time. While that would be much work, rounds with a region's central classes (an original
+   among its copies) go before it, as long as they join a tenth of the places left. No pair of a region is left
+   out; where many classes of a region are truly apart, the comparisons grow with the square of their number.
 4. Each row of a region has a sketch, the last four bits of each minimum. A pair whose sketches agree in fewer places
    than a similarity at the threshold would give, less five standard errors, is dropped; all others are confirmed on the full sets of hashed shingles, which are computed again for just the classes concerned (a
    broadcast bitmap of fixed size lets through their rows).
@@ -30,6 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairnwork.llm import common
@@ -223,6 +229,113 @@ def _pairs(regions: DataFrame, reach: int, threshold: float, block: int = 4096)
     return regions.select(*columns).repartition(parts, "region").sortWithinPartitions("region", "key", "cid").mapInArrow(run, "a long, b long").distinct()
 
 
+def _mixed(ordered: DataFrame) -> DataFrame:
+    """Rows of regions with more than one component: (region, cid, label, sketch, outside, rest, whole).
+
+    outside: not of the region's largest component; rest and whole: how many of the region's rows are outside, and all.
+    """
+    counts = ordered.groupBy("region", "label").agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.groupBy("region").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("whole"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+    sizes = sizes.select("region", F.col("top.label").alias("largest"), (F.col("whole") - F.col("top.n")).alias("rest"), "whole")
+    rows = ordered.join(sizes, "region")
+    return common.materialize(rows.select("region", "cid", "label", "sketch", (F.col("label") != F.col("largest")).alias("outside"), "rest", "whole"), "mixed")
+
+
+def central(sketches: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, agreement) of the rows that agree best with the most frequent value of each minimum: an original among its copies."""
+    low = np.empty((len(sketches), SIZE), np.int64)
+    low[:, ::2], low[:, 1::2] = sketches >> 4, sketches & 15
+    usual = np.bincount((low + 16 * np.arange(SIZE)).ravel(), minlength=16 * SIZE).reshape(SIZE, 16).argmax(axis=1)
+    agree = (low == usual).sum(axis=1)
+    best = np.argsort(-agree, kind="stable")[:most]
+    return best, agree[best]
+
+
+def _to_central(mixed: DataFrame, most: int = 4, block: int = 4096) -> DataFrame:
+    """Rows for _cross: every row of a region against its central ones, of all rows and of those outside."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def found() -> pa.RecordBatch:
+            out = []
+            for rows in (held, [r for r in held if r[4]]):
+                if rows:
+                    best, agree = central(np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1), most)
+                    out += [(*rows[i][:4], n) for i, n in zip(best.tolist(), agree.tolist(), strict=True)]
+            columns = zip(*out, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()), strict=True)], names=["region", "cid", "label", "sketch", "agree"])
+
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("region", "cid", "label", "sketch", "outside")), strict=True):
+                if held and (row[0] != held[-1][0] or len(held) == block):
+                    yield found()
+                    held = []
+                held.append(row)
+        if held:
+            yield found()
+
+    parts = common.shuffle_partitions(mixed.sparkSession)
+    rows = mixed.select("region", "cid", "label", "sketch", "outside").repartition(parts, "region").sortWithinPartitions("region", "cid")
+    best = rows.mapInArrow(run, "region long, cid long, label long, sketch binary, agree long").dropDuplicates(["region", "cid"])
+    best = best.withColumn("place", F.row_number().over(W.partitionBy("region").orderBy(F.desc("agree"), "cid"))).filter(F.col("place") <= 2 * most)
+    columns = ["region", F.lit(0).alias("part"), "cid", "label", "sketch"]
+    return best.select(*columns, F.lit(True).alias("first")).unionByName(mixed.select(*columns, F.lit(False).alias("first")))
+
+
+def _to_all(mixed: DataFrame, part: int = 2048) -> DataFrame:
+    """Rows for _cross: every row of a region against all that are outside its largest component, about `part` of these at a time."""
+    parts = F.ceil(F.col("rest") / F.lit(part)).cast("int")
+    columns = ["cid", "label", "sketch"]
+    left = mixed.filter("outside").select("region", F.pmod(F.xxhash64("cid"), parts).cast("int").alias("part"), *columns, F.lit(True).alias("first"))
+    return left.unionByName(mixed.select("region", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), *columns, F.lit(False).alias("first")))
+
+
+def _cross(rows: DataFrame, threshold: float) -> DataFrame:
+    """Candidate pairs (a < b) of different labels from rows (region, part, cid, label, sketch, first): in each part all others against the `first`."""
+    expected = threshold + (1 - threshold) / 16
+    least = (expected - 5 * (expected * (1 - expected) / SIZE) ** 0.5) * SIZE
+    ones = np.uint64(0x1111111111111111)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, firsts = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            region, part, cid, label = (batch.column(c).to_numpy() for c in ("region", "part", "cid", "label"))
+            first = batch.column("first").to_numpy(zero_copy_only=False)
+            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+            new = (region[1:] != region[:-1]) | (part[1:] != part[:-1]) | (first[1:] != first[:-1])
+            bounds = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+            for i, j in zip(bounds[:-1], bounds[1:], strict=True):
+                if (region[i], part[i]) != at:
+                    at, firsts = (region[i], part[i]), []
+                if first[i]:
+                    firsts.append((cid[i:j], label[i:j], sketch[i:j]))
+                    continue
+                if not firsts:
+                    continue
+                if len(firsts) > 1:
+                    firsts = [tuple(map(np.concatenate, zip(*firsts, strict=True)))]
+                a, own, left = firsts[0]
+                for k in range(i, j, 128):
+                    to = slice(k, min(j, k + 128))
+                    unlike = np.zeros((len(left), to.stop - k), np.int16)
+                    for w in range(left.shape[1]):
+                        x = left[:, w, None] ^ sketch[None, to, w]
+                        x |= x >> np.uint64(2)
+                        x |= x >> np.uint64(1)
+                        unlike += np.bitwise_count(x & ones)
+                    p, q = np.nonzero((SIZE - unlike >= least) & (own[:, None] != label[None, to]))
+                    if len(p):
+                        x, y = a[p], cid[to][q]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    parts = common.shuffle_partitions(rows.sparkSession)
+    dealt = rows.repartition(parts, "region", "part").sortWithinPartitions("region", "part", F.desc("first"))
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def _sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     """(cid, hashes) of the given classes (cid, id), hashed anew from the row that stands for each."""
 
@@ -272,17 +385,33 @@ def near_duplicates(
     sets = common.materialize(_sets(rows, active.select("cid", "id"), words), "sets")
     places = common.materialize(regions.join(_sketches(active), "cid"), "places")
     found = labels = tried = None
-    for reach in (0, *reaches):
+
+    def ordered() -> DataFrame:
         if labels is None:
-            ordered = places.withColumn("label", F.col("cid"))
-        else:
-            ordered = places.join(labels, places["cid"] == labels["node"], "left").withColumn("label", F.coalesce("label", "cid"))
-        pairs = _pairs(ordered, reach, percent / 100)
+            return places.withColumn("label", F.col("cid"))
+        return places.join(labels, places["cid"] == labels["node"], "left").withColumn("label", F.coalesce("label", "cid"))
+
+    def confirm(pairs: DataFrame) -> None:
+        nonlocal found, labels, tried
         pairs = common.materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = common.materialize(_confirmed(pairs, sets, percent), "confirmed")
         found = links if found is None else found.unionByName(links)
         labels = components(found)
+
+    for reach in (0, *reaches):
+        confirm(_pairs(ordered(), reach, percent / 100))
+    n_places, before = places.count(), None
+    while True:
+        mixed = _mixed(ordered())
+        state = mixed.filter("outside").agg(F.count(F.lit(1)).alias("n"), F.sum("whole").alias("compared")).first()
+        if not state["n"]:
+            break
+        last = state["compared"] <= 32 * n_places or before is not None and state["n"] > 0.9 * before
+        confirm(_cross(_to_all(mixed) if last else _to_central(mixed), percent / 100))
+        if last:  # every pair of a region has been tried, ruled out by its sketches, or is in one component
+            break
+        before = state["n"]
     joined = classes.join(labels, classes["cid"] == labels["node"], "left").select("cid", "id", "size", F.coalesce("label", "cid").alias("label"), F.col("label").isNotNull().alias("linked"))
     named = joined.join(joined.filter("linked").groupBy("label").agg(F.min("id").alias("least")), "label", "left")
     named = named.filter("linked OR size > 1").select("cid", F.coalesce("least", "id").alias("component_id"))

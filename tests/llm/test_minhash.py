@@ -75,6 +75,28 @@ def test_hot_family(spark):
     check(spark, rows)
 
 
+def test_star_family(spark):
+    """Copies that are near their original alone: each must find it among thousands."""
+    r = random.Random(5)
+    base = [f"s{i}" for i in range(400)]
+    rows = [(i, edited(r, base, r.choice([8, 9, 10])) if i != 1234 else " ".join(base)) for i in range(2000)]
+    hub, sets = shingle_set(" ".join(base), 4), [shingle_set(t, 4) for _, t in rows]
+    assert all(100 * len(s & hub) >= 80 * len(s | hub) for s in sets)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4)
+    assert got.select("component_id").distinct().count() == 1
+
+
+def test_all_pairs_of_a_region_are_tried(spark):
+    r = random.Random(6)
+    rows = [(k, i, i % 7 if k else i, bytearray(r.choice([b"\0" * 64, b"\x11" * 64, b"\0" * 44 + b"\x11" * 20]))) for k in (0, 1) for i in range(90)]
+    rows = [(k, i + 100 * k, label, s) for k, i, label, s in rows]
+    mixed = minhash._mixed(spark.createDataFrame(rows, "region long, cid long, label long, sketch binary"))
+    got = {tuple(x) for x in minhash._cross(minhash._to_all(mixed, part=10), 0.8).collect()}
+    want = [(x, y) for x in rows for y in rows if x[0] == y[0] and x[1] < y[1] and x[2] != y[2]]
+    likely = minhash.likely(np.array([np.frombuffer(s[3], np.uint8) for p in want for s in p]), np.arange(2 * len(want)).reshape(-1, 2), 0.8)
+    assert got == {(x[1], y[1]) for (x, y), k in zip(want, likely) if k} != set()
+
+
 def test_blocks_of_a_region_keep_neighbours(spark):
     rows = [(1, bytes([i // 8, i % 8] * 8), i, i) for i in range(50)]
     df = spark.createDataFrame([(a, bytearray(b), c, d, bytearray(64)) for a, b, c, d in rows], "region long, key binary, cid long, label long, sketch binary")
