@@ -65,14 +65,20 @@ def field_scores(files: DataFrame, phrase: str, terms: list[str]) -> DataFrame:
 def containing(files: DataFrame, signals: DataFrame) -> DataFrame:
     """(signal_id, doc_id, score): weight + 1 for a hit in the path, weight for one in the text.
 
-    signals: (signal_id, value, weight). A document is a candidate for a signal if it has the signal's longest word
-    run; only then are the strings compared.
+    signals: (signal_id, value, weight). A document is a candidate for a signal if it has the longest of the signal's
+    inner word runs, those that touch neither of its ends: wherever the signal stands, such a run is a whole run of the
+    document too, while one at an end may be part of a longer run. Signals without an inner run, few as a rule, are
+    compared with every document. A null value matches nothing, an empty one every text.
     """
-    runs = F.array_sort(T.word_runs(F.col("value")), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
-    keyed = signals.withColumn("run", runs[0])
+    # \z and not $, which also matches before a last line end
+    inner = F.regexp_replace(F.regexp_replace(F.col("value"), r"^[\p{L}\p{Nd}]+", ""), r"[\p{L}\p{Nd}]+\z", "")
+    runs = F.array_sort(T.word_runs(inner), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
+    keyed = signals.withColumn("run", F.get(runs, 0))
     words = files.select("doc_id", F.explode(F.array_distinct(F.concat(T.word_runs(F.col("text")), T.word_runs(F.col("path"))))).alias("run"))
-    found = words.join(keyed, "run").select("doc_id", "signal_id", "value", "weight")
-    both = found.join(files, "doc_id")
+    found = words.join(keyed.filter("run IS NOT NULL"), "run").select("doc_id", "signal_id", "value", "weight")
+    columns = ["signal_id", "value", "weight", "doc_id", "path", "text"]
+    scanned = files.crossJoin(F.broadcast(keyed.filter("run IS NULL AND value IS NOT NULL").select("signal_id", "value", "weight")))
+    both = found.join(files, "doc_id").select(*columns).unionByName(scanned.select(*columns))
     score = F.when(F.contains(F.col("path"), F.col("value")), F.col("weight") + 1).when(F.contains(F.col("text"), F.col("value")), F.col("weight"))
     return both.select("signal_id", "doc_id", score.alias("score")).filter("score IS NOT NULL")
 

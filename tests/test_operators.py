@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairnwork.functions import text as T
-from cairnwork.operators import graph, temporal, vectors
+from cairnwork.operators import graph, retrieval, temporal, vectors
 from cairnwork.sources import files
 
 
@@ -80,3 +80,13 @@ def test_facts_tree_and_snapshots(spark, tmp_path):
     for n in (1, 2):
         files.publish(spark.range(n), str(tmp_path / "store"))
         assert files.current(spark, str(tmp_path / "store")).count() == n
+
+
+def test_exact_signals_inside_words(spark):
+    texts = {1: "call parseHTTPRequest now", 2: "a ->* b", 3: "some longword here, then", 4: "plain", 5: "été2\nx", 6: None}
+    values = {1: "Request", 2: "->*", 3: "ngword here, the", 4: "TTPReq", 5: "té2\n", 6: "request", 7: "p/", 8: None, 9: "here", 10: ""}
+    files = spark.createDataFrame([(i, f"p/{i}.txt", t) for i, t in texts.items()], "doc_id int, path string, text string")
+    signals = spark.createDataFrame([(i, v, 100) for i, v in values.items()], "signal_id int, value string, weight int")
+    got = sorted(tuple(r) for r in retrieval.containing(files, signals).collect())
+    want = [(i, d, 101 if v in f"p/{d}.txt" else 100) for i, v in values.items() if v is not None for d, t in texts.items() if v in f"p/{d}.txt" or v in (t or "")]
+    assert got == sorted(want)
