@@ -134,8 +134,17 @@ p AS (SELECT t.term, v.term AS alias, df, 1 - levenshtein(t.term, v.term) / grea
       WHERE t.term NOT IN (SELECT term FROM v) AND length(t.term) BETWEEN 5 AND 32 AND length(v.term) BETWEEN 5 AND 32 AND abs(length(t.term) - length(v.term)) <= 5)
 SELECT term, alias, round(sim, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY sim DESC, df, alias) AS n FROM p WHERE sim >= 0.55 OR (substr(term, 1, 5) = substr(alias, 1, 5) AND sim >= 0.5)) WHERE n = 1""")
 def rk_04(spark, d):
+    return _aliases(spark, d, V.table(spark, d, "documents").filter("lang = 'en'"))
+
+
+@query("rk_04_aliases_all", SQL["rk_04_aliases"].replace(" WHERE lang = 'en'", ""))
+def rk_04_all(spark, d):
+    return _aliases(spark, d, V.table(spark, d, "documents"))
+
+
+def _aliases(spark, d, docs):
     ascii_words = F.split(F.lower("text"), "[^a-z]+")
-    vocabulary = V.table(spark, d, "documents").filter("lang = 'en'").select("doc_id", F.explode(F.array_distinct(ascii_words)).alias("term")).groupBy("term").agg(F.count_distinct("doc_id").alias("df"))
+    vocabulary = docs.select("doc_id", F.explode(F.array_distinct(ascii_words)).alias("term")).groupBy("term").agg(F.count_distinct("doc_id").alias("df"))
     terms = V.table(spark, d, "benchmark").select(F.explode(ascii_words).alias("w")).select(F.concat("w", F.lit("x")).alias("term")).distinct()
     return retrieval.aliases(terms, vocabulary)
 
@@ -236,6 +245,13 @@ def gr_13(spark, d):
     return graph.components(V.edges(spark, d).filter("relation = 'references' AND dst LIKE 'c:%'"))
 
 
+@query("gr_13_components_all", GRAPH + """, links AS MATERIALIZED (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
+l(key, component) USING KEY (key) AS (SELECT src, src FROM links GROUP BY src UNION (SELECT links.src, min(l.component) FROM l JOIN links ON links.dst = l.key JOIN recurring.l AS own ON own.key = links.src WHERE l.component < own.component GROUP BY links.src))
+SELECT key, component FROM l""")
+def gr_13_all(spark, d):
+    return graph.components(V.edges(spark, d))
+
+
 SNAPSHOTS = "WITH a AS (SELECT DISTINCT 'o:' || l_orderkey AS src, 'p:' || l_partkey AS dst, 'calls' AS relation FROM lineitem WHERE l_shipdate < TIMESTAMP '1997-01-01'), b AS (SELECT DISTINCT 'o:' || l_orderkey AS src, 'p:' || l_partkey AS dst, 'calls' AS relation FROM lineitem WHERE l_returnflag <> 'R')"
 
 
@@ -305,8 +321,17 @@ def jn_10(spark, d):
 
 @query("jn_08_overlapping", "WITH s AS (SELECT l_suppkey AS key, l_orderkey AS span_id, CAST(l_quantity AS BIGINT) AS a, CAST(l_quantity AS BIGINT) + l_linenumber AS b FROM lineitem WHERE l_returnflag = 'R'), w AS (SELECT s_suppkey AS key, s_suppkey AS window_id, CAST(s_suppkey % 40 AS BIGINT) AS a, CAST(s_suppkey % 40 + 5 AS BIGINT) AS b FROM supplier) SELECT span_id, window_id FROM s JOIN w USING (key) WHERE s.a < w.b AND w.a < s.b")
 def jn_08(spark, d):
+    return _overlapping(spark, d, V.table(spark, d, "lineitem").filter("l_returnflag = 'R'"))
+
+
+@query("jn_08_overlapping_all", SQL["jn_08_overlapping"].replace(" WHERE l_returnflag = 'R'", ""))
+def jn_08_all(spark, d):
+    return _overlapping(spark, d, V.table(spark, d, "lineitem"))
+
+
+def _overlapping(spark, d, lines):
     start = F.col("l_quantity").cast("long")
-    spans = V.table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_suppkey").alias("key"), F.col("l_orderkey").alias("span_id"), start.alias("start"), (start + F.col("l_linenumber")).alias("end"))
+    spans = lines.select(F.col("l_suppkey").alias("key"), F.col("l_orderkey").alias("span_id"), start.alias("start"), (start + F.col("l_linenumber")).alias("end"))
     windows = V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_suppkey").alias("window_id"), (F.col("s_suppkey") % 40).alias("start"), (F.col("s_suppkey") % 40 + 5).alias("end"))
     return temporal.overlapping(spans, windows, 8)
 
