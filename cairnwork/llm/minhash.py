@@ -4,21 +4,25 @@
    `TREES * STEP` minima. Documents with equal sets form one class, found by aggregation; only classes go on.
 2. The forest: tree t sorts the signatures in an order of its own, which begins at minimum t * STEP and goes round.
    In each sorted order the classes that share their first STEP minima form a region. Regions of one are dropped.
-3. Candidates are neighbours by longest common prefix. First, next neighbours in every tree's regions. Once these are confirmed and components are known, further rounds over all trees pair each class outside a
-   region's largest component with the `reach` nearest classes of other components on either side. A region with
-   more than `block` classes is cut, while it streams by, where its neighbours' common prefix is shortest: dense
-   regions are so explored at a greater depth, and memory is bounded.
-   These rounds only join most of what belongs together cheaply. What they leave is compared in full: in each region
-   that still holds several components, every class outside the largest is held against every class of another one,
-   a part of them at a time. While that would be much work, rounds with a region's central classes (an original
-   among its copies) go before it, as long as they join a tenth of the places left. No pair of a region is left
-   out; where many classes of a region are truly apart, the comparisons grow with the square of their number.
-4. Each row of a region has a sketch, the last four bits of each minimum. A pair whose sketches agree in fewer places
-   than a similarity at the threshold would give, less five standard errors, is dropped; all others are confirmed on the full sets of hashed shingles, which are computed again for just the classes concerned (a
-   broadcast bitmap of fixed size lets through their rows).
-5. Components of confirmed links are taken by star contraction; every row gets its class's component.
-
-Every result of a step is written to the shared folder. No step collects rows to the driver.
+   The order goes on for DEPTH minima, so the depth at which neighbours agree adapts to the region: the denser it is,
+   the more minima next neighbours share.
+3. First candidates are next neighbours, by longest common prefix, in every tree's regions: one a class and tree.
+   Their links are confirmed on the full sets, and components taken.
+4. What these leave is settled in full. In each region that still holds several components, every class outside the
+   largest is held against every class of another one by sketches, the last four bits of each minimum; a pair whose
+   sketches agree in fewer places than a similarity at the threshold would give, less five standard errors, is
+   dropped. The pairs left are never listed: a task reports which classes have one, and joins the components that have
+   one between them, of which it reports a forest. The connected components so joined are clusters.
+5. In each cluster every class outside its largest component is held against every reported class of another one, on
+   the full sets. A part of these classes, bounded in bytes, is held as an inverted index; the others stream past, and
+   each gets its intersections with all of the part at once. A task reports the links that join components, a forest
+   too. So no pair of a region goes untried, and rows written never grow with the square of a group; the comparisons
+   do so only where many classes of one region are truly apart.
+6. Components of confirmed links are taken by star contraction; every row gets its class's component.
+
+Every result of a step is written to the shared folder. No step collects rows to the driver. What can be lost are
+links between classes that share no region in any tree (about 5 in 10^8 pairs at a similarity of 0.8) or whose
+sketches differ by five standard errors (3 in 10^7), unless other links join the same components.
 
 Cases: words are runs of [^\\x20\\x09-\\x0D], A-Z lower-cased. With fewer than WORDS words the whole sequence is the
 one shingle; a null text or one without words has an empty set (n_shingles 0), is linked with nothing and is its own
@@ -34,8 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnwork.llm import common
@@ -161,163 +164,122 @@ def _sketches(classes: DataFrame) -> DataFrame:
 _agree = np.array([(x >> 4 == 0) + (x & 15 == 0) for x in range(256)], np.uint8)  # halves of a byte that are equal, by xor
 
 
-def likely(sketches: np.ndarray, pairs: np.ndarray, threshold: float) -> np.ndarray:
-    """Which pairs of rows the sketches do not rule out."""
+def _least_agreeing(threshold: float) -> float:
+    """In how many places the sketches of two sets at the threshold agree, less five standard errors."""
     expected = threshold + (1 - threshold) / 16
-    least = expected - 5 * (expected * (1 - expected) / SIZE) ** 0.5
-    return _agree[sketches[pairs[:, 0]] ^ sketches[pairs[:, 1]]].sum(axis=1) >= least * SIZE
-
-
-def _common_prefix(a: bytes, b: bytes) -> int:
-    return next((i for i, (x, y) in enumerate(zip(a, b, strict=True)) if x != y), len(a))
+    return (expected - 5 * (expected * (1 - expected) / SIZE) ** 0.5) * SIZE
 
 
-def region_pairs(labels: np.ndarray, reach: int) -> list[tuple[int, int]]:
-    """Pairs of places in one region in sorted order: neighbours for reach 0, else those of places outside its largest component."""
-    if reach == 0:
-        return [(i, i + 1) for i in range(len(labels) - 1)]
-    names, counts = np.unique(labels, return_counts=True)
-    out = []
-    if len(names) > 1:
-        for i in np.flatnonzero(labels != names[counts.argmax()]).tolist():
-            for side in (1, -1):
-                got, j = 0, i + side
-                while 0 <= j < len(labels) and got < reach and abs(j - i) < 4 * reach:
-                    if labels[j] != labels[i]:
-                        got += 1
-                        out.append((i, j))
-                    j += side
-    return out
+def likely(sketches: np.ndarray, pairs: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs of rows the sketches do not rule out."""
+    return _agree[sketches[pairs[:, 0]] ^ sketches[pairs[:, 1]]].sum(axis=1) >= _least_agreeing(threshold)
 
 
-def _pairs(regions: DataFrame, reach: int, threshold: float, block: int = 4096) -> DataFrame:
-    """Candidate pairs (a < b) from rows (region, key, cid, label, sketch)."""
+def _neighbours(places: DataFrame, threshold: float) -> DataFrame:
+    """Candidate pairs (a < b) of next neighbours in each region of rows (region, key, cid, sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def found(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-            pairs = region_pairs(np.array([r[3] for r in rows], np.int64), reach) if len(rows) > 1 else []
-            if pairs:
-                sketches = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
-                keep = likely(sketches, np.array(pairs), threshold)
-                yield from ((min(rows[i][2], rows[j][2]), max(rows[i][2], rows[j][2])) for (i, j), k in zip(pairs, keep.tolist(), strict=True) if k)
-
-        def out(pairs: set) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["a", "b"])
-
-        pairs: set[tuple[int, int]] = set()
+        held: pa.RecordBatch | None = None  # the last row so far
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("region", "key", "cid", "label", "sketch")), strict=True):
-                if held and row[0] != held[-1][0]:
-                    pairs.update(found(held))
-                    held = []
-                held.append(row)
-                if len(held) == block:  # go deeper: cut where the common prefix is shortest
-                    half = block // 2
-                    cut = min(range(half, block), key=lambda i: _common_prefix(held[i - 1][1], held[i][1]))
-                    pairs.update(found(held[:cut]))
-                    held = held[cut - 1 if reach == 0 else cut :]
-            if len(pairs) > 100_000:
-                yield out(pairs)
-                pairs = set()
-        pairs.update(found(held))
-        yield out(pairs)
-
-    parts = common.shuffle_partitions(regions.sparkSession)
-    columns = ["region", "key", "cid", "label", "sketch"]
-    return regions.select(*columns).repartition(parts, "region").sortWithinPartitions("region", "key", "cid").mapInArrow(run, "a long, b long").distinct()
-
-
-def _mixed(ordered: DataFrame) -> DataFrame:
-    """Rows of regions with more than one component: (region, cid, label, sketch, outside, rest, whole).
-
-    outside: not of the region's largest component; rest and whole: how many of the region's rows are outside, and all.
-    """
-    counts = ordered.groupBy("region", "label").agg(F.count(F.lit(1)).alias("n"))
-    sizes = counts.groupBy("region").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("whole"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
-    sizes = sizes.select("region", F.col("top.label").alias("largest"), (F.col("whole") - F.col("top.n")).alias("rest"), "whole")
-    rows = ordered.join(sizes, "region")
-    return common.materialize(rows.select("region", "cid", "label", "sketch", (F.col("label") != F.col("largest")).alias("outside"), "rest", "whole"), "mixed")
-
-
-def central(sketches: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, agreement) of the rows that agree best with the most frequent value of each minimum: an original among its copies."""
-    low = np.empty((len(sketches), SIZE), np.int64)
-    low[:, ::2], low[:, 1::2] = sketches >> 4, sketches & 15
-    usual = np.bincount((low + 16 * np.arange(SIZE)).ravel(), minlength=16 * SIZE).reshape(SIZE, 16).argmax(axis=1)
-    agree = (low == usual).sum(axis=1)
-    best = np.argsort(-agree, kind="stable")[:most]
-    return best, agree[best]
-
-
-def _to_central(mixed: DataFrame, most: int = 4, block: int = 4096) -> DataFrame:
-    """Rows for _cross: every row of a region against its central ones, of all rows and of those outside."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+            if not batch.num_rows:
+                continue
+            rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            held = batch.slice(batch.num_rows - 1)
+            region, cid = rows.column("region").to_numpy(), rows.column("cid").to_numpy()
+            at = np.flatnonzero(region[1:] == region[:-1])
+            sketches = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+            at = at[likely(sketches, np.stack([at, at + 1], axis=1), threshold)]
+            x, y = cid[at], cid[at + 1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    parts = common.shuffle_partitions(places.sparkSession)
+    dealt = places.select("region", "key", "cid", "sketch").repartition(parts, "region").sortWithinPartitions("region", "key", "cid")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
-        def found() -> pa.RecordBatch:
-            out = []
-            for rows in (held, [r for r in held if r[4]]):
-                if rows:
-                    best, agree = central(np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1), most)
-                    out += [(*rows[i][:4], n) for i, n in zip(best.tolist(), agree.tolist(), strict=True)]
-            columns = zip(*out, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()), strict=True)], names=["region", "cid", "label", "sketch", "agree"])
 
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("region", "cid", "label", "sketch", "outside")), strict=True):
-                if held and (row[0] != held[-1][0] or len(held) == block):
-                    yield found()
-                    held = []
-                held.append(row)
-        if held:
-            yield found()
-
-    parts = common.shuffle_partitions(mixed.sparkSession)
-    rows = mixed.select("region", "cid", "label", "sketch", "outside").repartition(parts, "region").sortWithinPartitions("region", "cid")
-    best = rows.mapInArrow(run, "region long, cid long, label long, sketch binary, agree long").dropDuplicates(["region", "cid"])
-    best = best.withColumn("place", F.row_number().over(W.partitionBy("region").orderBy(F.desc("agree"), "cid"))).filter(F.col("place") <= 2 * most)
-    columns = ["region", F.lit(0).alias("part"), "cid", "label", "sketch"]
-    return best.select(*columns, F.lit(True).alias("first")).unionByName(mixed.select(*columns, F.lit(False).alias("first")))
-
-
-def _to_all(mixed: DataFrame, part: int = 2048) -> DataFrame:
-    """Rows for _cross: every row of a region against all that are outside its largest component, about `part` of these at a time."""
-    parts = F.ceil(F.col("rest") / F.lit(part)).cast("int")
-    columns = ["cid", "label", "sketch"]
-    left = mixed.filter("outside").select("region", F.pmod(F.xxhash64("cid"), parts).cast("int").alias("part"), *columns, F.lit(True).alias("first"))
-    return left.unionByName(mixed.select("region", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), *columns, F.lit(False).alias("first")))
+def _outside(rows: DataFrame, group: str, size: Column) -> DataFrame:
+    """Rows of groups with several components, with outside (not of the group's largest component) and rest (the size of all outside)."""
+    counts = rows.groupBy(group, "label").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("size"))
+    sizes = counts.groupBy(group).agg(F.max(F.struct("n", "size", "label")).alias("top"), F.sum("size").alias("whole"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+    sizes = sizes.select(group, F.col("top.label").alias("largest"), (F.col("whole") - F.col("top.size")).alias("rest"))
+    return rows.join(sizes, group).withColumn("outside", F.col("label") != F.col("largest")).drop("largest")
 
 
-def _cross(rows: DataFrame, threshold: float) -> DataFrame:
-    """Candidate pairs (a < b) of different labels from rows (region, part, cid, label, sketch, first): in each part all others against the `first`."""
-    expected = threshold + (1 - threshold) / 16
-    least = (expected - 5 * (expected * (1 - expected) / SIZE) ** 0.5) * SIZE
+def _against(rows: DataFrame, group: str, part: int, columns: list[str]) -> DataFrame:
+    """Rows (group, part, *columns, first), sorted: in each part, those outside that fell to it (`first`), of about size `part`, then all of the group."""
+    parts = F.ceil(F.col("rest") / F.lit(part)).cast("int")
+    first = rows.filter("outside").select(group, F.pmod(F.xxhash64("cid"), parts).cast("int").alias("part"), *columns, F.lit(True).alias("first"))
+    every = rows.select(group, F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), *columns, F.lit(False).alias("first"))
+    dealt = first.unionByName(every).repartition(common.shuffle_partitions(rows.sparkSession), group, "part")
+    return dealt.sortWithinPartitions(group, "part", F.desc("first"))
+
+
+class Roots:
+    """Union-find over labels; join() says whether two were apart."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        up = self.up
+        up.setdefault(x, x)
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _spans(batch: pa.RecordBatch, group: str) -> Iterator[tuple[tuple, bool, int, int]]:
+    """((group, part), first, from, to) of stretches of equal ones."""
+    names, part = batch.column(group).to_numpy(), batch.column("part").to_numpy()
+    first = batch.column("first").to_numpy(zero_copy_only=False)
+    new = (names[1:] != names[:-1]) | (part[1:] != part[:-1]) | (first[1:] != first[:-1])
+    bounds = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+    for i, j in zip(bounds[:-1], bounds[1:], strict=True):
+        yield (int(names[i]), int(part[i])), bool(first[i]), i, j
+
+
+def _alike(mixed: DataFrame, threshold: float, part: int = 2048) -> DataFrame:
+    """Of pairs of different components in a region that the sketches do not rule out: (a, b) a forest of the components
+    that they join, and (cid) the classes that are in one. mixed: (region, cid, label, sketch, outside, rest)."""
+    least = _least_agreeing(threshold)
     ones = np.uint64(0x1111111111111111)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, firsts = None, []
+        at, firsts, roots, seen = None, [], Roots(), np.zeros(0, bool)
+
+        def out(a: list[int], b: list[int], cids: np.ndarray) -> pa.RecordBatch:
+            none = pa.nulls(len(a), pa.int64())
+            return pa.RecordBatch.from_arrays(
+                [pa.concat_arrays([pa.array(a, pa.int64()), pa.nulls(len(cids), pa.int64())]), pa.concat_arrays([pa.array(b, pa.int64()), pa.nulls(len(cids), pa.int64())]), pa.concat_arrays([none, pa.array(cids, pa.int64())])],
+                names=["a", "b", "cid"],
+            )
+
+        def rest() -> Iterator[pa.RecordBatch]:
+            if seen.any():
+                yield out([], [], firsts[0][0][seen])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            region, part, cid, label = (batch.column(c).to_numpy() for c in ("region", "part", "cid", "label"))
-            first = batch.column("first").to_numpy(zero_copy_only=False)
+            cid, label = batch.column("cid").to_numpy(), batch.column("label").to_numpy()
             sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
-            new = (region[1:] != region[:-1]) | (part[1:] != part[:-1]) | (first[1:] != first[:-1])
-            bounds = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
-            for i, j in zip(bounds[:-1], bounds[1:], strict=True):
-                if (region[i], part[i]) != at:
-                    at, firsts = (region[i], part[i]), []
-                if first[i]:
+            for where, first, i, j in _spans(batch, "region"):
+                if where != at:
+                    yield from rest()
+                    at, firsts, roots, seen = where, [], Roots(), np.zeros(0, bool)
+                if first:
                     firsts.append((cid[i:j], label[i:j], sketch[i:j]))
                     continue
-                if not firsts:
-                    continue
-                if len(firsts) > 1:
+                if not len(seen):
                     firsts = [tuple(map(np.concatenate, zip(*firsts, strict=True)))]
-                a, own, left = firsts[0]
+                    seen = np.zeros(len(firsts[0][0]), bool)
+                _, own, left = firsts[0]
                 for k in range(i, j, 128):
                     to = slice(k, min(j, k + 128))
                     unlike = np.zeros((len(left), to.stop - k), np.int16)
@@ -326,14 +288,69 @@ def _cross(rows: DataFrame, threshold: float) -> DataFrame:
                         x |= x >> np.uint64(2)
                         x |= x >> np.uint64(1)
                         unlike += np.bitwise_count(x & ones)
-                    p, q = np.nonzero((SIZE - unlike >= least) & (own[:, None] != label[None, to]))
-                    if len(p):
-                        x, y = a[p], cid[to][q]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+                    hit = (SIZE - unlike >= least) & (own[:, None] != label[None, to])
+                    if not hit.any():
+                        continue
+                    seen |= hit.any(axis=1)
+                    joined = []
+                    for q in np.flatnonzero(hit.any(axis=0)).tolist():
+                        y = int(label[k + q])
+                        joined += [(int(x), y) for x in np.unique(own[hit[:, q]]).tolist() if roots.join(x, y)]
+                    yield out([x for x, _ in joined], [y for _, y in joined], cid[to][hit.any(axis=0)])
+        yield from rest()
+
+    return _against(mixed, "region", part, ["cid", "label", "sketch"]).mapInArrow(run, "a long, b long, cid long")
+
+
+class Index:
+    """Sets of hashes, inverted: how much each has in common with another set."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in sets])
+        tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(tokens, kind="stable")
+        self.owner = owner[order]
+        self.tokens, self.starts, self.counts = np.unique(tokens[order], return_index=True, return_counts=True)
+
+    def alike(self, x: np.ndarray, percent: int) -> np.ndarray:
+        """Which sets have 100 * intersection >= percent * union with x."""
+        at = np.searchsorted(self.tokens, x)
+        at[at == len(self.tokens)] = 0
+        at = at[self.tokens[at] == x]
+        if 100 * len(at) < percent * len(x):  # too little of x is in any of them
+            return np.zeros(0, np.int64)
+        counts = self.counts[at]
+        places = np.repeat(self.starts[at] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        both = np.bincount(self.owner[places], minlength=len(self.sizes))
+        return np.flatnonzero(100 * both >= percent * (self.sizes + len(x) - both))
+
+
+def _joining(rows: DataFrame, percent: int, part: int = 4 << 20) -> DataFrame:
+    """Confirmed links (a, b) of classes of different components that join these. rows: (cluster, cid, label, hashes, outside, rest)."""
 
-    parts = common.shuffle_partitions(rows.sparkSession)
-    dealt = rows.repartition(parts, "region", "part").sortWithinPartitions("region", "part", F.desc("first"))
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, firsts, index, roots = None, [], None, Roots()
+        for batch in common.slices(batches, "hashes", 1 << 20):
+            cid, label = batch.column("cid").to_pylist(), batch.column("label").to_pylist()
+            sets = [np.frombuffer(x, np.uint64) for x in batch.column("hashes").to_pylist()]
+            a, b = [], []
+            for where, first, i, j in _spans(batch, "cluster"):
+                if where != at:
+                    at, firsts, index, roots = where, [], None, Roots()
+                if first:
+                    firsts += zip(cid[i:j], label[i:j], sets[i:j], strict=True)
+                    continue
+                if index is None:
+                    index = Index([x[2] for x in firsts])
+                    firsts = [x[:2] for x in firsts]
+                for k in range(i, j):
+                    for q in index.alike(sets[k], percent).tolist():
+                        if roots.join(label[k], firsts[q][1]):
+                            a.append(min(cid[k], firsts[q][0]))
+                            b.append(max(cid[k], firsts[q][0]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return _against(rows, "cluster", part, ["cid", "label", "hashes"]).mapInArrow(run, "a long, b long")
 
 
 def _sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
@@ -370,9 +387,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, percent: int = 80, reaches: tuple[int, ...] = (8, 16),
-) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: id_col, n_shingles, component_id, kept, text_key (xxhash64 of the text, null as empty)."""
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     keyed = rows.select("id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
@@ -384,34 +399,18 @@ def near_duplicates(
     active = common.materialize(classes.join(regions.select("cid").distinct(), "cid", "left_semi"), "active")
     sets = common.materialize(_sets(rows, active.select("cid", "id"), words), "sets")
     places = common.materialize(regions.join(_sketches(active), "cid"), "places")
-    found = labels = tried = None
-
-    def ordered() -> DataFrame:
-        if labels is None:
-            return places.withColumn("label", F.col("cid"))
-        return places.join(labels, places["cid"] == labels["node"], "left").withColumn("label", F.coalesce("label", "cid"))
-
-    def confirm(pairs: DataFrame) -> None:
-        nonlocal found, labels, tried
-        pairs = common.materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = common.materialize(_confirmed(pairs, sets, percent), "confirmed")
-        found = links if found is None else found.unionByName(links)
-        labels = components(found)
-
-    for reach in (0, *reaches):
-        confirm(_pairs(ordered(), reach, percent / 100))
-    n_places, before = places.count(), None
-    while True:
-        mixed = _mixed(ordered())
-        state = mixed.filter("outside").agg(F.count(F.lit(1)).alias("n"), F.sum("whole").alias("compared")).first()
-        if not state["n"]:
-            break
-        last = state["compared"] <= 32 * n_places or before is not None and state["n"] > 0.9 * before
-        confirm(_cross(_to_all(mixed) if last else _to_central(mixed), percent / 100))
-        if last:  # every pair of a region has been tried, ruled out by its sketches, or is in one component
-            break
-        before = state["n"]
+
+    def labelled(of: DataFrame, labels: DataFrame) -> DataFrame:
+        return of.join(labels, of["cid"] == labels["node"], "left").drop("node").withColumn("label", F.coalesce("label", "cid"))
+
+    links = common.materialize(_confirmed(common.materialize(_neighbours(places, percent / 100), "pairs"), sets, percent), "confirmed")
+    labels = components(links)
+    mixed = common.materialize(_outside(labelled(places.select("region", "cid", "sketch"), labels), "region", F.lit(1)), "mixed")
+    alike = common.materialize(_alike(mixed, percent / 100), "alike")
+    clusters = components(alike.select("a", "b")).select(F.col("node").alias("label"), F.col("label").alias("cluster"))
+    left = labelled(alike.select("cid").filter("cid IS NOT NULL").distinct(), labels).join(clusters, "label").join(sets, "cid")
+    left = common.materialize(_outside(left, "cluster", F.octet_length("hashes")), "left")
+    labels = components(links.unionByName(common.materialize(_joining(left, percent), "joining")))
     joined = classes.join(labels, classes["cid"] == labels["node"], "left").select("cid", "id", "size", F.coalesce("label", "cid").alias("label"), F.col("label").isNotNull().alias("linked"))
     named = joined.join(joined.filter("linked").groupBy("label").agg(F.min("id").alias("least")), "label", "left")
     named = named.filter("linked OR size > 1").select("cid", F.coalesce("least", "id").alias("component_id"))

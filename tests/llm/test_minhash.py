@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from cairnwork.llm import minhash
 from cairnwork.llm.components import components
@@ -86,22 +87,60 @@ def test_star_family(spark):
     assert got.select("component_id").distinct().count() == 1
 
 
-def test_all_pairs_of_a_region_are_tried(spark):
+def test_large_family_against_brute_force(spark):
+    """1,400 copies with more or fewer edits: some are near few others, some none."""
+    r = random.Random(8)
+    base = [f"s{i}" for i in range(90)]
+    check(spark, [(i, edited(r, base, r.choice([1, 2, 2, 3, 3, 4, 5, 6, 7]))) for i in range(1400)])
+
+
+def test_sketches_of_a_region_are_compared_in_full(spark):
     r = random.Random(6)
-    rows = [(k, i, i % 7 if k else i, bytearray(r.choice([b"\0" * 64, b"\x11" * 64, b"\0" * 44 + b"\x11" * 20]))) for k in (0, 1) for i in range(90)]
-    rows = [(k, i + 100 * k, label, s) for k, i, label, s in rows]
-    mixed = minhash._mixed(spark.createDataFrame(rows, "region long, cid long, label long, sketch binary"))
-    got = {tuple(x) for x in minhash._cross(minhash._to_all(mixed, part=10), 0.8).collect()}
+    rows = [(k, i + 100 * k, i % 7 if k else i, bytearray(r.choice([b"\0" * 64, b"\x11" * 64, b"\0" * 44 + b"\x11" * 20]))) for k in (0, 1) for i in range(90)]
+    mixed = minhash._outside(spark.createDataFrame(rows, "region long, cid long, label long, sketch binary"), "region", F.lit(1))
     want = [(x, y) for x in rows for y in rows if x[0] == y[0] and x[1] < y[1] and x[2] != y[2]]
     likely = minhash.likely(np.array([np.frombuffer(s[3], np.uint8) for p in want for s in p]), np.arange(2 * len(want)).reshape(-1, 2), 0.8)
-    assert got == {(x[1], y[1]) for (x, y), k in zip(want, likely) if k} != set()
-
-
-def test_blocks_of_a_region_keep_neighbours(spark):
-    rows = [(1, bytes([i // 8, i % 8] * 8), i, i) for i in range(50)]
-    df = spark.createDataFrame([(a, bytearray(b), c, d, bytearray(64)) for a, b, c, d in rows], "region long, key binary, cid long, label long, sketch binary")
-    whole = {tuple(x) for x in minhash._pairs(df, 0, 0.8).collect()}
-    assert whole == {tuple(x) for x in minhash._pairs(df, 0, 0.8, block=8).collect()} == {(i, i + 1) for i in range(49)}
+    want = [p for p, k in zip(want, likely, strict=True) if k]
+    for part in (10, 2048):
+        got = minhash._alike(mixed, 0.8, part).collect()
+        assert {x.cid for x in got} - {None} == {x[1] for p in want for x in p}
+        joined, wanted = minhash.Roots(), minhash.Roots()
+        for x in got:
+            if x.a is not None:
+                joined.join(x.a, x.b)
+        for x, y in want:
+            wanted.join(x[2], y[2])
+        assert {x: joined.find(x) for x in wanted.up} == {x: wanted.find(x) for x in wanted.up}
+
+
+def test_clusters_are_compared_in_full(spark):
+    r = random.Random(7)
+    rows = []
+    for i in range(120):
+        own = np.unique([r.randrange(40) for _ in range(r.choice([20, 60, 90]))]).astype(np.uint64)
+        rows.append((i % 2, i, i // 3, bytearray(own.tobytes())))
+    kept = minhash._outside(spark.createDataFrame(rows, "cluster long, cid long, label long, hashes binary"), "cluster", F.octet_length("hashes"))
+    sets = {x[1]: np.frombuffer(bytes(x[3]), np.uint64) for x in rows}
+    want = minhash.Roots()
+    for x in rows:
+        for y in rows:
+            if x[0] == y[0] and minhash.jaccard_at_least(sets[x[1]], sets[y[1]], 80):
+                want.join(x[2], y[2])
+    for part in (2000, 4 << 20):
+        got = minhash.Roots()
+        for x in minhash._joining(kept, 80, part).collect():
+            assert minhash.jaccard_at_least(sets[x.a], sets[x.b], 80)
+            got.join(x.a // 3, x.b // 3)
+        assert {x: got.find(x) for x in want.up} == {x: want.find(x) for x in want.up}
+
+
+def test_neighbours_across_batches(spark):
+    rows = [(i // 50, bytearray([i // 8, i % 8] * 8), i, bytearray(64)) for i in range(100)]
+    df = spark.createDataFrame(rows, "region long, key binary, cid long, sketch binary")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    got = {tuple(x) for x in minhash._neighbours(df, 0.8).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {(i, i + 1) for i in range(99) if i != 49}
 
 
 def test_table_against_brute_force(spark, sf_dir):
