@@ -47,9 +47,13 @@ def relation_counts(edges: DataFrame) -> DataFrame:
 
 
 def distances(edges: DataFrame, entries: DataFrame, depth: int, reverse: bool = False) -> DataFrame:
-    """(key, depth) of every node within `depth` steps of entries (key), these at 0: one join a level, visited nodes left out."""
+    """(key, depth) of every node within `depth` steps of entries (key), these at 0: one join a level, visited nodes left out.
+
+    The distinct steps are written once and only read at each level; a hub's many steps are split where adaptive
+    execution finds its key hot, and a level's nodes are made distinct before they are shuffled.
+    """
     a, b = ("dst", "src") if reverse else ("src", "dst")
-    steps = edges.select(F.col(a).alias("key"), F.col(b).alias("next")).distinct()
+    steps = cut(edges.select(F.col(a).alias("key"), F.col(b).alias("next")).distinct())
     frontier = entries.select("key").distinct().withColumn("depth", F.lit(0).cast("long"))
     seen = frontier = cut(frontier)
     for level in range(1, depth + 1):
@@ -121,7 +125,259 @@ def shared_neighbours(edges: DataFrame, least: int) -> DataFrame:
 
 
 def name_ranks(nodes: DataFrame, query: str) -> DataFrame:
-    """(key, rank): 0 to 2 exact name, prefix, part; 6 to 8 the same of the path; the least that holds."""
-    q = query.lower()
-    rank = lambda c, base: F.when(F.lower(c) == q, base).when(F.lower(c).startswith(q), base + 1).when(F.lower(c).contains(q), base + 2)
-    return nodes.select("key", F.least(rank("name", 0), rank("path", 6)).cast("long").alias("rank")).filter("rank IS NOT NULL")
+    """(key, rank, fields) of nodes that the trimmed query names: 0 to 2 exact name, qualified name, path; 3 to 5 a prefix of these; 6 to 8 a part.
+
+    ASCII case and the kind of slash do not matter; fields lists what matched; an empty query matches nothing.
+    """
+    plain = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    q = F.translate(plain(F.trim(F.lit(query))), "\\", "/")
+    ranks = []
+    for i, (name, value) in enumerate((("name", plain(F.col("name"))), ("qualified_name", plain(F.col("qualified_name"))), ("path", F.translate(plain(F.col("path")), "\\", "/")))):
+        ranks.append((name, F.when(value == q, i).when(F.startswith(value, q), i + 3).when(F.contains(value, q), i + 6)))
+    fields = F.array_compact(F.array(*[F.when(r.isNotNull(), name) for name, r in ranks]))
+    found = nodes.filter(F.lit(query.strip() != "")).select("key", F.least(*[r for _, r in ranks]).cast("long").alias("rank"), fields.alias("fields"))
+    return found.filter("rank IS NOT NULL")
+
+
+DEFAULT_LIMIT, MOST_ROWS = 1000, 10_000
+
+
+def bounded(limit: int | None, default: int = DEFAULT_LIMIT, most: int = MOST_ROWS) -> int:
+    return min(default if limit is None else limit, most)
+
+
+def page(rows: DataFrame, order: list, offset: int = 0, limit: int | None = None) -> tuple[DataFrame, dict]:
+    """A page of rows in a total order, and its head: count, offset, returned, truncated, next_offset."""
+    count, limit = rows.count(), bounded(limit)
+    offset = min(offset, count)
+    returned = max(0, min(limit, count - offset))
+    more = offset + returned < count
+    return rows.orderBy(*order).offset(offset).limit(limit), {"count": count, "offset": offset, "returned": returned, "truncated": more, "next_offset": offset + returned if more else None}
+
+
+def resolve(nodes: DataFrame, name: str | None = None, kind: str | None = None, path: str | None = None, under: str | None = None) -> DataFrame:
+    """Nodes of that exact name, kind, path, and at or below a path prefix: what is not given does not count."""
+    for column, value in (("name", name), ("kind", kind), ("path", path)):
+        if value is not None:
+            nodes = nodes.filter(F.col(column) == value)
+    return nodes if under is None else nodes.filter((F.col("path") == under) | F.col("path").startswith(under + "/"))
+
+
+#: Relations that calls follow, all relations in their order.
+CALL = "calls observed-calls calls-endpoint handled-by publishes consumes invokes-process produces-message consumes-message".split()
+POSSIBLE = "possible-calls"
+
+
+def call_edges(edges: DataFrame, possible: bool = True) -> DataFrame:
+    return edges.filter(F.col("relation").isin(CALL + [POSSIBLE] * possible))
+
+
+def paths(edges: DataFrame, start: str, target: str, depth: int, limit: int = 100) -> DataFrame:
+    """(place, path, depth): the first `limit` simple paths from start to target of at most depth steps.
+
+    In the order of a depth-first walk by (node, relation); parallel relations are different paths; one of length 0 if
+    start is the target. Only nodes from which the target can be reached in the steps left are followed.
+    """
+    spark = edges.sparkSession
+    steps = cut(edges.select(F.col("src").alias("key"), F.col("dst").alias("next"), "relation").distinct())
+    left = distances(edges, spark.createDataFrame([(target,)], "key string"), depth, reverse=True).select(F.col("key").alias("next"), F.col("depth").alias("left"))
+    left = cut(left)
+    trail = "array<struct<node: string, relation: string>>"
+    at = spark.createDataFrame([(start,)], "key string").select("key", F.array(F.struct(F.col("key").alias("node"), F.lit("").alias("relation"))).cast(trail).alias("trail"))
+    found = at.filter(F.col("key") == target).select("trail")
+    for level in range(1, depth + 1):
+        near = F.broadcast(left.filter(F.col("left") <= depth - level)) if level == depth else left.filter(F.col("left") <= depth - level)
+        at = at.filter(F.col("key") != target).join(steps, "key").filter(~F.exists("trail", lambda x: x["node"] == F.col("next"))).join(near, "next")
+        at = cut(at.select(F.col("next").alias("key"), F.concat("trail", F.array(F.struct(F.col("next").alias("node"), "relation"))).alias("trail")))
+        found = found.unionByName(at.filter(F.col("key") == target).select("trail"))
+    best = found.orderBy("trail").limit(limit)
+    shown = F.array_join(F.transform("trail", lambda x: F.when(x["relation"] == "", x["node"]).otherwise(F.concat_ws(">", x["relation"], x["node"]))), ">")
+    return best.select((F.row_number().over(W.orderBy("trail")) - 1).cast("long").alias("place"), shown.alias("path"), (F.size("trail") - 1).cast("long").alias("depth"))
+
+
+def shortest_chain(edges: DataFrame, starts: DataFrame, target: str, depth: int) -> DataFrame:
+    """(start, path, depth): for each start (key) the shortest chain to target, of those the first by its nodes, then relations.
+
+    Level by level; each node keeps, for each start, the least trail that reaches it, which is the one that a queue in
+    the order of (node, relation) finds first. Targets that were reached and nodes from which the target is too far
+    are not followed.
+    """
+    steps = cut(edges.groupBy(F.col("src").alias("key"), F.col("dst").alias("next")).agg(F.min("relation").alias("relation")))
+    left = cut(distances(edges, edges.sparkSession.createDataFrame([(target,)], "key string"), depth, reverse=True))
+    far = left.select(F.col("key").alias("next"), F.col("depth").alias("left"))
+    starts = starts.select("key").distinct().join(left.select("key"), "key", "left_semi")
+    at = cut(starts.select(F.col("key").alias("start"), "key", F.array("key").alias("nodes"), F.array().cast("array<string>").alias("relations")))
+    found, seen = at.filter(F.col("key") == target), at.select("start", "key")
+    at = at.filter(F.col("key") != target)
+    for level in range(1, depth + 1):
+        if at.isEmpty():
+            break
+        reached = at.join(steps, "key").join(far.filter(F.col("left") <= depth - level), "next")
+        reached = reached.select("start", F.col("next").alias("key"), F.concat("nodes", F.array("next")).alias("nodes"), F.concat("relations", F.array("relation")).alias("relations"))
+        best = reached.groupBy("start", "key").agg(F.min(F.struct("nodes", "relations")).alias("t")).join(seen, ["start", "key"], "left_anti").select("start", "key", "t.nodes", "t.relations")
+        best = cut(best)
+        done = best.filter(F.col("key") == target)
+        found, seen = found.unionByName(done), seen.unionByName(best.select("start", "key"))
+        at = best.join(done.select("start"), "start", "left_anti")
+    shown = F.array_join(F.transform("nodes", lambda x, i: F.when(i == 0, x).otherwise(F.concat_ws(">", F.try_element_at("relations", i), x))), ">")
+    return found.select("start", shown.alias("path"), F.size("relations").cast("long").alias("depth"))
+
+
+def operational_role(edges: DataFrame, key: str, entries: DataFrame, depth: int) -> DataFrame:
+    """(section, label, n): counts of relations in and out, callers and callees, the shortest chain from an entry."""
+    e = edges.distinct()
+    out, into = e.filter(F.col("src") == key), e.filter(F.col("dst") == key)
+    calls = F.col("relation").isin("calls", "possible-calls", "observed-calls")
+    rows = [
+        into.groupBy(F.lit("incoming").alias("section"), F.col("relation").alias("label")).agg(F.count(F.lit(1)).alias("n")),
+        out.groupBy(F.lit("outgoing").alias("section"), F.col("relation").alias("label")).agg(F.count(F.lit(1)).alias("n")),
+        into.filter(calls).groupBy(F.lit("caller").alias("section"), F.col("src").alias("label")).agg(F.count(F.lit(1)).alias("n")),
+        out.filter(calls).groupBy(F.lit("callee").alias("section"), F.col("dst").alias("label")).agg(F.count(F.lit(1)).alias("n")),
+        shortest_chain(call_edges(edges), entries, key, depth).orderBy("depth", "start").limit(1).select(F.lit("entry chain").alias("section"), F.col("path").alias("label"), F.col("depth").alias("n")),
+    ]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3]).unionByName(rows[4])
+
+
+def communities(nodes: DataFrame, edges: DataFrame, under: str | None = None, least: int = 2, representatives: int = 5) -> DataFrame:
+    """(community, section, label, n): connected components of the nodes at or below a path, with what they are made of.
+
+    Sections: nodes, edges, relation, incoming and outgoing (edges over the border of the selection, by relation),
+    kind, path (of the parent folder), representative (label a key, n its degree, the highest first).
+    """
+    own = cut(resolve(nodes, under=under).select("key", "kind", "path"))
+    e = cut(edges.distinct())
+    keys = own.select("key")
+    src_in, dst_in = keys.select(F.col("key").alias("src"), F.lit(True).alias("a")), keys.select(F.col("key").alias("dst"), F.lit(True).alias("b"))
+    e = cut(e.join(src_in, "src", "left").join(dst_in, "dst", "left").filter("a OR b"))
+    inside = e.filter("a AND b")
+    labels = components(inside).withColumnRenamed("component", "community")
+    member = cut(own.join(labels, "key", "left").withColumn("community", F.coalesce("community", "key")))
+    big = member.groupBy("community").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= least).select("community")
+    member = cut(member.join(big, "community", "left_semi"))
+    at = member.select("key", "community")
+    edge = inside.join(at.withColumnRenamed("key", "src"), "src")
+    over = e.filter("a IS NULL OR b IS NULL").select(F.coalesce(F.when(F.col("a"), F.col("src")), F.col("dst")).alias("key"), F.when(F.col("a"), "outgoing").otherwise("incoming").alias("section"), F.col("relation").alias("label"))
+    count = F.count(F.lit(1)).alias("n")
+    ends = edge.select("community", F.col("src").alias("key")).unionByName(edge.filter("src <> dst").select("community", F.col("dst").alias("key")))
+    degree = member.select("community", "key").join(ends.groupBy("community", "key").agg(count), ["community", "key"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    top = degree.withColumn("place", F.row_number().over(W.partitionBy("community").orderBy(F.desc("n"), "key"))).filter(F.col("place") <= representatives)
+    parent = F.when(F.instr("path", "/") > 0, F.regexp_replace("path", r"/[^/]*\z", "")).otherwise(".")
+    rows = [
+        member.groupBy("community", F.lit("nodes").alias("section"), F.lit("").alias("label")).agg(count),
+        edge.groupBy("community", F.lit("edges").alias("section"), F.lit("").alias("label")).agg(count),
+        edge.groupBy("community", F.lit("relation").alias("section"), F.col("relation").alias("label")).agg(count),
+        over.join(at, "key").groupBy("community", "section", "label").agg(count),
+        member.groupBy("community", F.lit("kind").alias("section"), F.col("kind").alias("label")).agg(count),
+        member.groupBy("community", F.lit("path").alias("section"), parent.alias("label")).agg(count),
+        top.select("community", F.lit("representative").alias("section"), F.col("key").alias("label"), "n"),
+    ]
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def certainty(relation, resolution=None):
+    """An edge's own resolution where it is definite or possible; else possible for possible-* relations."""
+    plain = F.when(F.contains(relation, F.lit("possible")), "possible").otherwise("definite")
+    return plain if resolution is None else F.when(resolution.isin("definite", "possible"), resolution).otherwise(plain)
+
+
+def relationships(edges: DataFrame, seeds: DataFrame, sites: int = 3) -> DataFrame:
+    """(seed, direction, relation, certainty, related, occurrences, sites, truncated) of seeds (key); edges: (src, dst, relation, site).
+
+    The first distinct sites in order, at most `sites`: they are counted and cut before they are gathered.
+    """
+    one = edges.join(seeds.select(F.col("key").alias("src")), "src", "left_semi").select(F.col("src").alias("seed"), F.lit("outgoing").alias("direction"), "relation", F.col("dst").alias("related"), "site")
+    two = edges.join(seeds.select(F.col("key").alias("dst")), "dst", "left_semi").filter("src <> dst").select(F.col("dst").alias("seed"), F.lit("incoming").alias("direction"), "relation", F.col("src").alias("related"), "site")
+    key = ["seed", "direction", "relation", "related"]
+    counted = one.unionByName(two).groupBy(*key, "site").agg(F.count(F.lit(1)).alias("n"))
+    place = F.when(F.col("site").isNotNull(), F.row_number().over(W.partitionBy(*key, F.col("site").isNull()).orderBy("site")))
+    placed = counted.withColumn("place", place)
+    grouped = placed.groupBy(*key).agg(F.sum("n").alias("occurrences"), F.array_sort(F.collect_list(F.when(F.col("place") <= sites, F.col("site")))).alias("sites"), F.coalesce(F.max("place") > sites, F.lit(False)).alias("truncated"))
+    return grouped.withColumn("certainty", certainty(F.col("relation")))
+
+
+def node_difference(before: tuple[DataFrame, DataFrame], after: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """(key, change) between two snapshots (nodes, edges): added, removed, metadata_changed, relationship_changed.
+
+    Nodes are compared by all their columns; relationships by the set of (target, relation) that a node has, folded to
+    two order-free sums of hashes of the distinct edges, so that no node's edges are gathered.
+    """
+    (n0, e0), (n1, e1) = before, after
+    facts = [c for c in n1.columns if c != "key"]
+    def state(nodes: DataFrame, edges: DataFrame, tag: str) -> DataFrame:
+        d = edges.select("src", "dst", "relation").distinct().groupBy(F.col("src").alias("key")).agg(
+            F.sum(F.xxhash64("dst", "relation").cast("decimal(20,0)")).alias("x"), F.sum(F.xxhash64("relation", "dst").cast("decimal(20,0)")).alias("y"), F.count(F.lit(1)).alias("z"))
+        out = nodes.select("key", F.struct(*facts).alias("f")).join(d, "key", "left")
+        return out.select("key", F.col("f").alias(f"f{tag}"), F.struct(*(F.coalesce(c, F.lit(0)).alias(c) for c in "xyz")).alias(f"e{tag}"))
+
+    both = state(n0, e0, "0").join(state(n1, e1, "1"), "key", "full_outer")
+    changes = F.array_compact(F.array(
+        F.when(F.col("f0").isNull(), "added"), F.when(F.col("f1").isNull(), "removed"),
+        F.when(F.col("f0").isNotNull() & F.col("f1").isNotNull() & (F.col("f0") != F.col("f1")), "metadata_changed"),
+        F.when(F.col("f0").isNotNull() & F.col("f1").isNotNull() & (F.col("e0") != F.col("e1")), "relationship_changed"),
+    ))
+    return both.select("key", F.explode(changes).alias("change"))
+
+
+def checked(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(problem, key, n): keys with different facts, and edge ends that are no node; empty for a sound graph."""
+    facts = F.struct(*[c for c in nodes.columns if c != "key"])
+    conflicts = nodes.groupBy("key").agg(F.count_distinct(facts).alias("n")).filter("n > 1").select(F.lit("conflict").alias("problem"), "key", "n")
+    ends = edges.select(F.col("src").alias("key")).unionByName(edges.select(F.col("dst").alias("key"))).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return conflicts.unionByName(ends.join(nodes.select("key"), "key", "left_anti").select(F.lit("missing").alias("problem"), "key", "n"))
+
+
+def invalid_overlay(base: DataFrame, removed: DataFrame, added: DataFrame) -> DataFrame:
+    """(problem, src, dst, relation): removed edges that the base lacks, added ones that it has."""
+    key = ["src", "dst", "relation"]
+    gone = removed.select(*key).join(base.select(*key), key, "left_anti").select(F.lit("removed, not in base").alias("problem"), *key)
+    return gone.unionByName(added.select(*key).join(base.select(*key), key, "left_semi").select(F.lit("added, in base").alias("problem"), *key))
+
+
+def checksum(edges: DataFrame) -> DataFrame:
+    """(n, low, high): an order-free checksum of the distinct edges, from sums that aggregate before they are shuffled."""
+    e = edges.select("src", "dst", "relation").distinct()
+    return e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.crc32(F.concat_ws("\x00", "src", "dst", "relation"))).alias("low"), F.sum(F.crc32(F.concat_ws("\x00", "relation", "dst", "src"))).alias("high"))
+
+
+def export_page(nodes: DataFrame, edges: DataFrame, offset: int, limit: int, pinned: list[str]) -> tuple[DataFrame, DataFrame]:
+    """A page of nodes by key with the pinned ones, and the edges with both ends on it."""
+    held, _ = page(nodes, ["key"], offset, limit)
+    own = cut(held.unionByName(nodes.filter(F.col("key").isin(pinned))).dropDuplicates(["key"]))
+    keys = own.select("key")
+    return own, edges.distinct().join(keys.withColumnRenamed("key", "src"), "src", "left_semi").join(keys.withColumnRenamed("key", "dst"), "dst", "left_semi")
+
+
+def neighbours(edges: DataFrame, key: str, direction: str, relations: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """(relation, key) in the order of (key, relation): of the first scanned edges, 16 for each wanted but 1024 to 16384, those of the relations."""
+    limit = bounded(limit)
+    here, there = ("src", "dst") if direction == "outgoing" else ("dst", "src")
+    some = edges.filter(F.col(here) == key).select("relation", F.col(there).alias("key")).distinct().orderBy("key", "relation").limit(max(1024, min(16 * limit, 16384)))
+    return (some.filter(F.col("relation").isin(relations)) if relations else some).orderBy("key", "relation").limit(limit)
+
+
+def synthetic(spark, topology: str, nodes: int, edges: int, seed: int) -> DataFrame:
+    """(source, target): about `edges` distinct edges without loops, made by hashes of their numbers, in any number of tasks.
+
+    Topologies: modular (nine in ten within blocks of 64), entangled (any to any), hub (nine in ten from one node in a
+    hundred), layered (to the next tenth), chain (to the next node, then any).
+    """
+    i = spark.range(edges).select("id", *(F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "id"), F.lit(nodes)).alias(f"r{k}") for k in range(3)), F.pmod(F.xxhash64(F.lit(seed), F.lit("p"), "id"), F.lit(10)).alias("p"))
+    local = F.least(F.floor(F.col("r0") / 64) * 64 + F.col("r1") % 64, F.lit(nodes - 1))
+    source, target = {
+        "modular": (F.col("r0"), F.when(F.col("p") > 0, local).otherwise(F.col("r1"))), "entangled": (F.col("r0"), F.col("r1")),
+        "hub": (F.when(F.col("p") > 0, F.col("r0") % max(1, nodes // 100)).otherwise(F.col("r0")), F.col("r1")),
+        "layered": (F.col("r0"), (F.floor(F.col("r0") / max(1, nodes // 10)) + 1) * max(1, nodes // 10) + F.col("r1") % max(1, nodes // 10)),
+        "chain": (F.when(F.col("id") < nodes - 1, F.col("id")).otherwise(F.col("r0")), F.when(F.col("id") < nodes - 1, F.col("id") + 1).otherwise(F.col("r1"))),
+    }[topology]
+    return i.select(source.cast("long").alias("source"), target.cast("long").alias("target")).filter((F.col("source") != F.col("target")) & (F.col("target") < nodes)).distinct()
+
+
+def mutated(graph: DataFrame, share: float, nodes: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(removed, added) edges: about a share of the edges, chosen by hash, and as many new ones instead."""
+    chosen = F.pmod(F.xxhash64(F.lit(seed), "source", "target"), F.lit(1_000_000)) < int(share * 1_000_000)
+    removed = graph.filter(chosen)
+    new = removed.select(F.col("source"), F.pmod(F.xxhash64(F.lit(seed + 1), "source", "target"), F.lit(nodes)).alias("target")).filter("source <> target").distinct()
+    return removed, new.join(graph, ["source", "target"], "left_anti")

@@ -62,6 +62,19 @@ def field_scores(files: DataFrame, phrase: str, terms: list[str]) -> DataFrame:
     return files.select("doc_id", score.alias("score")).filter("score > 0")
 
 
+def whole_files(files: DataFrame, content: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, score, rank): for each term of a query 8 if the file's name has it, else 4 if its path has it, and the content's BM25.
+
+    files: (doc_id, path); content: (query_id, doc_id, score) of BM25; queries: (query_id, term). Only paths and scores meet.
+    """
+    base, whole = T.token_set(T.base_name(F.col("path"))), T.token_set(F.col("path"))
+    fields = files.select("doc_id", base.alias("base"), F.explode(whole).alias("term")).join(queries, "term")
+    fields = fields.groupBy("query_id", "doc_id").agg(F.sum(F.when(F.array_contains("base", F.col("term")), 8.0).otherwise(4.0)).alias("score"))
+    scored = fields.unionByName(content.select("query_id", "doc_id", "score")).groupBy("query_id", "doc_id").agg(F.round(F.sum("score"), 6).alias("score"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "path"))
+    return scored.join(files.select("doc_id", "path"), "doc_id").withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k).drop("path")
+
+
 def containing(files: DataFrame, signals: DataFrame) -> DataFrame:
     """(signal_id, doc_id, score): weight + 1 for a hit in the path, weight for one in the text.
 

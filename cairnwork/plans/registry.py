@@ -7,24 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairnwork.functions import text as T
-from cairnwork.operators import graph, metrics, retrieval, temporal, vectors
+from cairnwork.operators import graph, lexical_index, metrics, retrieval, temporal, vectors
 from cairnwork.plans import views as V
+from cairnwork.plans.base import QUERIES, SQL, query
 from cairnwork.streaming import streams
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
-
-
 TERMS = f"WITH {V.TERMS_SQL}"
 GRAPH = f"WITH RECURSIVE {V.EDGES_SQL}, {V.NODES_SQL}"
 FILES = "files AS (SELECT doc_id, source || '/' || lang || '/' || doc_id || '.txt' AS path, text FROM documents)"
@@ -45,10 +32,14 @@ def corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return retrieval.term_frequencies(docs), docs.agg(F.count(F.lit(1)).alias("n"))
 
 
+def index_of(spark: SparkSession, sf_dir: str) -> lexical_index.LexicalIndex:
+    """The index of a directory's documents: built and published once an application, then read."""
+    return lexical_index.at_hand(spark, sf_dir, lambda: V.table(spark, sf_dir, "documents"))
+
+
 def batch_ranked(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    tf, n = corpus(spark, sf_dir)
     queries = V.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(retrieval.query_terms(F.col("text"))).alias("term"))
-    return retrieval.top_per_query(retrieval.bm25(tf, n, queries), k)
+    return retrieval.top_per_query(index_of(spark, sf_dir).search(queries), k)
 
 
 @query("tx_01_lines", r"""
@@ -75,9 +66,7 @@ def ag_01_corpus(spark, d):
 
 @query("rk_01_bm25", TERMS + ", q AS (SELECT 1 AS query_id, unnest(['erhe', 'ation', 'thion']) AS term)," + SCORED + " SELECT doc_id, score, rank FROM ranked WHERE rank <= 20")
 def rk_01(spark, d):
-    tf, n = corpus(spark, d)
-    queries = spark.createDataFrame([(1, t) for t in ("erhe", "ation", "thion")], "query_id long, term string")
-    return retrieval.top_per_query(retrieval.bm25(tf, n, queries), 20).drop("query_id")
+    return retrieval.top_per_query(index_of(spark, d).search_terms({1: ["erhe", "ation", "thion"]}), 20).drop("query_id")
 
 
 @query("rk_05_batch_bm25", TERMS + "," + BATCH + "," + SCORED + " SELECT query_id, doc_id, score, rank FROM ranked WHERE rank <= 20")
@@ -87,10 +76,9 @@ def rk_05(spark, d):
 
 @query("rk_07_scoped", TERMS + "," + BATCH + "," + SCORED + ", s AS (SELECT query_id, doc_id, score FROM scored JOIN documents USING (doc_id) WHERE source = 'src1') SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 5")
 def rk_07(spark, d):
-    tf, n = corpus(spark, d)
     queries = V.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(retrieval.query_terms(F.col("text"))).alias("term"))
     scoped = V.table(spark, d, "documents").filter("source = 'src1'").select("doc_id")
-    return retrieval.top_per_query(retrieval.bm25(tf, n, queries).join(scoped, "doc_id", "left_semi"), 5)
+    return retrieval.top_per_query(index_of(spark, d).search(queries).join(scoped, "doc_id", "left_semi"), 5)
 
 
 @query("rk_24_diverse", TERMS + "," + BATCH + "," + SCORED + ", t AS (SELECT query_id, doc_id, score, rank, source, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS p FROM ranked JOIN documents USING (doc_id) WHERE rank <= 20) SELECT query_id, doc_id, score, source, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM t WHERE p <= 2")
@@ -161,14 +149,6 @@ def sc_04(spark, d):
     return V.table(spark, d, "pages").select("page_id", T.minified(F.lit("page.html"), F.col("html")).alias("minified"))
 
 
-@query("tx_24_http_shape", r"""
-WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', '') AS p FROM pages),
-s AS (SELECT page_id, regexp_replace(list_aggregate(list_transform(string_split(p, '/'), lambda x: CASE WHEN regexp_full_match(x, '[0-9]+(\.[a-z]+)?') THEN '{}' ELSE x END), 'string_agg', '/'), '/+$', '') AS s FROM p)
-SELECT page_id, CASE WHEN s IS NULL OR s = '' THEN '/' ELSE s END AS shape FROM s""")
-def tx_24(spark, d):
-    return V.table(spark, d, "pages").select("page_id", T.http_shape(F.col("url")).alias("shape"))
-
-
 @query("pr_01_path_prefix", "WITH " + FILES + " SELECT doc_id FROM files WHERE path = 'src1/en' OR starts_with(path, 'src1/en/')")
 def pr_01(spark, d):
     return V.files(spark, d).filter(T.under(F.col("path"), "src1/en")).select("doc_id")
@@ -181,7 +161,7 @@ def sc_06(spark, d):
 
 @query("gr_17_compiled", GRAPH + " SELECT key, kind, name, path, row_number() OVER (ORDER BY key) - 1 AS node_id FROM nodes")
 def gr_17(spark, d):
-    return graph.compiled(V.nodes(spark, d))
+    return graph.compiled(V.nodes(spark, d).drop("qualified_name"))
 
 
 @query("ag_08_distinct_edges", GRAPH + " SELECT DISTINCT src, dst, relation FROM edges")
@@ -229,7 +209,7 @@ def gr_10(spark, d):
 @query("gr_11_dead", GRAPH + ", entry AS (SELECT 'o:' || o_orderkey AS key FROM orders WHERE o_orderpriority LIKE '1%') SELECT key, kind, name, path FROM nodes WHERE kind = 'function' AND key NOT IN (SELECT key FROM entry UNION SELECT dst FROM edges JOIN entry ON src = key WHERE relation = 'calls')")
 def gr_11(spark, d):
     entries = V.table(spark, d, "orders").filter("o_orderpriority LIKE '1%'").select(F.concat(F.lit("o:"), F.col("o_orderkey").cast("string")).alias("key"))
-    return graph.dead(V.nodes(spark, d), V.edges(spark, d).filter("relation = 'calls'"), entries, 12)
+    return graph.dead(V.nodes(spark, d).drop("qualified_name"), V.edges(spark, d).filter("relation = 'calls'"), entries, 12)
 
 
 @query("gr_07_simple_paths", GRAPH + """, start AS (SELECT 'o:' || min(o_orderkey) AS key FROM orders), steps AS (SELECT DISTINCT * FROM edges),
@@ -278,11 +258,6 @@ def jn_13(spark, d):
     return graph.shared_neighbours(V.edges(spark, d).filter("relation = 'possible-calls'"), 40)
 
 
-@query("rk_17_name_search", GRAPH + ", q AS (SELECT key, CASE WHEN lower(name) = 'nation_1' THEN 0 WHEN lower(name) LIKE 'nation_1%' THEN 1 WHEN lower(name) LIKE '%nation_1%' THEN 2 END AS a, CASE WHEN path = 'nation_1' THEN 6 WHEN path LIKE 'nation_1%' THEN 7 WHEN path LIKE '%nation_1%' THEN 8 END AS b FROM nodes) SELECT key, CAST(least(a, b) AS BIGINT) AS rank FROM q WHERE a IS NOT NULL OR b IS NOT NULL")
-def rk_17(spark, d):
-    return graph.name_ranks(V.nodes(spark, d), "nation_1")
-
-
 @query("gr_04_page_of_nodes", GRAPH + " SELECT key, kind FROM nodes WHERE kind = 'type' ORDER BY key LIMIT 50 OFFSET 100")
 def gr_04(spark, d):
     return V.nodes(spark, d).filter("kind = 'type'").select("key", "kind").orderBy("key").offset(100).limit(50)
@@ -361,3 +336,6 @@ def st_06(spark, d):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["rk_05_batch_bm25"](spark, sf_dir)
+
+
+from cairnwork.plans import graph_queries, text_queries  # noqa: E402, F401  (they fill the table)

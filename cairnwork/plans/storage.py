@@ -4,12 +4,26 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_local: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a temporary folder only on one machine where the session names none."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors and the driver share")
+    if "dir" not in _local:
+        _local["dir"] = tempfile.mkdtemp(prefix="cairnwork-")
+    return f"file://{_local['dir']}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to spark.checkpoint.dir (a temporary folder is set only where the session names none)."""
+    """df written to the shared folder and read back."""
     context = df.sparkSession.sparkContext
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="cairnwork-"))
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

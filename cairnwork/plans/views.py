@@ -35,10 +35,11 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(key, kind, name, path)"""
+    """(key, kind, name, path, qualified_name)"""
     def of(name: str, letter: str, column: str, label: str, kind: str) -> DataFrame:
         key = F.concat(F.lit(f"{letter}:"), F.col(column).cast("string"))
-        return table(spark, sf_dir, name).select(key.alias("key"), F.lit(kind).alias("kind"), F.col(label).cast("string").alias("name"), F.concat(F.lit(f"{name}/"), F.col(column).cast("string")).alias("path"))
+        shown, path = F.col(label).cast("string"), F.concat(F.lit(f"{name}/"), F.col(column).cast("string"))
+        return table(spark, sf_dir, name).select(key.alias("key"), F.lit(kind).alias("kind"), shown.alias("name"), path.alias("path"), F.concat(F.lit(f"{name}::"), shown).alias("qualified_name"))
 
     return reduce(DataFrame.unionByName, [
         of("region", "r", "r_regionkey", "r_name", "repository"), of("nation", "n", "n_nationkey", "n_name", "module"),
@@ -58,12 +59,12 @@ edges AS (
 
 NODES_SQL = """
 nodes AS (
-  SELECT 'r:' || r_regionkey AS key, 'repository' AS kind, r_name AS name, 'region/' || r_regionkey AS path FROM region
-  UNION ALL SELECT 'n:' || n_nationkey, 'module', n_name, 'nation/' || n_nationkey FROM nation
-  UNION ALL SELECT 'c:' || c_custkey, 'type', c_name, 'customer/' || c_custkey FROM customer
-  UNION ALL SELECT 's:' || s_suppkey, 'type', s_name, 'supplier/' || s_suppkey FROM supplier
-  UNION ALL SELECT 'p:' || p_partkey, 'function', p_name, 'part/' || p_partkey FROM part
-  UNION ALL SELECT 'o:' || o_orderkey, 'function', CAST(o_orderkey AS VARCHAR), 'orders/' || o_orderkey FROM orders)"""
+  SELECT 'r:' || r_regionkey AS key, 'repository' AS kind, r_name AS name, 'region/' || r_regionkey AS path, 'region::' || r_name AS qualified_name FROM region
+  UNION ALL SELECT 'n:' || n_nationkey, 'module', n_name, 'nation/' || n_nationkey, 'nation::' || n_name FROM nation
+  UNION ALL SELECT 'c:' || c_custkey, 'type', c_name, 'customer/' || c_custkey, 'customer::' || c_name FROM customer
+  UNION ALL SELECT 's:' || s_suppkey, 'type', s_name, 'supplier/' || s_suppkey, 'supplier::' || s_name FROM supplier
+  UNION ALL SELECT 'p:' || p_partkey, 'function', p_name, 'part/' || p_partkey, 'part::' || p_name FROM part
+  UNION ALL SELECT 'o:' || o_orderkey, 'function', CAST(o_orderkey AS VARCHAR), 'orders/' || o_orderkey, 'orders::' || o_orderkey FROM orders)"""
 
 TERMS_SQL = r"""
 runs AS (
@@ -77,3 +78,78 @@ toks AS (
 tf AS (SELECT doc_id, term, count(*) AS tf FROM toks GROUP BY ALL),
 dl AS (SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY doc_id),
 stats AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(dl) FROM dl) / (SELECT count(*) FROM documents) AS avgdl)"""
+
+
+def call_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst, relation): calls among parts, made of their keys, with paths of many steps, loops and diamonds."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("p"))
+    n = parts.agg(F.count(F.lit(1)).alias("n"))
+    key = lambda c: F.concat(F.lit("p:"), c.cast("string"))
+    rows = parts.crossJoin(n).select("p", "n", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
+    to = (F.col("p") * (F.col("k") + 2) + 7 * F.col("k") + 1) % F.col("n")
+    return rows.select(key(F.col("p")).alias("src"), key(to).alias("dst"), F.element_at(F.array(*map(F.lit, ("calls", "possible-calls", "references"))), F.col("k") + 1).alias("relation"))
+
+
+CALLS_SQL = """
+call_graph AS (
+  SELECT 'p:' || p_partkey AS src, 'p:' || ((p_partkey * (k + 2) + 7 * k + 1) % (SELECT count(*) FROM part)) AS dst, ['calls', 'possible-calls', 'references'][k + 1] AS relation
+  FROM part, (SELECT unnest(range(0, 3)) AS k))"""
+
+
+def unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, relation, expression, reason): references of orders that no node answers."""
+    o = table(spark, sf_dir, "orders")
+    reason = F.when(F.col("o_orderstatus") == "F", "no-definition").when(F.col("o_orderstatus") == "O", "ambiguous").otherwise("external")
+    relation = F.when(F.col("o_orderkey") % 3 == 0, "references").otherwise("calls")
+    return o.select(F.concat(F.lit("o:"), F.col("o_orderkey").cast("string")).alias("source"), relation.alias("relation"), F.col("o_orderpriority").alias("expression"), reason.alias("reason"))
+
+
+UNRESOLVED_SQL = """
+unresolved AS (
+  SELECT 'o:' || o_orderkey AS source, CASE WHEN o_orderkey % 3 = 0 THEN 'references' ELSE 'calls' END AS relation, o_orderpriority AS expression,
+         CASE o_orderstatus WHEN 'F' THEN 'no-definition' WHEN 'O' THEN 'ambiguous' ELSE 'external' END AS reason
+  FROM orders)"""
+
+
+def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, path, text): documents of two words or more as Markdown, every fifth line a heading of level 1 to 4."""
+    made = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 5 == 2, F.concat(F.repeat(F.lit("#"), (i % 4 + 1).cast("int")), F.lit(" "), x)).otherwise(x))
+    path = F.concat(F.lit("docs/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    return table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", path.alias("path"), F.array_join(made, "\n").alias("text"))
+
+
+MARKDOWN_SQL = """
+markdown AS (
+  SELECT doc_id, 'docs/' || source || '/' || doc_id || '.md' AS path,
+         array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN (i - 1) % 5 = 2 THEN repeat('#', CAST((i - 1) % 4 + 1 AS INT)) || ' ' || x ELSE x END), chr(10)) AS text
+  FROM documents WHERE text IS NOT NULL)"""
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, text): benchmark texts, some with words that paths have."""
+    more = F.when(F.col("item_id") % 3 == 0, " src1 en").when(F.col("item_id") % 3 == 1, " txt fr 12").otherwise("")
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat("text", more).alias("text"))
+
+
+ASKED_SQL = "asked AS (SELECT item_id AS query_id, text || CASE item_id % 3 WHEN 0 THEN ' src1 en' WHEN 1 THEN ' txt fr 12' ELSE '' END AS text FROM benchmark)"
+
+
+def exact_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, text): queries with signals of every kind, made of parts."""
+    p = F.col("p_partkey").cast("string")
+    forms = [
+        F.concat(F.lit('show "'), "p_name", F.lit('" please in src1')), F.concat(F.lit("version v1."), F.col("p_size").cast("string"), F.lit(".0, of go1.2-rc1")),
+        F.concat(F.lit("why ERR_CODE"), p, F.lit(" or 0x1F, (404) E_FAIL?")), F.concat(F.lit("server.port"), p, F.lit("=80 --db.host_name=x a.go=1")),
+        F.concat(F.lit("open src/part_"), p, F.lit(".go and main.rs")), F.concat(F.lit("where is parseHTTP"), p, F.lit(" or snake_case_x")),
+        F.lit("log.level: debug http://x.y log.level the and of"), F.concat(F.lit("unclosed \"quote and 'single word' `tick` "), p),
+    ]
+    text = F.element_at(F.array(*forms), (F.col("p_partkey") % 8 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), text.alias("text"))
+
+
+EXACT_SQL = """
+exact_queries AS (
+  SELECT p_partkey AS query_id, [
+    'show "' || p_name || '" please in src1', 'version v1.' || p_size || '.0, of go1.2-rc1', 'why ERR_CODE' || p_partkey || ' or 0x1F, (404) E_FAIL?',
+    'server.port' || p_partkey || '=80 --db.host_name=x a.go=1', 'open src/part_' || p_partkey || '.go and main.rs', 'where is parseHTTP' || p_partkey || ' or snake_case_x',
+    'log.level: debug http://x.y log.level the and of', 'unclosed "quote and ''single word'' `tick` ' || p_partkey][p_partkey % 8 + 1] AS text FROM part)"""
