@@ -139,6 +139,17 @@ def name_ranks(nodes: DataFrame, query: str) -> DataFrame:
     return found.filter("rank IS NOT NULL")
 
 
+#: Relations that cross stacks; they are followed first, then calls.
+INTERSTACK = "calls-endpoint handled-by publishes consumes reads-config invokes-process produces-message consumes-message".split()
+
+
+def adjacency(edges: DataFrame, key: str) -> DataFrame:
+    """(relation, key, place): neighbours in the order that traces follow: between stacks, calls, others; then by key and relation."""
+    met = edges.filter((F.col("src") == key) | (F.col("dst") == key)).select("relation", F.when(F.col("src") == key, F.col("dst")).otherwise(F.col("src")).alias("key"))
+    first = F.when(F.col("relation").isin(INTERSTACK), 0).when(F.col("relation").isin("calls", "possible-calls", "observed-calls"), 1).otherwise(2)
+    return met.withColumn("place", F.row_number().over(W.orderBy(first, "key", "relation")).cast("long"))
+
+
 DEFAULT_LIMIT, MOST_ROWS = 1000, 10_000
 
 

@@ -64,22 +64,67 @@ def test_overlap_is_reported_once(spark):
     assert [tuple(r) for r in temporal.overlapping(a, b, 8).collect()] == [(1, 7)]
 
 
-def test_facts_tree_and_snapshots(spark, tmp_path):
-    (tmp_path / "facts").mkdir()
-    (tmp_path / "facts/f.jsonl").write_text(
-        '{"record":"node","id":"1","kind":"function","name":"f","path":"a.go","qualified_name":"p.f"}\n'
-        '{"record":"node","id":"2","kind":"function","name":"g","path":"b.go","qualified_name":"p.g"}\n'
-        '{"record":"edge","source":"1","target":"2","relation":"calls"}\n{"record":"edge","source":"1","target":"9","relation":"calls"}\n'
-    )
-    nodes, edges, unresolved = files.read_facts(spark, str(tmp_path / "facts"))
-    assert nodes.count() == 2 and edges.count() == 1 and unresolved.count() == 0
-    (tmp_path / "tree/sub").mkdir(parents=True)
-    (tmp_path / "tree/sub/a.txt").write_text("text")
-    (tmp_path / "tree/b.bin").write_bytes(b"a\0b")
-    assert [r.text for r in files.read_tree(spark, str(tmp_path / "tree")).collect()] == ["text"]
+def test_facts_last_line_wins(spark, tmp_path):
+    from cairnwork.operators import facts
+
+    line = lambda i, name: f'{{"record":"node","id":"{i}","kind":"function","name":"{name}","path":"a.go","qualified_name":"p.f"}}\n'
+    (tmp_path / "a.jsonl").write_text(line(1, "z") + line(1, "a") + line(2, "old") + '{"record":"edge","source":"1","target":"9","relation":"calls"}\n{"record":"edge","source":"1","target":"","relation":"calls"}\n')
+    (tmp_path / "b.jsonl").write_text(line(2, "new") + line("", "no"))
+    nodes, edges, unresolved = facts.read_facts(spark, [str(tmp_path / "b.jsonl"), str(tmp_path / "a.jsonl")])
+    assert {r.id: r.name for r in nodes.collect()} == {"1": "a", "2": "new"} and edges.count() == 1 and unresolved.count() == 0
+    (tmp_path / "bad.jsonl").write_text("{no json\n")
+    with pytest.raises(Exception):
+        facts.read_facts(spark, [str(tmp_path / "bad.jsonl")])[0].collect()
+
+
+def test_fact_problems(spark, tmp_path):
+    from cairnwork.operators import facts
+
+    i = lambda c: "sha256:" + c * 64
+    rows = [
+        '{"record":"facts","schema_version":2,"adapter_version":"1","language":"go","repository":"r"}', f'{{"record":"node","id":"{i("b")}","kind":"function","name":"f","path":"a/../b.go","qualified_name":"q"}}',
+        f'{{"record":"node","id":"{i("a")}","kind":"function","name":"f","path":"a.go","qualified_name":"q","span":{{"path":"a.go","start_line":3,"start_column":1,"end_line":2,"end_column":1}}}}',
+        f'{{"record":"edge","source":"{i("a")}","target":"{i("c")}","relation":"calls"}}', '{"record":"node","id":"x","kind":"function","name":"f","path":"a.go","qualified_name":"q"}',
+    ]
+    (tmp_path / "f.jsonl").write_text("\n".join(rows))
+    got = sorted(r.problem for r in facts.problems(facts.parsed(spark, [str(tmp_path / "f.jsonl")])).collect())
+    assert got == ["header", "node id", "node path", "order", "order", "span", "unknown end"]
+
+
+def test_tree_and_snapshots(spark, tmp_path):
+    tree = {"sub/a.txt": b"text", "b.bin": b"a\0b", "node_modules/x.js": b"x", ".git/config": b"c", "yarn.lock": b"l", "gen.go": b"// Code generated by x; DO NOT EDIT", "docs/d.md": b"d"}
+    for name, data in tree.items():
+        (tmp_path / "tree" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "tree" / name).write_bytes(data)
+    root = str(tmp_path / "tree")
+    assert sorted(r.path for r in files.read_tree(spark, root).collect()) == ["docs/d.md", "sub/a.txt"]
+    assert [r.text for r in files.read_tree(spark, root, excluded=["docs"], extensions=[".txt", ".md"]).collect()] == ["text"]
+    assert sorted(r.path for r in files.read_tree(spark, root, generated=True).collect()) == ["docs/d.md", "gen.go", "node_modules/x.js", "sub/a.txt", "yarn.lock"]
+    store = str(tmp_path / "store")
+    assert files.pointer(spark, store) == 0
     for n in (1, 2):
-        files.publish(spark.range(n), str(tmp_path / "store"))
-        assert files.current(spark, str(tmp_path / "store")).count() == n
+        assert files.publish(spark.range(n), store) == n
+        assert files.current(spark, store).count() == n
+    with pytest.raises(files.Conflict):
+        files.publish(spark.range(9), store, expected=1)
+    assert files.current(spark, store).count() == 2 and files.current(spark, store, 1).count() == 1
+
+
+def test_shards_and_exports(spark, tmp_path):
+    df = spark.range(100).withColumn("v", F.lit("a"))
+    files.publish_shards(df, "id", str(tmp_path / "s"), 8)
+    files.publish_shards(df.withColumn("v", F.lit("b")), "id", str(tmp_path / "s"), 8, dirty=[3])
+    got = spark.read.parquet(str(tmp_path / "s"))
+    assert got.count() == 100 and {r.shard for r in got.filter("v = 'b'").collect()} == {3}
+    files.export_lines(spark.createDataFrame([("go", i) for i in (3, 1, 2)] + [("py", 1)], "language string, i int"), "language", ["i"], str(tmp_path / "e"))
+    assert sorted((r.language, r.i) for r in spark.read.json(str(tmp_path / "e")).collect()) == [("go", 1), ("go", 2), ("go", 3), ("py", 1)]
+
+
+def test_ledgers(spark):
+    from cairnwork.streaming import streams
+
+    known, response = (spark.createDataFrame([(k,) for k in keys], "k string") for keys in ("ab", "bcc"))
+    assert sorted(tuple(r) for r in streams.delta(response, known, ["k"]).collect()) == [("b", False), ("c", True)]
 
 
 def test_exact_signals_inside_words(spark):
