@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +22,14 @@ _local: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors and the driver see: spark.checkpoint.dir of the session.
 
-    Only where the session names none (tests on one machine) a temporary folder is made and set.
+    Only on one machine (tests), where the session names none, a temporary folder is made and set; a cluster without
+    that setting is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors and the driver share")
     if "dir" not in _local:
         _local["dir"] = tempfile.mkdtemp(prefix="cairnwork-")
         atexit.register(shutil.rmtree, _local["dir"], ignore_errors=True)
@@ -50,6 +54,7 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     Each task attempt writes a Parquet file of its own name and reports it; just the files that successful attempts
     reported are read, so what failed or repeated attempts leave behind does no harm. The files are written by the
     Python workers: on a file system without Hadoop's native library the JVM would start a process for each file.
+    The driver gets one name a file with rows, as it does from any listing of a table that Spark reads.
     """
     spark = df.sparkSession
     folder = shared_path(spark, name)
@@ -138,28 +143,40 @@ NUMBERS = "0-9²³¹¼½¾"
 WHITE = re.compile(r"[\x20\x09-\x0D]+")
 
 
-BITMAP_BITS = 32768  # what bitmap_construct_agg holds in one binary of 4 KiB
+class KeyFilter(NamedTuple):
+    """A Bloom filter of one hash: bitmap has 2^bits bits, in rows of 4 KiB."""
+
+    bitmap: DataFrame
+    bits: int
 
 
 def _slot(key, bits: int):
     return F.pmod(F.xxhash64(key), F.lit(1 << bits)) + F.lit(1)
 
 
-def key_filter(keys: DataFrame, column: str, bits: int = 23) -> DataFrame:
-    """A bitmap of 2^bits bits (1 MiB by default, whatever the input) with a bit set for every key; to be broadcast."""
+def key_filter(keys: DataFrame, column: str, least: int = 20, most: int = 29) -> KeyFilter:
+    """A bit set for every key, 16 bits a key or more up to 2^most bits (64 MiB), which bounds the broadcast; keys is counted."""
+    bits = min(most, max(least, (16 * keys.count()).bit_length()))
     slot = _slot(F.col(column), bits)
-    return (
+    bitmap = (
         keys.select(F.bitmap_bucket_number(slot).alias("__bucket"), F.bitmap_bit_position(slot).alias("__bit"))
         .groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__bitmap"))
     )
+    return KeyFilter(bitmap, bits)
 
 
-def maybe_in(rows: DataFrame, column: str, bitmap: DataFrame, bits: int = 23) -> DataFrame:
-    """Rows whose key may be in the key_filter: all that are, few others. No row is shuffled."""
-    slot = _slot(F.col(column), bits)
-    joined = rows.withColumns({"__bucket": F.bitmap_bucket_number(slot), "__bit": F.bitmap_bit_position(slot)}).join(F.broadcast(bitmap), "__bucket")
+def flagged(rows: DataFrame, column: str, known: KeyFilter, flag: str) -> DataFrame:
+    """rows with a boolean: whether the key may be in the filter. No row is shuffled."""
+    slot = _slot(F.col(column), known.bits)
+    joined = rows.withColumns({"__bucket": F.bitmap_bucket_number(slot), "__bit": F.bitmap_bit_position(slot)}).join(F.broadcast(known.bitmap), "__bucket", "left")
     byte = F.conv(F.hex(F.substring("__bitmap", F.shiftright(F.col("__bit"), 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return joined.withColumn("__byte", byte).filter("shiftright(__byte, cast(__bit % 8 as int)) & 1 = 1").drop("__bucket", "__bit", "__bitmap", "__byte")
+    found = joined.withColumn("__byte", byte).withColumn(flag, F.coalesce(F.expr("shiftright(__byte, cast(__bit % 8 as int)) & 1 = 1"), F.lit(False)))
+    return found.drop("__bucket", "__bit", "__bitmap", "__byte")
+
+
+def maybe_in(rows: DataFrame, column: str, known: KeyFilter) -> DataFrame:
+    """Rows whose key may be in the filter: all that are, few others."""
+    return flagged(rows, column, known, "__maybe").filter("__maybe").drop("__maybe")
 
 
 def salted_lookup(rows: DataFrame, unique: DataFrame, key: str, spread: str, how: str = "left", salts: int = 16) -> DataFrame:

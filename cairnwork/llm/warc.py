@@ -48,22 +48,26 @@ def base32_sha1(payload: bytes) -> str:
 
 
 def record_types(pages: DataFrame, min_bytes: int, salts: int = 32) -> DataFrame:
-    """pages with sha1 (hex), first (smallest page_id of that payload) and record_type."""
+    """(page_id, url, payload, record_type, refers_to): a payload's smallest page_id is its response.
+
+    Digests are counted on narrow rows. Only rows whose digest may be a repeated one (by a key filter) are joined with
+    its smallest page_id, a hot digest's rows being spread over `salts` tasks; all others pass by and are not shuffled.
+    """
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
         F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"),
-    ).withColumns({"sha1": F.sha1("payload"), "n_bytes": F.octet_length("payload").cast("long")})
-    rows = rows.withColumn("salt", common.salt_of("page_id", "url", n=salts))
-    firsts = (
-        rows.filter(F.col("n_bytes") >= min_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    ).withColumn("sha1", F.sha1("payload"))
+    repeated = (
+        rows.filter(F.octet_length("payload") >= min_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+        .filter("n > 1").select("sha1", "first")
     )
-    joined = rows.join(firsts, ["sha1", "salt"], "left")
+    repeated = common.materialize(repeated, "repeated")
+    marked = common.flagged(rows, "sha1", common.key_filter(repeated, "sha1"), "maybe")
+    joined = common.salted_lookup(marked.filter("maybe"), repeated, "sha1", "page_id", salts=salts)
     own = F.col("first").isNull() | F.col("first").eqNullSafe(F.col("page_id"))
-    return joined.select(
-        "page_id", "url", "payload", F.when(own, "response").otherwise("revisit").alias("record_type"),
-        F.when(~own, F.col("first")).alias("refers_to"),
-    )
+    columns = ["page_id", "url", "payload"]
+    found = joined.select(*columns, F.when(own, "response").otherwise("revisit").alias("record_type"), F.when(~own, F.col("first")).alias("refers_to"))
+    return found.unionByName(marked.filter("NOT maybe").select(*columns, F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to")))
 
 
 def _record(page_id, url, payload: bytes, digest: str, kind: str, refers_to) -> bytes:
