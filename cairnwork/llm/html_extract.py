@@ -8,14 +8,17 @@ forward-backward) on labelled pages made by html_pages; their number and seed ar
 same everywhere and its size does not depend on the pages to be read. Main blocks, in page order, are joined by \\n.
 
 Cases: null or empty html, or a page without main text, gives an empty text. Head, script, style, comments and other
-invisible content never make a block. Unclosed, crossed and cut-off tags are tolerated. White space inside a block is
-one space. Rows are independent: repeated rows give repeated results, an empty table none.
+invisible content never make a block. Unclosed, crossed and cut-off tags are tolerated; a tag with a quote that is not
+closed ends at its first >. A block's ancestors are its NEAREST innermost ones, and reading a page takes time linear in
+its length, however broken it is. White space inside a block is one space. Rows are independent: repeated rows give
+repeated results, an empty table none.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,9 +44,12 @@ CLOSED_BY = {
     "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}, "head": {"body"},
 }
 
-_token = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+NEAREST = 64
+_name = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+_stop = re.compile(r"[>\"']")
 _named = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _part = re.compile(r"[a-z]+")
+_closing = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 _space = re.compile(r"\s+")
 
 
@@ -54,17 +60,63 @@ class Block:
         self.text, self.path, self.linked = text, path, linked
 
 
-@lru_cache(4096)
 def _attribute_words(attributes: str) -> tuple[str, ...]:
+    return _words_of(attributes) if len(attributes) < 500 else _words_of.__wrapped__(attributes)
+
+
+@lru_cache(4096)
+def _words_of(attributes: str) -> tuple[str, ...]:
     found = {w for m in _named.finditer(attributes) for w in _part.findall((m[1] or m[2] or m[3] or "").lower())}
     return tuple(sorted(found))
 
 
+class Tags:
+    """The tags of a page, from any position on.
+
+    A quote counts as one only after =. Its closing one may have markup before it if the value ends like one there;
+    otherwise the quote is taken as never closed, and the tag ends at its first >.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last = page, {c: page.rfind(c) for c in ">\"'"}
+
+    def _end(self, at: int) -> int:
+        page, last = self.page, self.last
+        while at <= last[">"]:
+            m = _stop.search(page, at)
+            at = m.end()
+            if m[0] == ">":
+                return at
+            if page[m.start() - 1] != "=" and not page[max(0, m.start() - 20) : m.start()].rstrip().endswith("="):
+                continue
+            close = page.find(m[0], at) if at <= last[m[0]] else -1
+            if close < 0 or page.find("<", at, close) >= 0 and page[close + 1 : close + 2] not in (" ", "\t", "\n", "\r", "/", ">"):
+                return page.find(">", at) + 1
+            at = close + 1
+        return 0
+
+    def after(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """(from, to, name, closing, attributes) of the next tag; comments, doctypes and the like have an empty name."""
+        page = self.page
+        while (at := page.find("<", at)) >= 0:
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                return at, len(page) if end < 0 else end + 3, "", False, ""
+            if page[at + 1 : at + 2] in ("!", "?"):
+                return at, page.find(">", at) + 1 if at < self.last[">"] else len(page), "", False, ""
+            if m := _name.match(page, at + 1):
+                end = self._end(m.end())
+                return (at, end, m[1].lower(), page[at + 1] == "/", page[m.end() : end - 1]) if end else None
+            at += 1
+        return None
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """Leaf blocks in page order, white space inside them made one space, character references decoded."""
     blocks: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     text: list[str] = []
+    open_: Counter[str] = Counter()
     hidden = links = 0
     linked: list[str] = []
 
@@ -73,7 +125,7 @@ def leaf_blocks(page: str) -> list[Block]:
             whole = _space.sub(" ", entities.unescape("".join(text))).strip()
             if whole:
                 share = len(_space.sub(" ", entities.unescape("".join(linked))).strip()) / len(whole)
-                blocks.append(Block(whole, tuple(stack), min(1.0, share)))
+                blocks.append(Block(whole, tuple(stack[-NEAREST:]), min(1.0, share)))
             text.clear()
             linked.clear()
 
@@ -87,24 +139,23 @@ def leaf_blocks(page: str) -> list[Block]:
         nonlocal hidden
         for tag, _ in stack[depth:]:
             hidden -= tag in HIDDEN
+            open_[tag] -= 1
         del stack[depth:]
 
-    at = 0
-    while m := _token.search(page, at):
-        said(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
+    at, scan = 0, Tags(page)
+    while found := scan.after(at):
+        start, end, tag, closing, attributes = found
+        said(page[at:start])
+        at = end
         if not tag:
             continue
-        if m[1]:
+        if closing:
             if tag == "a":
                 links = max(0, links - 1)
             elif tag in BLOCK or tag in HIDDEN:
                 flush()
-                for depth in range(len(stack) - 1, -1, -1):
-                    if stack[depth][0] == tag:
-                        drop_to(depth)
-                        break
+                if open_[tag]:
+                    drop_to(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
                 links = 0 if tag in BLOCK else links
             continue
         if tag == "br":
@@ -116,15 +167,16 @@ def leaf_blocks(page: str) -> list[Block]:
             flush()
             while stack and tag in CLOSED_BY.get(stack[-1][0], ()):
                 drop_to(len(stack) - 1)
-            if tag not in VOID and not m[3].endswith("/"):
-                stack.append((tag, _attribute_words(m[3])))
+            if tag not in VOID and not attributes.endswith("/"):
+                stack.append((tag, _attribute_words(attributes)))
+                open_[tag] += 1
                 hidden += tag in HIDDEN
                 if tag in RAW:
-                    end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                    said(page[at : end.start() if end else len(page)])
+                    close = _closing[tag].search(page, at)
+                    said(page[at : close.start() if close else len(page)])
                     flush()
                     drop_to(len(stack) - 1)
-                    at = end.end() if end else len(page)
+                    at = close.end() if close else len(page)
     said(re.sub(r"<[/a-zA-Z!?].*\Z", "", page[at:], flags=re.S))
     flush()
     return blocks
@@ -136,7 +188,7 @@ def features(blocks: list[Block]) -> list[list[str]]:
     for i, b in enumerate(blocks):
         words = b.text.count(" ") + 1
         f = ["bias", f"own={b.path[-1][0] if b.path else ''}", f"words={min(7, words.bit_length())}", f"linked={int(4 * b.linked)}"]
-        f += {f"tag={t}" for t, _ in b.path} | {f"attr={w}" for _, ws in b.path for w in ws}
+        f += sorted({f"tag={t}" for t, _ in b.path} | {f"attr={w}" for _, ws in b.path for w in ws})
         f.append(f"place={5 * i // n}")
         f.append(f"ends={b.text[-1] if b.text[-1] in '.!?:,' else 'other'}")
         if b.text[0] == "©" or "©" in b.text[:40]:

@@ -1,6 +1,8 @@
 import re
+import time
 
 import numpy as np
+import pytest
 
 from cairnwork.llm import html_extract as hx
 
@@ -63,3 +65,18 @@ def test_cases(spark):
     assert len(got) == len(rows) and by[1] == by[2] == by[3] == "" and by[5] == by[None] == "One two three, four."
     assert by[6] == ("long text, " * 50_000).strip()
     assert hx.extract(pages.limit(0)).count() == 0
+
+
+def test_broken_tags():
+    blocks = lambda page: [b.text for b in hx.leaf_blocks(page)]
+    assert blocks('<p class="x>One two</p><p class="y">Three <b title="a > b">four</b></p>') == ["One two", "Three four"]
+    assert blocks("<p data-x='<b>no</b>'>Hi</p><script>x='</script><p>end</p>") == ["Hi", "end"]
+    assert blocks('<div class="x>never closed') == ["never closed"]
+    assert blocks("<p>a < b & 3<4</p><!-- <p>no</p> --><p>c") == ["a < b & 3<4", "c"]
+
+
+@pytest.mark.parametrize("bad", ['<a "', "<div>x", '<p class="x>y ', "</p>x", "<p \"'>", "<div class=\"a'>x</i>", '<a href="', "<!--", "<title>x", "<", "&", "<script>"])
+def test_long_broken_pages_take_linear_time(bad):
+    began = time.time()
+    hx.default_model().main_blocks(bad * (1_000_000 // len(bad)))
+    assert time.time() - began < 20
