@@ -5,14 +5,17 @@ model's size and the time to fit it do not grow with the table). The n-grams (3
 their borders) that occur in at least `least` of a language's sampled documents, at most `grams` of the most frequent
 for each language, go into that language's Bloom filter. The filters of all languages share their positions: slot i
 holds a bitmask with the bit of every language whose filter has bit i set, so that HASHES lookups, joined by AND, give
-all languages that contain an n-gram. The table has 2^SLOT_BITS slots, whatever the input, and is broadcast.
+all languages that contain an n-gram. The table has 2^SLOT_BITS slots, whatever the number of rows, and as many words a
+slot as the languages need at 64 a word; it is broadcast. `grams` and `least` bound the filters' fill: rarer n-grams
+would add little to the counts and more chance hits. tests/llm/test_langid.py holds held-out accuracy.
 
 Deciding: n-grams of the whole text are looked up; per language, the bits are counted. With a language's fill f, an
 n-gram that it lacks is found by chance with probability f^HASHES, which is taken out of the count. The corrected
 share is set against the share that the language's own sampled documents reach. The highest wins, ties going to the
 name that sorts first.
 
-Cases: `und` with score 0 if the text is null or has no letter, or if no language could be learned. Rows are
+Cases: `und` with score 0 if the text is null or has no letter (a character of Unicode's categories L), or if no
+language could be learned. Rows are
 independent; repeated rows give repeated results, an empty table none. The whole of a very long text is used.
 """
 
@@ -33,7 +36,7 @@ ORDERS = (3, 4, 5)
 HASHES = 3
 SLOT_BITS = 21
 SCHEMA = "lang_pred string, score double, coverage double"
-_letter = re.compile(r"[^\W\d_]")
+_letter = re.compile(r"[^\W\d_]")  # letters, and numbers such as ½ that are not decimal digits
 _to_space = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
 
@@ -61,6 +64,11 @@ def ngrams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield code[within] | np.uint64(n << 56), kept[np.minimum(starts, len(code))]
 
 
+def has_letter(text: str) -> bool:
+    found = _letter.search(text)
+    return found is not None and (found[0].isalpha() or any(map(str.isalpha, text)))
+
+
 def slots(codes: np.ndarray, slot_bits: int) -> list[np.ndarray]:
     mixed = common.mix64(codes)
     low = np.uint64((1 << slot_bits) - 1)
@@ -70,7 +78,7 @@ def slots(codes: np.ndarray, slot_bits: int) -> list[np.ndarray]:
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray  # bitmask of languages in each slot
+    tables: list[np.ndarray]  # bitmasks of up to 64 languages each in every slot
     chance: np.ndarray  # of each language: how likely an n-gram that it lacks is found
     usual: np.ndarray  # of each language: the corrected share that its own documents reach
     slot_bits: int
@@ -81,14 +89,17 @@ class Model:
         total = np.zeros(len(texts))
         for codes, bounds in ngrams(texts):
             total += np.diff(bounds)
-            found = None
-            for at in slots(codes, self.slot_bits):
-                found = self.table[at] if found is None else found & self.table[at]
-            if found is None or not len(found):
+            if not len(codes):
                 continue
-            counted = np.zeros(len(found) + 1, np.int64)
+            at = slots(codes, self.slot_bits)
+            counted = np.zeros(len(codes) + 1, np.int64)
             for i in range(len(self.languages)):
-                np.cumsum((found >> self.table.dtype.type(i)) & self.table.dtype.type(1), out=counted[1:])
+                if i % 64 == 0:
+                    table = self.tables[i // 64]
+                    found = table[at[0]]
+                    for more in at[1:]:
+                        found &= table[more]
+                np.cumsum((found >> table.dtype.type(i % 64)) & table.dtype.type(1), out=counted[1:])
                 hits[:, i] += counted[bounds[1:]] - counted[bounds[:-1]]
         share = hits / np.maximum(total, 1)[:, None]
         return np.clip((share - self.chance) / (1 - self.chance), 0, 1)
@@ -96,7 +107,7 @@ class Model:
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(language, score, corrected share) of each text."""
         langs, score, coverage = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
-        which = [i for i, t in enumerate(texts) if t and _letter.search(t)] if self.languages else []
+        which = [i for i, t in enumerate(texts) if t and has_letter(t)] if self.languages else []
         if which:
             share = self.shares([texts[i] for i in which])
             relative = share / self.usual
@@ -111,10 +122,10 @@ class Model:
 
 def _sampled(labelled: DataFrame, sample: int) -> tuple[list[str], DataFrame]:
     """The languages, and about `sample` of each one's rows, by a hash of their id."""
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(64).collect()}
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, sample / n))]) if counts else F.lit(None)
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return [], labelled
+    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, sample / n))])
     unit = F.pmod(F.xxhash64(F.lit("langid"), "id"), F.lit(1 << 30)) / float(1 << 30)
     return sorted(counts), labelled.filter(unit < share[F.col("lang")])
 
@@ -122,8 +133,6 @@ def _sampled(labelled: DataFrame, sample: int) -> tuple[list[str], DataFrame]:
 def fit(labelled: DataFrame, *, sample: int = 1500, grams: int = 60_000, least: float = 0.004, slot_bits: int = SLOT_BITS) -> Model:
     """Learn from rows (id, text, lang)."""
     languages, rows = _sampled(labelled.filter("lang IS NOT NULL AND text IS NOT NULL"), sample)
-    width = np.uint8 if len(languages) <= 8 else np.uint32 if len(languages) <= 32 else np.uint64
-    table = np.zeros(1 << slot_bits, width)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each language: in how many of its texts an n-gram occurs; a row -1 counts the texts."""
@@ -143,15 +152,17 @@ def fit(labelled: DataFrame, *, sample: int = 1500, grams: int = 60_000, least:
     counted = common.materialize(counted, "langid-grams")
     docs_of = {r["lang"]: r["n"] for r in counted.filter("gram = -1").collect()}
     languages = [x for x in languages if docs_of.get(x)]
+    width = np.uint8 if len(languages) <= 8 else np.uint32 if len(languages) <= 32 else np.uint64
+    tables = [np.zeros(1 << slot_bits, width) for _ in range(0, len(languages), 64)]
     found = {}
     for i, lang in enumerate(languages):
         enough = max(2, least * docs_of[lang]) if docs_of[lang] > 20 else 1
         top = counted.filter((F.col("lang") == lang) & (F.col("gram") != -1) & (F.col("n") >= enough)).orderBy(F.desc("n"), "gram").limit(grams)
         found[lang] = top.select("gram").toArrow().column("gram").to_numpy().view(np.uint64)
         for at in slots(found[lang], slot_bits):
-            table[at] |= width(1 << i)
-    fill = np.array([np.mean((table >> width(i)) & width(1)) for i in range(len(languages))])
-    model = Model(languages, table, fill**HASHES, np.ones(len(languages)), slot_bits)
+            tables[i // 64][at] |= width(1 << i % 64)
+    fill = np.array([np.mean((tables[i // 64] >> width(i % 64)) & width(1)) for i in range(len(languages))])
+    model = Model(languages, tables, fill**HASHES, np.ones(len(languages)), slot_bits)
     for i, lang in enumerate(languages):  # what its own documents reach, from a few of them
         own = [r["text"] for r in rows.filter(F.col("lang") == lang).orderBy(F.xxhash64("id")).select("text").limit(50).collect()]
         model.usual[i] = max(0.05, float(np.median(model.shares(own)[:, i]))) if own else 1.0

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -14,11 +16,11 @@ def test_ngrams_of_each_text():
 
 
 def test_lookup_returns_every_language_that_has_the_ngram():
-    model = langid.Model(["a", "b"], np.zeros(1 << 16, np.uint8), np.zeros(2), np.ones(2), 16)
+    model = langid.Model(["a", "b"], [np.zeros(1 << 16, np.uint8)], np.zeros(2), np.ones(2), 16)
     for bit, text in ((1, "shared alpha"), (2, "shared beta")):
         for codes, _ in langid.ngrams([text]):
             for at in langid.slots(codes, 16):
-                model.table[at] |= np.uint8(bit)
+                model.tables[0][at] |= np.uint8(bit)
     shares = model.shares(["shared", "alpha", "beta"])
     assert (shares[0] == 1).all() and shares[1][0] == 1 > shares[1][1] and shares[2][1] == 1 > shares[2][0]
 
@@ -41,3 +43,41 @@ def test_cases(spark):
     assert got[202].lang_pred == "en" and got[None].lang_pred == "de" and got[203].lang_pred != "und"
     assert langid.predict(docs.limit(0), langid.fit_documents(docs.limit(0))).count() == 0
     assert langid.predict(docs, langid.fit_documents(docs.limit(0))).filter("lang_pred <> 'und'").count() == 0
+
+
+def test_against_exact_sets(spark, sf_dir):
+    """The query's languages with plain sets of n-grams in place of filters, learned from the same rows."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = docs.withColumn("held", langid.held_out(F.col("doc_id"))).collect()
+
+    def grams(text):
+        data = langid._bytes(text)
+        return [data[i : i + n] for n in langid.ORDERS for i in range(len(data) - n + 1)]
+
+    texts = {}
+    for r in rows:
+        if not r.held and r.lang is not None and r.text is not None:
+            texts.setdefault(r.lang, []).append(r.text)
+    known, usual = {}, {}
+    for lang, own in texts.items():
+        n = Counter(g for t in own for g in set(grams(t)))
+        enough = max(2, 0.004 * len(own)) if len(own) > 20 else 1
+        known[lang] = {g for g, k in n.items() if k >= enough}
+    share = lambda text, lang: sum(g in known[lang] for g in grams(text)) / max(1, len(grams(text)))
+    for lang, own in texts.items():
+        usual[lang] = max(0.05, float(np.median([share(t, lang) for t in own])))
+    want = {r.doc_id: max(sorted(known), key=lambda x, t=r.text: share(t, x) / usual[x]) if r.text and langid.has_letter(r.text) else "und" for r in rows}
+    got = {r.doc_id: r.lang_pred for r in langid.op3_langid(spark, sf_dir).collect()}
+    assert got.keys() == want.keys() and sum(got[i] == want[i] for i in got) >= 0.99 * len(got)
+
+
+def test_letters():
+    assert [langid.has_letter(x) for x in ("½ Ⅷ ² 12", "½a", "漢", "_-!", "ª", "")] == [False, True, True, False, True, False]
+
+
+def test_more_languages_than_a_word_has_bits(spark):
+    word = lambda i, k: f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + k)}qu{chr(97 + (i * 7 + k) % 26)}"
+    rows = [(100 * i + j, " ".join(word(i, k) for k in range(j, j + 12)), f"l{i:03d}") for i in range(70) for j in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.predict(docs, langid.fit(docs.withColumnRenamed("doc_id", "id"))).collect()
+    assert np.mean([r.lang == r.lang_pred for r in got]) > 0.98 and len({r.lang_pred for r in got}) >= 69
