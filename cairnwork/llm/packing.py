@@ -8,10 +8,11 @@ Documents are cut where that saves padding: whole capacities first; then, while
 1/`waste` of itself empty in its class, a piece of exactly the next class's size is cut off. At most the last piece of
 a document is inexact.
 
-Three passes. (1) Each worker fills the bins of its own pieces; the table of pieces is then written to the shared
-folder. (2) What is left in unfilled bins, at most j - 1 pieces per worker and class, is dealt by class and filled in
-the same way. (3) What is left then, at most j - 1 pieces per class in all (a constant: under 15,000 pieces at 4096),
-is put into shared sequences, longest first, each going into the open sequence or a new one.
+First each worker fills the bins of its own pieces; the table of pieces is then written to the shared folder. What is
+left in unfilled bins, at most j - 1 pieces per worker and class, goes up a tree: FAN workers' rests of a class meet in
+one task and are filled in the same way, until one group is left, so that no task gets more than FAN * (j - 1) pieces
+of a class however many workers there were. What is left then, at most j - 1 pieces per class in all (a constant: under
+15,000 pieces at 4096), is put into shared sequences, longest first, each going into the open sequence or a new one.
 
 Cases: a null text is an empty one, which yields one piece of the end token alone. Rows are independent, so repeated
 rows and null ids are packed like any other. Very long texts are cut into many pieces. An empty table gives no piece.
@@ -24,6 +25,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +38,9 @@ from cairnwork.llm import common
 CAPACITY = 4096
 END_ID = 2
 WASTE = 64
+FAN = 16
 IDS = "<u4"
-SCHEMA = (
-    "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, room int, sequence_id long, offset long"
-)
+SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, room int, worker int, sequence_id long, offset long"
 
 
 class WordTokenizer:
@@ -145,22 +146,25 @@ class Bins:
         return [p for held in self.open.values() for p in held]
 
 
-def _arrow_schema(with_ids: bool) -> pa.Schema:
+def _arrow_schema(id_kind: pa.DataType, with_ids: bool) -> pa.Schema:
     kinds = {"long": pa.int64(), "int": pa.int32()}
-    return pa.schema([(n, kinds[k]) for n, k in (f.split() for f in SCHEMA.split(", "))] + [("ids", pa.binary())] * with_ids)
+    return pa.schema([("doc_id", id_kind)] + [(n, kinds[k]) for n, k in (f.split() for f in SCHEMA.split(", "))] + [("ids", pa.binary())] * with_ids)
 
 
 def pack(
     docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *,
     capacity: int = CAPACITY, end_id: int = END_ID, waste: int = WASTE, with_ids: bool = True,
 ) -> DataFrame:
-    """One row per piece: SCHEMA, and with_ids its ids as packed little-endian 32-bit numbers."""
-    schema, columns = _arrow_schema(with_ids), SCHEMA + ", ids binary" * with_ids
+    """One row per piece: doc_id (of the id's own type), SCHEMA without worker, and with_ids its ids as packed little-endian 32-bit numbers."""
+    narrow = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    schema = _arrow_schema(narrow.select("id").limit(0).toArrow().schema.field("id").type, with_ids)
+    columns = f"doc_id {dict(narrow.dtypes)['id']}, {SCHEMA}" + ", ids binary" * with_ids
     room = rooms(capacity)
     spark = docs.sparkSession
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, bins = WordTokenizer.load(tokenizer), Bins(capacity, TaskContext.get().partitionId())
+        worker = TaskContext.get().partitionId()
+        t, bins = WordTokenizer.load(tokenizer), Bins(capacity, worker)
         end = np.array([end_id], IDS).tobytes()
         for batch in common.slices(batches, "text", 1 << 20):
             out: list[dict] = []
@@ -169,7 +173,7 @@ def pack(
                 n, start = len(ids) // 4, 0
                 for length in cuts(n, capacity, waste, room):
                     own = ids[4 * start : 4 * (start + length)]
-                    piece = {"doc_id": doc, "start": start, "length": length, "ids_crc32": zlib.crc32(own), "doc_tokens": n, "room": int(room[length])}
+                    piece = {"doc_id": doc, "start": start, "length": length, "ids_crc32": zlib.crc32(own), "doc_tokens": n, "room": int(room[length]), "worker": worker}
                     if with_ids:
                         piece["ids"] = own
                     out += bins.add(piece)
@@ -179,16 +183,24 @@ def pack(
 
     def again(stage: int):
         def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bins = Bins(capacity, (stage << 20) + TaskContext.get().partitionId())
+            """Rows come sorted by group and class; what a class of a group leaves goes on as it is."""
+            bins, at = Bins(capacity, (stage << 20) + TaskContext.get().partitionId()), None
             for batch in batches:
-                yield pa.RecordBatch.from_pylist([p for x in batch.to_pylist() for p in bins.add(x)], schema=schema)
+                out = []
+                for x in batch.to_pylist():
+                    if (x["worker"], x["room"]) != at:
+                        out += bins.rest()
+                        bins.open.clear()
+                        at = x["worker"], x["room"]
+                    out += bins.add(x)
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
             yield pa.RecordBatch.from_pylist(bins.rest(), schema=schema)
 
         return fill
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Longest first; each piece goes into the first open sequence with room for it, of the few that are open."""
-        bins, open_, n_open = Bins(capacity, 3 << 20), [], 16
+        bins, open_, n_open = Bins(capacity, 1 << 30), [], 16
         for batch in batches:
             out = []
             for piece in batch.to_pylist():
@@ -204,14 +216,20 @@ def pack(
             yield pa.RecordBatch.from_pylist(out, schema=schema)
         yield pa.RecordBatch.from_pylist([p for x in open_ for p in bins.close(x[1])], schema=schema)
 
-    narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    pieces = common.materialize(narrow.mapInArrow(first, columns), "pieces")
-    left = pieces.filter("sequence_id IS NULL").repartition(common.shuffle_partitions(spark), "room")
-    second = common.materialize(left.mapInArrow(again(2), columns), "pieces-by-class")
+    filled = [common.materialize(narrow.mapInArrow(first, columns), "pieces")]
+    workers = (filled[0].agg(F.max("worker")).first()[0] or 0) + 1
+    stage = 1
+    while True:
+        workers = -(-workers // FAN)
+        left = filled[-1].filter("sequence_id IS NULL").withColumn("worker", (F.col("worker") / FAN).cast("int"))
+        dealt = left.repartition(common.shuffle_partitions(spark), "worker", "room").sortWithinPartitions("worker", "room")
+        filled.append(common.materialize(dealt.mapInArrow(again(stage), columns), f"pieces-{stage}"))
+        if workers == 1:
+            break
+        stage += 1
     order = [F.desc("length"), "doc_id", "start", "ids_crc32"]
-    third = second.filter("sequence_id IS NULL").coalesce(1).sortWithinPartitions(*order).mapInArrow(last, columns)
-    filled = [x.filter("sequence_id IS NOT NULL") for x in (pieces, second)]
-    return filled[0].unionByName(filled[1]).unionByName(third)
+    rest = filled[-1].filter("sequence_id IS NULL").coalesce(1).sortWithinPartitions(*order).mapInArrow(last, columns)
+    return reduce(DataFrame.unionByName, [*(x.filter("sequence_id IS NOT NULL") for x in filled), rest]).drop("worker")
 
 
 def op6_packing(spark, sf_dir: str) -> DataFrame:

@@ -48,6 +48,19 @@ def test_cases(spark):
     check(spark, [(i, f"tiny {i}") for i in range(40)], capacity=64)
 
 
+def test_rests_go_up_a_tree(spark):
+    """More workers than FAN ** 2, ids of another type."""
+    docs = spark.createDataFrame([(f"d{i}", f"tiny {i}") for i in range(700)], "doc_id string, text string").repartition(300)
+    got = packing.pack(docs, PATH, capacity=64).collect()
+    assert len(got) == 700 and {p.doc_id for p in got} == {f"d{i}" for i in range(700)}
+    sequences = {}
+    for p in got:
+        sequences.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    for held in sequences.values():
+        assert [o for o, _ in sorted(held)] == [sum(n for _, n in sorted(held)[:i]) for i in range(len(held))] and sum(n for _, n in held) <= 64
+    assert sum(p.length for p in got) >= 0.9 * 64 * (len(sequences) - 1)
+
+
 def test_repeated_rows_and_empty_table(spark):
     got, _ = check(spark, [(1, "twice"), (1, "twice")])
     assert len(got) == 2
