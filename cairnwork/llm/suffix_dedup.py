@@ -543,7 +543,7 @@ def remove_repeats(
     """One row per input row: id_col, n_bytes, n_removed, n_spans, kept_sha256, spans [(from, to) in bytes], and with_text kept_text.
 
     kept_text is what remains; bytes of characters that a cut went through are left out of it. With it come the input's
-    other columns, as the fields of one column `others`.
+    other columns, as the fields of one column `others`. Rows without a marked start (by a key filter) are not shuffled.
     """
     rows = _rows(docs, id_col, text_col, with_text)
     marks = repeated_starts(rows, length, window or max(1, length * 4 // 5), group)
@@ -569,8 +569,11 @@ def remove_repeats(
     changed = texts.mapInArrow(
         run, "doc long, n_removed long, n_spans long, kept string, spans array<struct<from: long, to: long>>, kept_text string",
     ).dropDuplicates(["doc"])
-    whole = rows.select("doc", "id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.encode("text", "UTF-8"), 256).alias("sha"), *([c for c in ("text", "others") if c in rows.columns] if with_text else []))
-    out = whole.join(changed, "doc", "left")
+    whole = rows.select("doc", "id", F.octet_length("text").cast("long").alias("n_bytes"), "text", *(["others"] if "others" in rows.columns else []))
+    marked = common.flagged(whole, "doc", common.key_filter(lists, "doc"), "maybe")
+    sha = F.sha2(F.encode("text", "UTF-8"), 256)
+    touched = marked.filter("maybe").withColumn("sha", sha).drop("maybe", *([] if with_text else ["text"])).join(changed, "doc", "left")
+    out = touched.unionByName(marked.filter("NOT maybe").withColumn("sha", sha).drop("maybe"), allowMissingColumns=True)
     zero: Callable[[str], object] = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return out.select(
         F.col("id").alias(id_col), "n_bytes", zero("n_removed"), zero("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256"),
@@ -580,4 +583,5 @@ def remove_repeats(
 
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    return remove_repeats(common.table(spark, sf_dir, "documents"), length=LENGTH).drop("spans")
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs, length=LENGTH, with_text=True).withColumnRenamed("kept_text", "text")
