@@ -29,7 +29,7 @@ NGRAM_LIMITS = {5: 0.30, 6: 0.28, 7: 0.26, 8: 0.25, 9: 0.24, 10: 0.23}
 #: The most of a document's word characters that may lie in lines that repeat an earlier line.
 LINE_LIMIT = 0.30
 SCHEMA = (
-    "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
+    "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "base_failed boolean, kept boolean, coverage array<double>, line_coverage double"
 )
 
@@ -130,7 +130,7 @@ def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: SCHEMA."""
+    """One row per input row: doc_id (of the id's own type) and SCHEMA."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         limits = np.array([NGRAM_LIMITS[n] for n in sorted(NGRAM_LIMITS)])
@@ -146,8 +146,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "coverage", "line_coverage"],
             )
 
-    narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return narrow.mapInArrow(run, SCHEMA)
+    narrow = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    return narrow.mapInArrow(run, f"doc_id {dict(narrow.dtypes)['id']}, {SCHEMA}")
 
 
 def op7_repetition(spark, sf_dir: str) -> DataFrame:

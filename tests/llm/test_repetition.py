@@ -54,5 +54,10 @@ def test_table_against_brute_force(spark, sf_dir):
     check(spark, rows)
 
 
+def test_ids_of_other_types(spark):
+    docs = spark.createDataFrame([("x", "a b"), (None, None)], "doc_id string, text string")
+    assert {r.doc_id: r.n_words for r in quality(docs).collect()} == {"x": 2, None: 0}
+
+
 def test_empty_table(spark):
     assert quality(spark.createDataFrame([], "doc_id long, text string")).count() == 0
