@@ -43,6 +43,14 @@ def lines(text: Column) -> Column:
     return F.when(F.trim(F.regexp_replace(text, r"\s", " ")) == "", F.array().cast("array<string>")).otherwise(F.split(plain, "\n"))
 
 
+def declaration_header(text: Column, most_lines: int = 6, most_bytes: int = 768, cut: bool = True) -> Column:
+    """The first lines, trimmed, that are neither blank nor comments alone: at most six, or as many as reach 768 bytes, cut there."""
+    trimmed = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+\z", ""))
+    kept = F.slice(F.filter(trimmed, lambda x: (x != "") & ~x.rlike(r"^(//|#|--|/\*|\*|<!--)")), 1, most_lines)
+    head = F.aggregate(kept, F.lit(""), lambda held, x: F.when(held == "", x).when(F.octet_length(held) >= most_bytes, held).otherwise(F.concat(held, F.lit("\n"), x)))
+    return F.decode(F.substring(F.encode(head, "UTF-8"), 1, most_bytes), "UTF-8") if cut else head
+
+
 def base_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 

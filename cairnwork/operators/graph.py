@@ -65,6 +65,13 @@ def distances(edges: DataFrame, entries: DataFrame, depth: int, reverse: bool =
     return seen
 
 
+def closure(depends: DataFrame, changed: DataFrame, depth: int) -> DataFrame:
+    """(key, part): what is to be emitted again, the changed (key) and all that depend on them, and the context: what these depend on themselves."""
+    emit = cut(distances(depends, changed, depth, reverse=True).select("key"))
+    context = depends.join(emit.withColumnRenamed("key", "src"), "src", "left_semi").select(F.col("dst").alias("key")).distinct().join(emit, "key", "left_anti")
+    return emit.withColumn("part", F.lit("emit")).unionByName(context.withColumn("part", F.lit("context")))
+
+
 def impact(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """Dependents of start with their distance, start itself left out."""
     return distances(edges.filter(F.col("relation").isin(IMPACT)), start, depth, reverse=True).filter("depth > 0")

@@ -21,6 +21,11 @@ def unit(v: Column, dims: int) -> Column:
     return F.when(good, F.transform(cut, lambda x: x.cast("double") / norm))
 
 
+def cache_key(*parts: Column) -> Column:
+    """One digest for what a vector was made of: model, dimensions, purpose, text; null counts as empty."""
+    return F.sha2(F.concat_ws("\x00", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)), 256)
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, score, rank) by inner product, ties by id.
 
