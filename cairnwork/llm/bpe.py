@@ -3,17 +3,21 @@
 1. Every document is split into pre-tokens ("words"). Each task counts its words and sends those it met twice or more
    to a global count; the `head` most frequent, at most `head_bytes` bytes each, form the head of the distinct-word
    table. Its size is bounded by these two parameters, so it is encoded at once and broadcast.
-2. All other occurrences travel as (document, position, word), dealt by word and sorted: each distinct word is encoded
-   once where its run begins, and the ids go back under (document, position). A word frequent enough to be hot is in
-   the head, so no key of this exchange is.
-3. Documents are joined with their gathered tail ids, the head is looked up, and ids stand in order of position.
-   Decoding replaces each id by its piece from the id-to-piece table, whose size is that of the vocabulary.
+2. All other occurrences travel as (row, position, word), dealt by word and sorted: each distinct word is encoded once
+   where its run begins, and the ids go back under (row, position). A short word frequent enough to be hot is in the
+   head; words over head_bytes bytes, which the head leaves out, are dealt over SALTS tasks by their row, so that no
+   key of this exchange is hot.
+3. Each text goes on as its words' places in the head, of one byte to three each, with holes for the tail, and meets the
+   ids of its tail words in one exchange by row, sorted by position: it comes first, then its tail's ids as the stream
+   goes by. The head is looked up, and ids stand in order of position.
+4. Decoding joins ids with the id-to-piece table by Arrow's take: the table is that of the vocabulary, so of a fixed
+   size and at hand in every worker, and the pieces of a batch come out one after another as the text.
 
 Words come from a pattern equal to the vocabulary's for plain Latin text and from the tokenizer's own
 pre-tokenizer for anything else; the strings of added tokens are cut out first, as the library does.
 
-Cases: null and empty texts give no tokens. Rows are identified by (id, hash of the text), so repeated rows each get
-the full result and a null id is no obstacle. Very long texts are a batch of their own. An empty table gives an
+Cases: null and empty texts give no tokens. Rows are identified by 64-bit hashes of the id and of the text, so repeated
+rows each get the full result and a null id is no obstacle. Very long texts are a batch of their own. An empty table gives an
 empty table; other columns of the input are ignored.
 """
 
@@ -24,6 +28,7 @@ import os
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +38,7 @@ from pyspark.sql import functions as F
 from cairnwork.llm import common
 
 IDS = "<u4"
+SALTS = 16
 
 
 class Vocabulary:
@@ -71,9 +77,14 @@ class Vocabulary:
             return self._words.findall(text)
         return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
+    @property
+    def narrow(self) -> str:
+        """The type that the ids of words travel in."""
+        return "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else IDS
+
     def encode(self, words: list[str]) -> list[bytes]:
-        """Ids of each word, packed as little-endian 32-bit numbers."""
-        return [np.array(e.ids, IDS).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        """Ids of each word, packed as numbers of the type `narrow`."""
+        return [np.array(e.ids, self.narrow).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def pieces(self) -> list[bytes]:
         """The bytes that each id stands for."""
@@ -87,14 +98,56 @@ class Vocabulary:
             self._pieces = table
         return self._pieces
 
-    def id_strings(self) -> list[bytes]:
-        if not hasattr(self, "_id_strings"):
-            self._id_strings = [b"%d" % i for i in range(self.tokenizer.get_vocab_size())]
-        return self._id_strings
+    def tables(self) -> tuple[pa.Array, pa.Array]:
+        """By id: its piece, and its decimal digits with a comma."""
+        if not hasattr(self, "_tables"):
+            self._tables = pa.array(self.pieces(), pa.binary()), pa.array([b"%d," % i for i in range(len(self.pieces()))], pa.binary())
+        return self._tables
+
+
+def numbers(rows: list[list[int]]) -> Iterator[bytes]:
+    """Each row's numbers (below 2^21) as bytes of seven bits, the lowest first, the last of a number below 128."""
+    flat = np.fromiter(chain.from_iterable(rows), np.uint32)
+    n = 1 + (flat >= 1 << 7).astype(np.int64) + (flat >= 1 << 14)
+    ends = np.concatenate(([0], np.cumsum(n, dtype=np.int64)))
+    out = np.zeros(ends[-1], np.uint8)
+    for i in range(3):
+        some = np.flatnonzero(n > i)
+        out[ends[some] + i] = (flat[some] >> np.uint32(7 * i) & np.uint32(127)) | np.where(n[some] > i + 1, 128, 0)
+    at = ends[np.concatenate((np.zeros(1, np.int64), np.cumsum([len(x) for x in rows], dtype=np.int64)))].tolist()
+    for i, j in zip(at[:-1], at[1:], strict=True):
+        yield out[i:j].tobytes()
+
+
+def numbers_of(data: bytes) -> np.ndarray:
+    """The numbers of one row."""
+    b = np.frombuffer(data, np.uint8)
+    last = b < 128
+    number = np.cumsum(last) - last  # which number each byte is of
+    start = np.flatnonzero(np.concatenate(([True], last[:-1]))) if len(b) else np.zeros(0, np.int64)
+    out = np.zeros(len(start), np.int64)
+    np.add.at(out, number, (b & 127).astype(np.int64) << 7 * (np.arange(len(b)) - start[number]))
+    return out
+
+
+def _joined(table: pa.Array, ids: list[bytes]) -> Iterator[bytes]:
+    """What the table has for the ids of each row, one after another."""
+    bounds = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids])))
+    taken = table.take(pa.array(np.frombuffer(b"".join(ids), IDS)))
+    if not len(taken):
+        yield from [b""] * len(ids)
+        return
+    _, offsets, data = taken.buffers()
+    at = np.frombuffer(offsets, np.int32)[taken.offset + bounds]
+    view = memoryview(data) if data is not None else memoryview(b"")
+    for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        yield bytes(view[i:j])
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    """(id, text, k1, k2): the last two name a row."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    return rows.withColumns({"k1": F.xxhash64("id"), "k2": F.xxhash64("text")})
 
 
 def head_words(rows: DataFrame, vocabulary: str, head: int, head_bytes: int, held: int = 400_000) -> list[str]:
@@ -128,23 +181,27 @@ def encode_rows(
     spark = docs.sparkSession
     rows = _rows(docs, id_col, text_col)
     words = head_words(rows, vocabulary, head, head_bytes)
-    known = spark.sparkContext.broadcast(dict(zip(words, Vocabulary.load(vocabulary).encode(words), strict=True)))
+    known = spark.sparkContext.broadcast({w: i + 1 for i, w in enumerate(words)})
+    heads = spark.sparkContext.broadcast([b"", *Vocabulary.load(vocabulary).encode(words)])
 
     def tail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, words_known = Vocabulary.load(vocabulary), known.value
         for batch in common.slices(batches, "text"):
-            doc, position, words = [], [], []
+            row, position, words = [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 found = [x for x in enumerate(v.split(text)) if x[1] not in words_known]
-                doc += [i] * len(found)
+                row += [i] * len(found)
                 position += [at for at, _ in found]
                 words += [w for _, w in found]
-            doc = pa.array(doc, pa.int32())
+            row = pa.array(row, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(doc), batch.column("text_key").take(doc), pa.array(position, pa.int32()), pa.array(words, pa.string())],
-                names=["id", "text_key", "position", "word"],
+                [batch.column("k1").take(row), batch.column("k2").take(row), pa.array(position, pa.int32()), pa.array(words, pa.string())],
+                names=["k1", "k2", "position", "word"],
             )
 
+    kind = dict(rows.dtypes)["id"]
+    kind_arrow = rows.select("id").limit(0).toArrow().schema.field("id").type
+
     def encode_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by word: each run of one word is encoded once."""
         v, last, last_ids = Vocabulary.load(vocabulary), None, b""
@@ -156,46 +213,66 @@ def encode_rows(
             if distinct:
                 last, last_ids = distinct[-1], ids[-1]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("id", "text_key", "position")), pa.array(ids, pa.binary()).take(runs.indices)],
-                names=["id", "text_key", "position", "ids"],
+                [*(batch.column(c) for c in ("k1", "k2", "position")), pa.nulls(batch.num_rows, kind_arrow), pa.array(ids, pa.binary()).take(runs.indices)],
+                names=["k1", "k2", "position", "id", "payload"],
             )
 
-    kind = dict(rows.dtypes)["id"]
-    parts = common.shuffle_partitions(spark)
-    occurrences = rows.mapInArrow(tail, f"id {kind}, text_key long, position int, word string")
+    columns = f"k1 long, k2 long, position int, id {kind}, payload binary"
+    occurrences = rows.mapInArrow(tail, "k1 long, k2 long, position int, word string")
+    salt = F.when(F.octet_length("word") > head_bytes, F.pmod("k1", F.lit(SALTS))).otherwise(0)
     encoded = (
-        occurrences.repartition(parts, "word").sortWithinPartitions("word")
-        .mapInArrow(encode_runs, f"id {kind}, text_key long, position int, ids binary")
+        occurrences.withColumn("salt", salt).repartition(common.shuffle_partitions(spark), "word", "salt").drop("salt")
+        .sortWithinPartitions("word").mapInArrow(encode_runs, columns)
     )
-    tails = encoded.groupBy("id", "text_key").agg(F.collect_list(F.struct("position", "ids")).alias("tail"))
-    tails = tails.select(F.col("id").alias("t_id"), F.col("text_key").alias("t_key"), "tail")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        packer = zstandard.ZstdCompressor(level=1)
+        v, place, packer = Vocabulary.load(vocabulary), known.value.get, zstandard.ZstdCompressor(level=3)
         for batch in common.slices(batches, "text"):
-            packed = pa.array([packer.compress(t.encode()) for t in batch.column("text").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_key"), packed], names=["id", "text_key", "packed"])
+            codes = [list(map(place, v.split(t), repeat(0))) for t in batch.column("text").to_pylist()]
+            packed = pa.array([packer.compress(x) for x in numbers(codes)], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("k1"), batch.column("k2"), pa.array(np.full(batch.num_rows, -1, np.int32)), batch.column("id"), packed],
+                names=["k1", "k2", "position", "id", "payload"],
+            )
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row's text (more than once if the row is repeated), then the ids of its tail words."""
         import zstandard
 
-        v, d, unpack = Vocabulary.load(vocabulary), known.value, zstandard.ZstdDecompressor()
-        for batch in common.slices(batches, "packed", 1 << 20):
-            out = []
-            for packed, tail_of in zip(batch.column("packed"), batch.column("tail"), strict=True):
-                ids = list(map(d.get, v.split(unpack.decompress(packed.as_py()).decode())))
-                if tail_of.is_valid:
-                    found = tail_of.values
-                    for at, x in zip(found.field("position").to_pylist(), found.field("ids").to_pylist(), strict=True):
-                        ids[at] = x
-                out.append(b"".join(ids))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], names=["id", "ids"])
+        v, head, unpack = Vocabulary.load(vocabulary), heads.value.__getitem__, zstandard.ZstdDecompressor()
+        row, own, held, done, size = None, [], [], [], 0
+
+        def finish() -> None:
+            if own:
+                ids = np.frombuffer(b"".join(held), v.narrow).astype(IDS).tobytes()
+                done.extend((i, ids) for i in own)
+
+        def out() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array([i for i, _ in done], kind_arrow), pa.array([x for _, x in done], pa.binary())], names=["id", "ids"])
+            done.clear()
+            return made
+
+        for batch in batches:
+            for k1, k2, position, i, payload in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "position", "id", "payload")), strict=True):
+                if position < 0:
+                    if (k1, k2) == row:
+                        own.append(i)
+                        continue
+                    finish()
+                    size += 4 * len(held)
+                    if size > 1 << 20:
+                        yield out()
+                        size = 0
+                    row, own, held = (k1, k2), [i], list(map(head, numbers_of(unpack.decompress(payload)).tolist()))
+                else:
+                    held[position] = payload
+        finish()
+        yield out()
 
-    packed = rows.mapInArrow(pack, f"id {kind}, text_key long, packed binary")
-    joined = packed.join(tails, packed["id"].eqNullSafe(tails["t_id"]) & (packed["text_key"] == tails["t_key"]), "left")
-    return joined.select("id", "packed", "tail").mapInArrow(assemble, f"id {kind}, ids binary")
+    met = rows.mapInArrow(pack, columns).unionByName(encoded).repartition(common.shuffle_partitions(spark), "k1", "k2")
+    return met.sortWithinPartitions("k1", "k2", "position").mapInArrow(assemble, f"id {kind}, ids binary")
 
 
 def decode_rows(encoded: DataFrame, vocabulary: str) -> DataFrame:
@@ -203,9 +280,9 @@ def decode_rows(encoded: DataFrame, vocabulary: str) -> DataFrame:
     kind = dict(encoded.dtypes)["id"]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = Vocabulary.load(vocabulary).pieces()
+        piece, _ = Vocabulary.load(vocabulary).tables()
         for batch in common.slices(batches, "ids"):
-            texts = [b"".join(map(piece.__getitem__, np.frombuffer(x, IDS).tolist())).decode(errors="replace") for x in batch.column("ids").to_pylist()]
+            texts = [x.decode(errors="replace") for x in _joined(piece, batch.column("ids").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string())], names=["id", "text"])
 
     return encoded.select("id", "ids").mapInArrow(decode, f"id {kind}, text string")
@@ -217,18 +294,13 @@ def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
     kind = dict(encoded.dtypes)["id"]
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary.load(vocabulary)
-        piece, name = v.pieces(), v.id_strings()
+        piece, digits = Vocabulary.load(vocabulary).tables()
         for batch in common.slices(batches, "ids"):
-            n, of_ids, of_text = [], [], []
-            for x in batch.column("ids").to_pylist():
-                ids = np.frombuffer(x, IDS).tolist()
-                n.append(len(ids))
-                of_ids.append(hashlib.sha256(b",".join(map(name.__getitem__, ids))).hexdigest())
-                text = b"".join(map(piece.__getitem__, ids))
-                of_text.append(hashlib.sha256(text.decode(errors="replace").encode()).hexdigest())
+            ids = batch.column("ids").to_pylist()
+            of_ids = [hashlib.sha256(x[:-1]).hexdigest() for x in _joined(digits, ids)]
+            of_text = [hashlib.sha256(x.decode(errors="replace").encode()).hexdigest() for x in _joined(piece, ids)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())],
+                [batch.column("id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())],
                 names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 

@@ -47,6 +47,16 @@ def test_table_with_a_small_head(spark, tok, sf_dir):
     check(spark, tok, rows, head=200)
 
 
+def test_hot_words_longer_than_the_head_takes(spark, tok):
+    rows = [(i, f"{'=' * 90} start{i} {'word' * 30}") for i in range(200)]
+    check(spark, tok, rows)
+
+
+def test_ids_of_other_types(spark):
+    docs = spark.createDataFrame([("x", "some words"), (None, "a b")], "doc_id string, text string")
+    assert {r.doc_id: r.n_tokens for r in bpe.round_trip(docs, PATH).collect()} == {"x": 2, None: 2}
+
+
 def test_decode_and_empty_table(spark):
     docs = spark.createDataFrame(CASES[:4], "doc_id long, text string")
     got = {r.id: r.text for r in bpe.decode_rows(bpe.encode_rows(docs, PATH), PATH).collect()}
@@ -61,3 +71,9 @@ def test_words_encode_as_the_text_does(text):
     words = v.split(text)
     assert "".join(words) == text
     assert [i for e in v.tokenizer.encode_batch_fast(words, add_special_tokens=False) for i in e.ids] == v.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.one_of(st.integers(0, 3), st.integers(120, 140), st.integers(16_380, 16_390), st.integers(0, (1 << 21) - 1)), max_size=9), max_size=5))
+def test_numbers_round_trip(rows):
+    assert [bpe.numbers_of(x).tolist() for x in bpe.numbers(rows)] == rows
