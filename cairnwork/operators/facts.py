@@ -229,3 +229,16 @@ def garbage(versions: DataFrame, keep: int) -> DataFrame:
     """Versions (name, current, pinned, at) to delete: neither the current one, nor pinned, nor among the last `keep`."""
     place = F.row_number().over(W.orderBy(F.desc("at"), "name"))
     return versions.withColumn("place", place).filter(~F.col("current") & ~F.col("pinned") & (F.col("place") > keep)).select("name")
+
+
+def source_spans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(path, start_line, end_line, kind, name): declarations (key, kind, name, qualified_name, path, start_line, end_line) that bound chunks.
+
+    Functions, methods, tests and types that no callable defines, in files of the repository; edges: (src, dst, relation).
+    """
+    kind = F.lower(F.trim("kind"))
+    callers = nodes.filter(kind.isin("function", "method", "test")).select(F.col("key").alias("src"))
+    inner = edges.filter("relation = 'defines'").join(callers, "src", "left_semi").select(F.col("dst").alias("key"))
+    rows = nodes.filter(kind.isin("function", "method", "test", "type") & (F.col("start_line") > 0) & (F.trim("path") != "") & ~F.trim("path").startswith("@")).join(inner, "key", "left_anti")
+    name = F.when(F.trim("name") != "", F.trim("name")).otherwise(F.trim("qualified_name"))
+    return rows.select(F.trim("path").alias("path"), "start_line", F.greatest("start_line", "end_line").alias("end_line"), kind.alias("kind"), name.alias("name"))

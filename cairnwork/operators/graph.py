@@ -157,6 +157,66 @@ def adjacency(edges: DataFrame, key: str) -> DataFrame:
     return met.withColumn("place", F.row_number().over(W.orderBy(first, "key", "relation")).cast("long"))
 
 
+def impact_in_order(edges: DataFrame, starts: DataFrame, depth: int, limit: int) -> DataFrame:
+    """(place, key, depth, relation): the first `limit` nodes that a queue finds from starts (key), which follows neighbours in adjacency order.
+
+    Level by level: each node keeps the least trail of (class, key, relation) steps that reaches it, which is the order
+    of the queue; once the limit is reached no further level is taken.
+    """
+    both = edges.select(F.col("src").alias("key"), F.col("dst").alias("next"), "relation").unionByName(edges.select(F.col("dst").alias("key"), F.col("src").alias("next"), "relation")).distinct()
+    first = F.when(F.col("relation").isin(INTERSTACK), 0).when(F.col("relation").isin("calls", "possible-calls", "observed-calls"), 1).otherwise(2)
+    steps = cut(both.groupBy("key", "next").agg(F.min(F.struct(first.alias("class"), F.col("next").alias("node"), "relation")).alias("step")))
+    trail = "array<struct<class: int, node: string, relation: string>>"
+    at = starts.select("key").distinct().select("key", F.array(F.struct(F.lit(0).alias("class"), F.col("key").alias("node"), F.lit("").alias("relation"))).cast(trail).alias("trail"))
+    seen, found, n = cut(at.select("key")), None, 0
+    for level in range(1, depth + 1):
+        reached = at.join(steps, "key").select(F.col("next").alias("key"), F.concat("trail", F.array("step")).alias("trail"))
+        at = cut(reached.groupBy("key").agg(F.min("trail").alias("trail")).join(seen, "key", "left_anti"))
+        got = at.withColumn("depth", F.lit(level).cast("long"))
+        found, seen, n = got if found is None else found.unionByName(got), seen.unionByName(at.select("key")), n + at.count()
+        if n >= limit or at.isEmpty():
+            break
+    best = found.orderBy("depth", "trail").limit(limit)
+    return best.select((F.row_number().over(W.orderBy("depth", "trail")) - 1).cast("long").alias("place"), "key", "depth", F.element_at("trail", -1)["relation"].alias("relation"))
+
+
+#: Operations of the graph protocol.
+OPERATIONS = (
+    "capabilities search_nodes resolve_symbol resolve_file list_nodes export_graph neighbors paths reachability impact shortest_call_chain "
+    "dead_symbols operational_role architecture_summary unresolved stats diff"
+).split()
+
+
+def capabilities(spark) -> DataFrame:
+    """(operation): what can be asked of a graph."""
+    return spark.createDataFrame([(o,) for o in OPERATIONS], "operation string")
+
+
+#: How near a relation brings two seeds.
+NEARNESS = {1.0: "calls routes handles publishes subscribes implements overrides", 0.8: "reads writes passes_to inherits extends uses", 0.4: "contains declares owns belongs_to"}
+
+
+def centrality_among(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """(query_id, key, centrality): how closely each seed (query_id, key, base) is tied to a query's others, of the best.
+
+    A relation between two counts by its kind, neighbours in common 0.15 each up to four, both times half plus the
+    other's base. Seeds of a query are few (a bounded pool), so that pairs of them are too.
+    """
+    weight = F.when(F.lit(False), 0.0)
+    for w, names in NEARNESS.items():
+        weight = weight.when(F.lower(F.trim("relation")).isin(names.split()), w)
+    both = edges.select(F.col("src").alias("key"), F.col("dst").alias("next"), "relation").unionByName(edges.select(F.col("dst").alias("key"), F.col("src").alias("next"), "relation"))
+    mine = cut(both.join(seeds.select("key").distinct(), "key", "left_semi").withColumn("weight", weight.otherwise(0.6)).distinct())
+    other = seeds.select("query_id", F.col("key").alias("next"), F.col("base").alias("anchor"))
+    direct = seeds.select("query_id", "key").join(mine, "key").join(other, ["query_id", "next"]).filter("next <> key").select("query_id", "key", (F.col("weight") * (F.col("anchor") + 0.5)).alias("raw"))
+    near = mine.select("key", "next").distinct()
+    pairs = seeds.select("query_id", "key").join(near, "key").join(other.select("query_id", F.col("next").alias("o"), "anchor").join(near.withColumnRenamed("key", "o"), "o"), ["query_id", "next"]).filter("o <> key")
+    shared = pairs.groupBy("query_id", "key", "o", "anchor").agg(F.count(F.lit(1)).alias("n")).select("query_id", "key", (F.least("n", F.lit(4)) * 0.15 * (F.col("anchor") + 0.5)).alias("raw"))
+    raw = seeds.select("query_id", "key", F.lit(0.0).alias("raw")).unionByName(direct).unionByName(shared).groupBy("query_id", "key").agg(F.sum("raw").alias("raw"))
+    best = F.max("raw").over(W.partitionBy("query_id"))
+    return raw.select("query_id", "key", F.when(best > 0, F.col("raw") / best).otherwise(0.0).alias("centrality"))
+
+
 DEFAULT_LIMIT, MOST_ROWS = 1000, 10_000
 
 

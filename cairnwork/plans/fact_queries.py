@@ -269,3 +269,35 @@ def ag_15(spark, d):
     count = lambda x, n: x.groupBy("relation").agg(F.count(F.lit(1)).alias(n))
     both = count(e, "before").join(count(graph.distinct_edges(e.filter("relation <> 'contains'")), "after"), "relation", "full_outer").fillna(0)
     return both.withColumn("delta", F.col("after") - F.col("before"))
+
+
+@query("tx_07_source_spans", """
+WITH n AS (SELECT 'p:' || p_partkey AS key, ['function', 'type', 'Method ', 'variable'][p_partkey % 4 + 1] AS kind, CASE WHEN p_size % 7 = 0 THEN ' ' ELSE p_name END AS name, 'q.' || p_name AS qualified_name, CASE WHEN p_size % 11 = 0 THEN '@x' ELSE p_brand END AS path, p_size % 50 AS s, p_size % 50 - 2 + p_partkey % 5 AS e FROM part),
+d AS (SELECT 'p:' || p_partkey AS src, 'p:' || (p_partkey * 3 + 1) AS dst FROM part), i AS (SELECT dst FROM d JOIN n ON src = key WHERE lower(trim(kind)) IN ('function', 'method'))
+SELECT path, s AS start_line, greatest(s, e) AS end_line, lower(trim(kind)) AS kind, CASE WHEN trim(name) <> '' THEN trim(name) ELSE qualified_name END AS name FROM n WHERE kind <> 'variable' AND s > 0 AND path NOT LIKE '@%' AND key NOT IN (SELECT dst FROM i)""")
+def tx_07(spark, d):
+    p, k = V.table(spark, d, "part"), F.col("p_partkey")
+    size = F.col("p_size")
+    nodes = p.select(key("p", "p_partkey").alias("key"), F.element_at(F.array(*map(F.lit, ("function", "type", "Method ", "variable"))), (k % 4 + 1).cast("int")).alias("kind"), F.when(size % 7 == 0, " ").otherwise(F.col("p_name")).alias("name"), F.concat(F.lit("q."), "p_name").alias("qualified_name"), F.when(size % 11 == 0, "@x").otherwise(F.col("p_brand")).alias("path"), (size % 50).alias("start_line"), (size % 50 - 2 + k % 5).alias("end_line"))
+    edges = p.select(key("p", "p_partkey").alias("src"), F.concat(F.lit("p:"), (k * 3 + 1).cast("string")).alias("dst"), F.lit("defines").alias("relation"))
+    return facts.source_spans(nodes, edges)
+
+
+@query("sc_14_dependencies", """
+WITH p AS (SELECT p_partkey AS k, p_size AS s FROM part)
+SELECT 'a/' || k || '/package.json' AS path, 'npm' AS ecosystem, 'lib' || k AS target, 'dependency:npm:lib' || k AS identity, 'runtime' AS category, '^' || s || '.0' AS "constraint", 'dependencies' AS source FROM p
+UNION ALL SELECT 'a/' || k || '/package.json', 'npm', 'dev-' || s, 'dependency:npm:dev-' || s, 'development', '*', 'devDependencies' FROM p
+UNION ALL SELECT 'a/' || k || '/requirements-dev.txt', 'pypi', 'my-lib' || k, 'dependency:pypi:my-lib' || k, 'runtime', '>=' || s, 'requirements' FROM p UNION ALL SELECT 'a/' || k || '/requirements-dev.txt', 'pypi', 'plain', 'dependency:pypi:plain', 'runtime', '', 'requirements' FROM p
+UNION ALL SELECT 'a/' || k || '/go.mod', 'go', 'example.com/m' || k, 'dependency:go:example.com/m' || k, 'runtime', 'v1.' || s || '.0', 'require' FROM p""")
+def sc_14(spark, d):
+    from cairnwork.sources import manifests
+
+    p = V.table(spark, d, "part")
+    k, s = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    made = {
+        "package.json": F.concat(F.lit('{"dependencies": {"lib'), k, F.lit('": "^'), s, F.lit('.0", "here": "file:../x"}, "devDependencies": {"dev-'), s, F.lit('": "*"}}')),
+        "requirements-dev.txt": F.concat(F.lit("My_Lib"), k, F.lit("[x] >="), s, F.lit("  # why\n-e .\nplain\ngit+https://x/y\n")),
+        "go.mod": F.concat(F.lit("module m\n\nrequire (\n\texample.com/m"), k, F.lit(" v1."), s, F.lit(".0\n)\n")),
+    }
+    rows = [p.select(F.concat(F.lit("a/"), k, F.lit(f"/{name}")).alias("path"), text.alias("text")) for name, text in made.items()]
+    return manifests.dependencies(rows[0].unionByName(rows[1]).unionByName(rows[2]))

@@ -54,11 +54,11 @@ def gr_05(spark, d):
 
 @query("gr_07_paths", CALLS + """, steps AS (SELECT DISTINCT * FROM call_graph), walk AS (
   SELECT 'p:1' AS key, ['p:1'] AS seen, 'p:1' AS path, 0 AS depth, ['p:1', ''] AS ord UNION ALL
-  SELECT dst, list_append(seen, dst), path || '>' || relation || '>' || dst, depth + 1, ord || [dst, relation] FROM walk JOIN steps ON walk.key = src WHERE depth < 7 AND walk.key <> 'p:9' AND NOT list_contains(seen, dst)),
-hit AS (SELECT path, depth, ord FROM walk WHERE key = 'p:9' ORDER BY ord LIMIT 25)
+  SELECT dst, list_append(seen, dst), path || '>' || relation || '>' || dst, depth + 1, ord || [dst, relation] FROM walk JOIN steps ON walk.key = src WHERE depth < 7 AND walk.key <> 'p:15' AND NOT list_contains(seen, dst)),
+hit AS (SELECT path, depth, ord FROM walk WHERE key = 'p:15' ORDER BY ord LIMIT 25)
 SELECT row_number() OVER (ORDER BY ord) - 1 AS place, path, CAST(depth AS BIGINT) AS depth FROM hit""")
 def gr_07(spark, d):
-    return graph.paths(V.call_graph(spark, d), "p:1", "p:9", 7, 25)
+    return graph.paths(V.call_graph(spark, d), "p:1", "p:15", 7, 25)
 
 
 CHAIN_SQL = """, steps AS (SELECT src, dst, min(relation) AS relation FROM call_graph WHERE relation IN ('calls', 'possible-calls') GROUP BY ALL), walk AS (
@@ -66,10 +66,10 @@ CHAIN_SQL = """, steps AS (SELECT src, dst, min(relation) AS relation FROM call_
 best AS (SELECT * FROM walk WHERE key = '{1}' ORDER BY len(rels), nodes, rels LIMIT 1)"""
 
 
-@query("gr_08_shortest_chain", CALLS + CHAIN_SQL.format("p:2", "p:77") + " SELECT 'p:2' AS start, nodes[1] || array_to_string(list_transform(range(1, len(nodes)), lambda i: '>' || rels[i] || '>' || nodes[i + 1]), '') AS path, CAST(len(rels) AS BIGINT) AS depth FROM best")
+@query("gr_08_shortest_chain", CALLS + CHAIN_SQL.format("p:2", "p:95") + " SELECT 'p:2' AS start, nodes[1] || array_to_string(list_transform(range(1, len(nodes)), lambda i: '>' || rels[i] || '>' || nodes[i + 1]), '') AS path, CAST(len(rels) AS BIGINT) AS depth FROM best")
 def gr_08(spark, d):
     start = spark.createDataFrame([("p:2",)], "key string")
-    return graph.shortest_chain(graph.call_edges(V.call_graph(spark, d)), start, "p:77", 12)
+    return graph.shortest_chain(graph.call_edges(V.call_graph(spark, d)), start, "p:95", 12)
 
 
 REACH = """, steps AS (SELECT DISTINCT {a} AS a, {b} AS b FROM call_graph WHERE relation IN ({rels})),
@@ -93,12 +93,12 @@ def gr_11(spark, d):
     return graph.dead(V.nodes(spark, d), calls, spark.createDataFrame([("p:3",)], "key string"), 6).select("key")
 
 
-@query("gr_12_operational_role", CALLS + CHAIN_SQL.format("p:2", "p:77") + """, e AS (SELECT DISTINCT * FROM call_graph)
-SELECT 'incoming' AS section, relation AS label, count(*) AS n FROM e WHERE dst = 'p:77' GROUP BY relation UNION ALL SELECT 'outgoing', relation, count(*) FROM e WHERE src = 'p:77' GROUP BY relation
-UNION ALL SELECT 'caller', src, count(*) FROM e WHERE dst = 'p:77' AND relation LIKE '%calls' GROUP BY src UNION ALL SELECT 'callee', dst, count(*) FROM e WHERE src = 'p:77' AND relation LIKE '%calls' GROUP BY dst
+@query("gr_12_operational_role", CALLS + CHAIN_SQL.format("p:2", "p:95") + """, e AS (SELECT DISTINCT * FROM call_graph)
+SELECT 'incoming' AS section, relation AS label, count(*) AS n FROM e WHERE dst = 'p:95' GROUP BY relation UNION ALL SELECT 'outgoing', relation, count(*) FROM e WHERE src = 'p:95' GROUP BY relation
+UNION ALL SELECT 'caller', src, count(*) FROM e WHERE dst = 'p:95' AND relation LIKE '%calls' GROUP BY src UNION ALL SELECT 'callee', dst, count(*) FROM e WHERE src = 'p:95' AND relation LIKE '%calls' GROUP BY dst
 UNION ALL SELECT 'entry chain', nodes[1] || array_to_string(list_transform(range(1, len(nodes)), lambda i: '>' || rels[i] || '>' || nodes[i + 1]), ''), len(rels) FROM best""")
 def gr_12(spark, d):
-    return graph.operational_role(V.call_graph(spark, d), "p:77", spark.createDataFrame([("p:2",)], "key string"), 12)
+    return graph.operational_role(V.call_graph(spark, d), "p:95", spark.createDataFrame([("p:2",)], "key string"), 12)
 
 
 COMMUNITY_SQL = CALLS + "," + V.NODES_SQL + """, own AS (SELECT key, kind, path FROM nodes WHERE path = 'part' OR starts_with(path, 'part/')), e AS (
@@ -197,3 +197,33 @@ def gr_30(spark, d):
         row = sound.toDF("x").crossJoin(near.toDF("y")).select(F.lit(topology).alias("topology"), (F.col("x") & F.col("y")).alias("sound"))
         made = row if made is None else made.unionByName(row)
     return made
+
+
+@query("gr_00_capabilities", "SELECT unnest(['" + "', '".join(graph.OPERATIONS) + "']) AS operation")
+def gr_00(spark, d):
+    return graph.capabilities(spark)
+
+
+@query("gr_19_impact_in_order")
+def gr_19(spark, d):
+    """Held against a queue in tests/test_sections.py."""
+    return graph.impact_in_order(V.call_graph(spark, d), spark.createDataFrame([("p:1",)], "key string"), 6, 200)
+
+
+@query("gr_21_reversed_paths", CALLS + """, steps AS (SELECT DISTINCT * FROM call_graph), walk AS (
+  SELECT 'p:15' AS key, ['p:15'] AS seen, 'p:15' AS path, 0 AS depth UNION ALL SELECT src, list_append(seen, src), src || '>' || relation || '>' || path, depth + 1 FROM walk JOIN steps ON walk.key = dst WHERE depth < 6 AND walk.key <> 'p:1' AND NOT list_contains(seen, src))
+SELECT path, CAST(depth AS BIGINT) AS depth FROM walk WHERE key = 'p:1'""")
+def gr_21(spark, d):
+    """From the target back: the same paths, turned round."""
+    back = V.call_graph(spark, d).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "relation")
+    return graph.paths(back, "p:15", "p:1", 6, 1000).select(F.array_join(F.reverse(F.split("path", ">")), ">").alias("path"), "depth")
+
+
+@query("rk_20_centrality", CALLS + """, s AS (SELECT 1 AS query_id, 'p:' || p_partkey AS key, p_size / 100.0 AS base FROM part WHERE p_size <= 8), b AS (SELECT DISTINCT * FROM (SELECT src AS key, dst AS nx, relation FROM call_graph UNION ALL SELECT dst, src, relation FROM call_graph)),
+d AS (SELECT s.key, CASE WHEN relation = 'calls' THEN 1.0 ELSE 0.6 END * (0.5 + o.base) AS raw FROM s JOIN b ON s.key = b.key JOIN s o ON o.key = nx WHERE nx <> s.key),
+p AS (SELECT s.key, o.key AS ok, o.base, count(*) AS n FROM s JOIN (SELECT DISTINCT key, nx FROM b) x ON x.key = s.key JOIN (SELECT DISTINCT key, nx FROM b) y ON y.nx = x.nx JOIN s o ON o.key = y.key WHERE o.key <> s.key GROUP BY ALL),
+r AS (SELECT key, sum(raw) AS raw FROM (SELECT key, raw FROM d UNION ALL SELECT key, 0.15 * least(n, 4) * (0.5 + base) FROM p UNION ALL SELECT key, 0 FROM s) GROUP BY key)
+SELECT key, CAST(round(raw / (SELECT max(raw) FROM r), 6) AS DOUBLE) AS centrality FROM r""")
+def rk_20(spark, d):
+    seeds = V.table(spark, d, "part").filter("p_size <= 8").select(F.lit(1).alias("query_id"), F.concat(F.lit("p:"), F.col("p_partkey").cast("string")).alias("key"), (F.col("p_size") / 100.0).alias("base"))
+    return graph.centrality_among(seeds, V.call_graph(spark, d)).select("key", F.round("centrality", 6).alias("centrality"))

@@ -143,3 +143,38 @@ def test_names_of_every_rank(spark):
     assert {r.key: r["rank"] for r in graph.name_ranks(df, " aBc ").collect()} == {str(i + 1): i for i in range(9)}
     assert graph.name_ranks(df, "  ").count() == 0
     assert [r.key for r in graph.name_ranks(df, "abc\\D").collect()] == ["6"]
+
+
+def test_impact_against_a_queue(spark):
+    r = random.Random(9)
+    edges = sorted({(f"n{r.randrange(30)}", f"n{r.randrange(30)}", r.choice(["calls", "handled-by", "reads", "possible-calls"])) for _ in range(70)})
+    near = {}
+    order = lambda rel: 0 if rel == "handled-by" else 1 if "calls" in rel else 2
+    for a, b, rel in edges:
+        near.setdefault(a, set()).add((order(rel), b, rel))
+        near.setdefault(b, set()).add((order(rel), a, rel))
+    queue, seen, want = [("n0", 0)], {"n0"}, []
+    while queue and len(want) < 12:
+        node, depth = queue.pop(0)
+        if depth >= 3:
+            continue
+        for _, other, rel in sorted(near.get(node, ())):
+            if other not in seen and len(want) < 12:
+                seen.add(other)
+                want.append((len(want), other, depth + 1, rel))
+                queue.append((other, depth + 1))
+    df = spark.createDataFrame(edges, "src string, dst string, relation string")
+    assert [tuple(x) for x in graph.impact_in_order(df, spark.createDataFrame([("n0",)], "key string"), 3, 12).orderBy("place").collect()] == want
+
+
+def test_ignore_rules(spark):
+    from cairnwork.sources import ignore
+
+    control = [(".gitignore", "# c\n*.log\n/build\n!keep.log\ndocs/*.txt\ncache/\n**/deep/x?\n"), ("sub/.gitignore", "!*.log\nonly\n")]
+    found = ignore.rules(spark.createDataFrame(control, "path string, text string"))
+    paths = {
+        "a.log": True, "x/a.log": True, "keep.log": False, "build": True, "build/a": True, "x/build": False, "docs/a.txt": True, "docs/x/a.txt": False, "cache/a": True, "x/cache/y/z": True,
+        "cache": False, "a/deep/xy": True, "deep/xy": True, "sub/a.log": False, "sub/only": True, "only": False, "sub/x/only/y": True, "plain.go": False, "cache/keep.log": True,
+    }
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    assert {r.path: r.x for r in df.select("path", ignore.ignored(F.col("path"), found).alias("x")).collect()} == paths
