@@ -73,7 +73,7 @@ class Vocabulary:
         return self._split(text)
 
     def _split(self, text: str) -> list[str]:
-        if self._plain.fullmatch(text):
+        if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f\x7f") or self._plain.fullmatch(text):
             return self._words.findall(text)
         return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
@@ -228,7 +228,7 @@ def encode_rows(
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        v, place, packer = Vocabulary.load(vocabulary), known.value.get, zstandard.ZstdCompressor(level=3)
+        v, place, packer = Vocabulary.load(vocabulary), known.value.get, zstandard.ZstdCompressor(level=1)
         for batch in common.slices(batches, "text"):
             codes = [list(map(place, v.split(t), repeat(0))) for t in batch.column("text").to_pylist()]
             packed = pa.array([packer.compress(x) for x in numbers(codes)], pa.binary())
