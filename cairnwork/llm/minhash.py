@@ -14,7 +14,7 @@
    dropped. The pairs left are never listed: a task reports which classes have one, and joins the components that have
    one between them, of which it reports a forest. The connected components so joined are clusters.
 5. In each cluster every class outside its largest component is held against every reported class of another one, on
-   the full sets. A part of these classes, bounded in bytes, is held as an inverted index; the others stream past, and
+   the full sets. A part of these classes, bounded in bytes, is held as an inverted index; a part of all streams past, and
    each gets its intersections with all of the part at once. A task reports the links that join components, a forest
    too. So no pair of a region goes untried, and rows written never grow with the square of a group; the comparisons
    do so only where many classes of one region are truly apart.
@@ -46,6 +46,7 @@ from cairnwork.llm.components import components
 
 TREES, STEP, DEPTH = 32, 4, 12
 SIZE = TREES * STEP
+WIDE = 16
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _factors = np.random.default_rng(20).integers(0, 1 << 63, SIZE).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -198,18 +199,25 @@ def _neighbours(places: DataFrame, threshold: float) -> DataFrame:
 
 
 def _outside(rows: DataFrame, group: str, size: Column) -> DataFrame:
-    """Rows of groups with several components, with outside (not of the group's largest component) and rest (the size of all outside)."""
+    """Rows of groups with several components, with outside (not of the group's largest component), rest and whole (the sizes of all outside, and of all)."""
     counts = rows.groupBy(group, "label").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("size"))
     sizes = counts.groupBy(group).agg(F.max(F.struct("n", "size", "label")).alias("top"), F.sum("size").alias("whole"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
-    sizes = sizes.select(group, F.col("top.label").alias("largest"), (F.col("whole") - F.col("top.size")).alias("rest"))
+    sizes = sizes.select(group, F.col("top.label").alias("largest"), (F.col("whole") - F.col("top.size")).alias("rest"), "whole")
     return rows.join(sizes, group).withColumn("outside", F.col("label") != F.col("largest")).drop("largest")
 
 
 def _against(rows: DataFrame, group: str, part: int, columns: list[str]) -> DataFrame:
-    """Rows (group, part, *columns, first), sorted: in each part, those outside that fell to it (`first`), of about size `part`, then all of the group."""
-    parts = F.ceil(F.col("rest") / F.lit(part)).cast("int")
-    first = rows.filter("outside").select(group, F.pmod(F.xxhash64("cid"), parts).cast("int").alias("part"), *columns, F.lit(True).alias("first"))
-    every = rows.select(group, F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), *columns, F.lit(False).alias("first"))
+    """Rows (group, part, *columns, first), sorted: in each part, of those outside one share (`first`), then one share of all the group.
+
+    Shares of those outside are of about size `part`, of all WIDE times that, and each meets each in some part: what
+    one task reads is bounded, however large the group is.
+    """
+    shares, wide = F.ceil(F.col("rest") / F.lit(part)), F.ceil(F.col("whole") / F.lit(WIDE * part))
+    share = lambda n, c: F.pmod(F.xxhash64(F.lit(c), "cid"), n)
+    part_of = lambda own, other: (own * wide + other).cast("long").alias("part")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    first = rows.filter("outside").select(group, "rest", "whole", *columns, each(wide).alias("at")).select(group, part_of(share(shares, "first"), F.col("at")), *columns, F.lit(True).alias("first"))
+    every = rows.select(group, "rest", "whole", *columns, each(shares).alias("at")).select(group, part_of(F.col("at"), share(wide, "all")), *columns, F.lit(False).alias("first"))
     dealt = first.unionByName(every).repartition(common.shuffle_partitions(rows.sparkSession), group, "part")
     return dealt.sortWithinPartitions(group, "part", F.desc("first"))
 
@@ -276,6 +284,8 @@ def _alike(mixed: DataFrame, threshold: float, part: int = 2048) -> DataFrame:
                 if first:
                     firsts.append((cid[i:j], label[i:j], sketch[i:j]))
                     continue
+                if not firsts:  # a share that no class fell to
+                    continue
                 if not len(seen):
                     firsts = [tuple(map(np.concatenate, zip(*firsts, strict=True)))]
                     seen = np.zeros(len(firsts[0][0]), bool)
@@ -340,6 +350,8 @@ def _joining(rows: DataFrame, percent: int, part: int = 4 << 20) -> DataFrame:
                 if first:
                     firsts += zip(cid[i:j], label[i:j], sets[i:j], strict=True)
                     continue
+                if not firsts:  # a share that no class fell to
+                    continue
                 if index is None:
                     index = Index([x[2] for x in firsts])
                     firsts = [x[:2] for x in firsts]

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cairnwork.llm import minhash
@@ -94,14 +95,16 @@ def test_large_family_against_brute_force(spark):
     check(spark, [(i, edited(r, base, r.choice([1, 2, 2, 3, 3, 4, 5, 6, 7]))) for i in range(1400)])
 
 
-def test_sketches_of_a_region_are_compared_in_full(spark):
+@pytest.mark.parametrize("wide", [1, 16])
+def test_sketches_of_a_region_are_compared_in_full(spark, monkeypatch, wide):
+    monkeypatch.setattr(minhash, "WIDE", wide)
     r = random.Random(6)
     rows = [(k, i + 100 * k, i % 7 if k else i, bytearray(r.choice([b"\0" * 64, b"\x11" * 64, b"\0" * 44 + b"\x11" * 20]))) for k in (0, 1) for i in range(90)]
     mixed = minhash._outside(spark.createDataFrame(rows, "region long, cid long, label long, sketch binary"), "region", F.lit(1))
     want = [(x, y) for x in rows for y in rows if x[0] == y[0] and x[1] < y[1] and x[2] != y[2]]
     likely = minhash.likely(np.array([np.frombuffer(s[3], np.uint8) for p in want for s in p]), np.arange(2 * len(want)).reshape(-1, 2), 0.8)
     want = [p for p, k in zip(want, likely, strict=True) if k]
-    for part in (10, 2048):
+    for part in (1, 10, 2048):
         got = minhash._alike(mixed, 0.8, part).collect()
         assert {x.cid for x in got} - {None} == {x[1] for p in want for x in p}
         joined, wanted = minhash.Roots(), minhash.Roots()
@@ -113,7 +116,9 @@ def test_sketches_of_a_region_are_compared_in_full(spark):
         assert {x: joined.find(x) for x in wanted.up} == {x: wanted.find(x) for x in wanted.up}
 
 
-def test_clusters_are_compared_in_full(spark):
+@pytest.mark.parametrize("wide", [1, 16])
+def test_clusters_are_compared_in_full(spark, monkeypatch, wide):
+    monkeypatch.setattr(minhash, "WIDE", wide)
     r = random.Random(7)
     rows = []
     for i in range(120):
@@ -126,7 +131,7 @@ def test_clusters_are_compared_in_full(spark):
         for y in rows:
             if x[0] == y[0] and minhash.jaccard_at_least(sets[x[1]], sets[y[1]], 80):
                 want.join(x[2], y[2])
-    for part in (2000, 4 << 20):
+    for part in (100, 2000, 4 << 20):
         got = minhash.Roots()
         for x in minhash._joining(kept, 80, part).collect():
             assert minhash.jaccard_at_least(sets[x.a], sets[x.b], 80)
