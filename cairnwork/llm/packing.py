@@ -83,6 +83,10 @@ class WordTokenizer:
             out += [ids[a:b] for a, b in zip(bounds, bounds[1:])]
         return out
 
+    def forget(self) -> None:
+        """Let go of the words: Spark deals tasks to its idle workers in turn, and each would hold some."""
+        self.words, self.old_words = {}, {}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as packed little-endian 32-bit numbers, as encode(add_special_tokens=False) gives them."""
         words = [self._words.findall(t.lower()) if (t.isascii() or self._plain.fullmatch(t)) and not any(x in t for x in self.others) else None for t in texts]
@@ -179,6 +183,7 @@ def pack(
                     out += bins.add(piece)
                     start += length
             yield pa.RecordBatch.from_pylist(out, schema=schema)
+        t.forget()
         yield pa.RecordBatch.from_pylist(bins.rest(), schema=schema)
 
     def again(stage: int):
@@ -216,14 +221,14 @@ def pack(
             yield pa.RecordBatch.from_pylist(out, schema=schema)
         yield pa.RecordBatch.from_pylist([p for x in open_ for p in bins.close(x[1])], schema=schema)
 
-    filled = [common.materialize(narrow.mapInArrow(first, columns), "pieces")]
+    filled = [common.materialize(narrow, "pieces", through=first, columns=columns)]
     workers = (filled[0].agg(F.max("worker")).first()[0] or 0) + 1
     stage = 1
     while True:
         workers = -(-workers // FAN)
         left = filled[-1].filter("sequence_id IS NULL").withColumn("worker", (F.col("worker") / FAN).cast("int"))
         dealt = left.repartition(common.shuffle_partitions(spark), "worker", "room").sortWithinPartitions("worker", "room")
-        filled.append(common.materialize(dealt.mapInArrow(again(stage), columns), f"pieces-{stage}"))
+        filled.append(common.materialize(dealt, f"pieces-{stage}", through=again(stage), columns=columns))
         if workers == 1:
             break
         stage += 1

@@ -91,3 +91,24 @@ def test_ids_are_the_library_s(texts):
     t.HELD, t.words, t.old_words = 5, {}, {}  # generations of the cache change all the time
     for _ in range(2):
         assert t.encode(texts) == [np.array(t.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+
+
+def test_workers_write_what_they_pack_and_keep_no_words(spark, monkeypatch):
+    """The pieces' table takes one Python worker a task, and that holds no words for its next task."""
+    def held(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(t.words) + len(t.old_words) for t in packing.WordTokenizer._loaded.values())])], names=["n"])
+
+    inner, materialize = [], packing.common.materialize
+
+    def noted(df, *args, **options):
+        inner.append("MapInArrow" in df._jdf.queryExecution().analyzed().toString())
+        return materialize(df, *args, **options)
+
+    monkeypatch.setattr(packing.common, "materialize", noted)
+    docs = spark.createDataFrame([(i, f"some words of text {i}") for i in range(80)], "doc_id long, text string").repartition(8)
+    assert packing.pack(docs, PATH).count() == 80
+    assert len(inner) >= 2 and not inner[0]
+    assert sum(r.n for r in spark.range(0, 64, 1, 16).mapInArrow(held, "n long").collect()) == 0
