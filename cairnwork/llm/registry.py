@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from cairnwork.llm import bpe, chaining, exact_dedup, html_extract, langid, minhash, packing, repetition, resampling, spelling, suffix_dedup, warc
+from cairnwork.llm import bpe, chaining, exact_dedup, html_extract, langid, minhash, packing, repetition, resampling, spelling, suffix_dedup, token_counts, warc
 
 QUERIES = {
     "op1_html": html_extract.op1_html,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_warc": warc.op10_warc,
+    "op11_token_counts": token_counts.op11_token_counts,
     "op12_resampling": resampling.op12_resampling,
     "op13_spelling": spelling.op13_spelling,
     "pipeline": corpus_pipeline.run,
