@@ -80,10 +80,11 @@ def keyed(words: DataFrame) -> DataFrame:
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """a, n_a, b, n_b: pairs of words, a before b, that differ by one inserted, deleted or replaced letter; each once."""
-    rows = keyed(words)
+    rows = keyed(words.repartition(common.shuffle_partitions(words.sparkSession), "word"))  # a short table that becomes a long one
     a = rows.select("key", "first", F.col("word").alias("a"), F.col("n").alias("n_a"))
-    b = rows.select("key", F.col("word").alias("b"), F.col("n").alias("n_b"))
-    met = a.join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 1))
+    b = rows.select("key", F.col("first").alias("first_b"), F.col("word").alias("b"), F.col("n").alias("n_b"))
+    # the key implies the half; with it both sides have the same columns, and one exchange serves both
+    met = a.join(b.hint("merge"), (a["key"] == b["key"]) & (F.col("first") == F.col("first_b")) & (F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 1))
     near = F.levenshtein("a", "b", 1) == 1
     left = F.when(F.length("a") == F.length("b"), F.length("a") - 1).otherwise(F.least(F.length("a"), F.length("b")))
     p = F.floor(left / 2).cast("int")
