@@ -153,3 +153,46 @@ exact_queries AS (
     'show "' || p_name || '" please in src1', 'version v1.' || p_size || '.0, of go1.2-rc1', 'why ERR_CODE' || p_partkey || ' or 0x1F, (404) E_FAIL?',
     'server.port' || p_partkey || '=80 --db.host_name=x a.go=1', 'open src/part_' || p_partkey || '.go and main.rs', 'where is parseHTTP' || p_partkey || ' or snake_case_x',
     'log.level: debug http://x.y log.level the and of', 'unclosed "quote and ''single word'' `tick` ' || p_partkey][p_partkey % 8 + 1] AS text FROM part)"""
+
+
+#: What traces are tried on: the call graph of parts with relations, kinds and places of many sorts, by the parts' keys.
+TRACE_RELATIONS = ["calls", "contains", "possible-calls", "reads", "imports", "calls-endpoint", "writes", "defines", "references"]
+TRACE_PLACES = ["src/app/", "src/test/", "@builtin/", "svc/logging/", "@external/", "src/handle/", "src/net/"]
+TRACE_KINDS = ["function", "parameter", "method", "type", "variable"]
+
+
+def trace_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key, kind, name, path, qualified_name)"""
+    p = F.col("p_partkey")
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n % len(names) + 1).cast("int"))
+    qualified = F.when(p % 5 == 0, "").otherwise(F.concat(F.lit("app."), F.regexp_replace("p_name", " ", "_"), (p % 97).cast("string")))
+    return table(spark, sf_dir, "part").select(
+        F.concat(F.lit("p:"), p.cast("string")).alias("key"), pick(TRACE_KINDS, p).alias("kind"), F.when(p % 10 == 0, "").otherwise(F.col("p_name")).alias("name"),
+        F.concat(pick(TRACE_PLACES, p), F.lit("p"), p.cast("string"), F.lit(".go")).alias("path"), qualified.alias("qualified_name"),
+    )
+
+
+def trace_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst, relation)"""
+    calls = call_graph(spark, sf_dir)
+    n = F.substring("src", 3, 18).cast("long") * 7 + F.substring("dst", 3, 18).cast("long") * 3
+    return calls.select("src", "dst", F.element_at(F.array(*map(F.lit, TRACE_RELATIONS)), (n % len(TRACE_RELATIONS) + 1).cast("int")).alias("relation"))
+
+
+def trace_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query, key, place, text): every hundredth part, with its own name asked for and now and then for tests."""
+    p = F.col("p_partkey")
+    text = F.concat(F.lit("How does app "), "p_name", F.lit(" write"), F.when(p % 300 == 0, " in its tests").otherwise(""))
+    return table(spark, sf_dir, "part").filter(p % 100 == 0).select(p.alias("query"), F.concat(F.lit("p:"), p.cast("string")).alias("key"), F.lit(0).alias("place"), text.alias("text"))
+
+
+TRACE_SQL = f"""{CALLS_SQL},
+trace_nodes AS (
+  SELECT 'p:' || p_partkey AS key, {TRACE_KINDS}[p_partkey % {len(TRACE_KINDS)} + 1] AS kind, CASE WHEN p_partkey % 10 = 0 THEN '' ELSE p_name END AS name,
+    {TRACE_PLACES}[p_partkey % {len(TRACE_PLACES)} + 1] || 'p' || p_partkey || '.go' AS path,
+    CASE WHEN p_partkey % 5 = 0 THEN '' ELSE 'app.' || replace(p_name, ' ', '_') || p_partkey % 97 END AS qualified_name FROM part),
+trace_edges AS (
+  SELECT DISTINCT src, dst, {TRACE_RELATIONS}[(src[3:]::BIGINT * 7 + dst[3:]::BIGINT * 3) % {len(TRACE_RELATIONS)} + 1] AS relation FROM call_graph),
+trace_queries AS (
+  SELECT p_partkey AS query, 'p:' || p_partkey AS key, 'How does app ' || p_name || ' write' || CASE WHEN p_partkey % 300 = 0 THEN ' in its tests' ELSE '' END AS text
+  FROM part WHERE p_partkey % 100 = 0)"""
