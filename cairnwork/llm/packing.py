@@ -62,6 +62,9 @@ class WordTokenizer:
         self._words = re.compile(rf"'(?:[stmd]|re|ve|ll)|[{common.LETTERS}]+|[{common.NUMBERS}]|[^\s{common.LETTERS}{common.NUMBERS}]+")
         # text that normalises to its lower case alone, which is in this range too
         self._plain = re.compile(r"[\x00-\x1b\x20-\x7e¡-įı-ž]*")
+        suffix = self.tokenizer.model.end_of_word_suffix
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends_word[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith(suffix)]] = True
         self.words: dict[str, bytes] = {}
         self.old_words: dict[str, bytes] = {}
 
@@ -72,15 +75,15 @@ class WordTokenizer:
         return cls._loaded[path]
 
     def _each(self, words: list[str], at_once: int = 2000) -> list[bytes]:
-        """Ids of each word: many are encoded as one text of words between spaces, and its ids parted by word."""
+        """Ids of each word: many are encoded as one text of words between spaces, and its ids parted where words end."""
+        parts = [words[i : i + at_once] for i in range(0, len(words), at_once)]
         out: list[bytes] = []
-        for i in range(0, len(words), at_once):
-            part = words[i : i + at_once]
-            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            assert e.word_ids[-1] == len(part) - 1, "the tokenizer splits words otherwise"
-            ids = np.array(e.ids, IDS).tobytes()
-            bounds = (4 * np.searchsorted(np.array(e.word_ids), np.arange(len(part) + 1))).tolist()
-            out += [ids[a:b] for a, b in zip(bounds, bounds[1:])]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join(part) for part in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, IDS)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            assert len(ends) == len(part), "the tokenizer splits words otherwise"
+            bounds, data = [0, *(4 * ends).tolist()], ids.tobytes()
+            out += [data[a:b] for a, b in zip(bounds, bounds[1:])]
         return out
 
     def forget(self) -> None:
