@@ -5,9 +5,9 @@ Texts are equal when identical after deleting every character of [\\x20\\x09-\\x
 1. One narrow scan gives each row the length of its normalised text and a hash of that text's prefix. Counts are
    taken first by length, then by (length, prefix hash) within lengths that occur twice. Both aggregate before the
    shuffle, so a hot group costs a row per task.
-2. The (length, prefix hash) groups with two rows or more go into a bitmap of fixed size (2^bits bits, 1 MiB by
-   default, whatever the input), which is broadcast. A second scan computes the full hash only of rows that the
-   bitmap lets through. Its false positives cost a hash, never a wrong answer.
+2. The (length, prefix hash) groups with two rows or more go into a bitmap, which is broadcast: 16 bits or more a group
+   as there are at most half as many groups as rows, which are counted (Parquet's footers tell), up to 2^most_bits bits
+   (64 MiB) whatever the input. A second scan computes the full hash only of rows that the bitmap lets through. Its false positives cost a hash, never a wrong answer.
 3. Full hashes are grouped with (length, prefix hash), again with partial aggregation. Membership is joined back on
    salted keys, so that a group with a third of all rows is spread over `salts` tasks. Texts are never shuffled.
 
@@ -60,7 +60,7 @@ def _slot(bits: int) -> Column:
 
 def exact_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
-    prefix: int = 64, bits: int = 23, salts: int = 32, digest_all: bool = False,
+    prefix: int = 64, least_bits: int = 20, most_bits: int = 29, salts: int = 32, digest_all: bool = False,
 ) -> DataFrame:
     """One row per input row: id_col, keep_id, group_size, kept, text_sha256, text_key (xxhash64 of the text, null as empty).
 
@@ -68,6 +68,7 @@ def exact_groups(
     showed to be unique before their full content was read.
     """
     keys = _keys(docs, id_col, text_col, prefix)
+    bits = min(most_bits, max(least_bits, (8 * docs.count()).bit_length()))  # a group has two rows or more
     bitmap = F.broadcast(_bitmap(_surviving_groups(keys.drop("norm")), bits))
     slot = _slot(bits)
     byte = F.conv(F.hex(F.substring("bitmap", F.shiftright(F.col("bit"), 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")

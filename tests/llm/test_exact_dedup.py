@@ -24,7 +24,7 @@ def test_cases_against_brute_force(spark):
         (None, "zz"), (9, "z z"), (10, "é" * 50_000), (11, "é" * 50_000 + " "), (12, "é" * 49_999 + "e"), (13, "solo"),
     ]
     docs = spark.createDataFrame([(*r, 1, 2, "x") for r in rows], SCHEMA)
-    found = exact_groups(docs, digest_all=True, prefix=2, bits=15)
+    found = exact_groups(docs, digest_all=True, prefix=2, least_bits=15)
     assert sorted([tuple(r)[:5] for r in found.collect()], key=str) == brute(rows)
 
 
@@ -45,3 +45,14 @@ def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     plan = exact_groups(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_the_bitmap_grows_with_the_rows_up_to_a_bound(spark):
+    def slots(n, **limits):
+        docs = spark.range(n).selectExpr("id AS doc_id", "cast(id % 7 as string) AS text")
+        plan = exact_groups(docs, **limits)._jdf.queryExecution().optimizedPlan().toString()
+        return {int(x) for x in re.findall(r"pmod\(xxhash64\(n_norm[^)]*\), (\d+)\)", plan)}
+
+    assert slots(100) == {1 << 20}
+    assert slots(1000, least_bits=4) == {1 << 13}
+    assert slots(1000, least_bits=4, most_bits=9) == {1 << 9}
