@@ -14,10 +14,10 @@ from cairnwork.plans.storage import cut
 GRAPH = f"WITH RECURSIVE {V.EDGES_SQL}, {V.NODES_SQL}"
 
 
-def lanes(spark, d):
+def lanes(spark, d, breadth="balanced"):
     made = cut(sections.chunks(V.files(spark, d)).select("chunk_id", "path", "text"))
     queries = V.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit('where is "'), F.substring("text", 1, 60), F.lit('" or nation_1 cold widget')).alias("text"))
-    return discovery.search(made, V.nodes(spark, d), queries)
+    return discovery.search(made, V.nodes(spark, d), queries, breadth=breadth)
 
 
 @query("dq_01_search")
