@@ -338,4 +338,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["rk_05_batch_bm25"](spark, sf_dir)
 
 
-from cairnwork.plans import crossing_queries, discovery_queries, evidence_queries, fact_queries, graph_queries, rank_queries, text_queries, trace_queries  # noqa: E402, F401  (they fill the table)
+from cairnwork.plans import crossing_queries, discovery_queries, evidence_queries, fact_queries, graph_queries, rank_queries, seed_queries, store_queries, text_queries, trace_queries  # noqa: E402, F401  (they fill the table)
