@@ -135,6 +135,25 @@ def ve_07(spark, d):
     return vectors.nearest(v.filter("label IN (1, 2)").select("vec_id", F.col("embedding").alias("v")), queries, 5)
 
 
+@query("ve_05_windows", """WITH q AS (SELECT item_id AS query_id, list_filter(string_split_regex(text, '[\\t\\n\\x0b\\f\\r ]+'), lambda x: x <> '') AS tokens FROM benchmark), n AS (SELECT *, CAST(ceil(len(tokens) / 16) AS INT) AS n FROM q WHERE len(tokens) > 0),
+w AS (SELECT query_id, i::INT AS part, 'split window ' || i || '/' || n AS label, tokens[(i - 1) * 16 + 1 : i * 16] AS tokens FROM n, unnest(range(1, n + 1)) r(i) WHERE n > 1)
+SELECT query_id, part, label, array_to_string(tokens, ' ') AS text FROM w UNION ALL SELECT query_id, 0, 'full query', array_to_string(tokens, ' ') FROM n""")
+def ve_05(spark, d):
+    words = F.filter(F.split("text", r"[\t\n\x0b\f\r ]+"), lambda x: x != "")
+    queries = V.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("tokens"))
+    return vectors.windows(queries, mode="quality").withColumn("text", F.array_join("tokens", " ")).drop("tokens")
+
+
+@query("ve_05_pooled", """WITH p AS (SELECT (vec_id - vec_id % 100) AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 < 3),
+m AS (SELECT query_id, vec_id, max(round(list_sum(list_transform(list_zip(embedding, q), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))), 6)) AS score FROM embeddings, p GROUP BY ALL)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM m) WHERE rank <= 10""")
+def ve_05_pooled(spark, d):
+    """Each hundredth vector and the two after it are a query's three windows."""
+    v, n = V.table(spark, d, "embeddings"), F.col("vec_id")
+    parts = v.filter(n % 100 < 3).select((n - n % 100).alias("query_id"), (n % 100).alias("part"), F.col("embedding").alias("q"))
+    return vectors.nearest_to_parts(v.select("vec_id", F.col("embedding").alias("v")), parts, 10)
+
+
 @query("gr_27_closure", f"WITH RECURSIVE {V.CALLS_SQL}" + """, steps AS (SELECT DISTINCT dst AS a, src AS b FROM call_graph WHERE relation = 'calls'), fwd AS (SELECT DISTINCT src AS a, dst AS b FROM call_graph WHERE relation = 'calls'),
 em(key, depth) USING KEY (key) AS (SELECT 'p:1', 0 UNION SELECT b, min(em.depth + 1) FROM em JOIN steps ON em.key = a LEFT JOIN recurring.em AS old ON old.key = b WHERE em.depth < 5 AND old.key IS NULL GROUP BY b),
 cx AS (SELECT DISTINCT b AS key FROM em JOIN fwd ON em.key = a WHERE b NOT IN (SELECT key FROM em)) SELECT key, 'emit' AS part FROM em UNION ALL SELECT key, 'context' FROM cx""")

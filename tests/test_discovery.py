@@ -61,3 +61,33 @@ def test_grounding(spark):
 def test_vectors_of_other_lengths(spark):
     df = spark.createDataFrame([([1.0, 2.0], [1.0])], "a array<double>, b array<double>")
     assert df.select(vectors.dot(F.col("a"), F.col("b")).alias("x")).first()["x"] == 0 and math.isclose(df.select(vectors.dot(F.col("a"), F.col("a")).alias("x")).first()["x"], 5)
+
+
+def test_nearest_by_blocks_of_any_size(spark):
+    import random
+
+    r = random.Random(2)
+    vs = [(i, [r.randint(-3, 3) / 2 for _ in range(r.choice([3, 3, 4]))]) for i in range(40)] + [(40, None), (41, [])]
+    qs = [(i, v) for i, v in vs if i % 3 == 0 or i > 39]
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) if a is not None and b is not None and len(a) == len(b) else 0.0
+    want = {(q, *x) for q, a in qs for x in [(v, round(s, 6), n + 1) for n, (v, s) in enumerate(sorted(((v, dot(a, b)) for v, b in vs), key=lambda x: (-x[1], x[0]))[:5])]}
+    v, q = spark.createDataFrame(vs, "vec_id long, v array<double>"), spark.createDataFrame(qs, "query_id long, q array<float>")
+    for block in (1, 7, 1024):
+        assert {tuple(x) for x in vectors.nearest(v, q, 5, block).select("query_id", "vec_id", "score", "rank").collect()} == want
+    assert vectors.nearest(v.limit(0), q, 5).count() == 0
+    parts = q.select((F.col("query_id") % 2).alias("query_id"), F.col("query_id").alias("part"), "q")
+    best = {}
+    for i, a in qs:
+        for j, b in vs:
+            best[i % 2, j] = max(best.get((i % 2, j), -1e9), dot(a, b))
+    pooled = {(g, *x) for g in (0, 1) for x in [(j, round(s, 6), n + 1) for n, (j, s) in enumerate(sorted(((j, s) for (h, j), s in best.items() if h == g), key=lambda x: (-x[1], x[0]))[:4])]}
+    assert {tuple(x) for x in vectors.nearest_to_parts(v, parts, 4).select("query_id", "vec_id", "score", "rank").collect()} == pooled
+
+
+def test_windows_of_queries(spark):
+    q = spark.createDataFrame([(1, list("abcdefg")), (2, list("abc")), (3, [])], "query_id int, tokens array<string>")
+    told = lambda **o: sorted((r.query_id, r.part, r.label, "".join(r.tokens)) for r in vectors.windows(q, 3, **o).collect())
+    split = [(1, i, f"split window {i + 1}/3", t) for i, t in enumerate(("abc", "def", "g"))]
+    assert told() == [*split, (2, 0, "split window 1/1", "abc")]
+    assert told(mode="full", most=5) == [(1, 0, "full query", "abcde"), (2, 0, "full query", "abc")]
+    assert told(mode="quality") == [(1, 0, "full query", "abcdefg"), *((q, i + 1, w, t) for q, i, w, t in split), (2, 0, "full query", "abc")]
