@@ -187,11 +187,6 @@ OPERATIONS = (
 ).split()
 
 
-def capabilities(spark) -> DataFrame:
-    """(operation): what can be asked of a graph."""
-    return spark.createDataFrame([(o,) for o in OPERATIONS], "operation string")
-
-
 #: How near a relation brings two seeds.
 NEARNESS = {1.0: "calls routes handles publishes subscribes implements overrides", 0.8: "reads writes passes_to inherits extends uses", 0.4: "contains declares owns belongs_to"}
 

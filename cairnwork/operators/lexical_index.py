@@ -43,8 +43,17 @@ class LexicalIndex:
         if not terms or len(terms) > FILTERED:
             spark = self.postings.sparkSession
             return self.search(spark.createDataFrame([(q, t) for t, q in pairs], "query_id long, term string"))
-        some = self.postings.filter(" OR ".join(["term = '" + t.replace("\\", "\\\\").replace("'", "\\'") + "'" for t in terms]))
-        return self._scored(some.select("*", F.explode(F.element_at(asked, F.col("term"))).alias("query_id")))
+        return self._scored(self._of(terms).select("*", F.explode(F.element_at(asked, F.col("term"))).alias("query_id")))
+
+    def _of(self, terms: list[str]) -> DataFrame:
+        """The postings of terms, at most FILTERED, as a filter that skips row groups."""
+        return self.postings.filter(" OR ".join(["term = '" + t.replace("\\", "\\\\").replace("'", "\\'") + "'" for t in terms]) or "false")
+
+    def holding(self, asked: DataFrame) -> DataFrame:
+        """asked (term, ...) with doc_id: every document with that term."""
+        few = [r["term"] for r in asked.select("term").distinct().limit(FILTERED + 1).collect()]
+        some = self._of(few) if len(few) <= FILTERED else self.postings
+        return some.select("term", "doc_id").join(asked, "term")
 
 
 def build(docs: DataFrame, folder: str) -> None:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairnwork.functions import text as T
 
+if TYPE_CHECKING:
+    from cairnwork.operators.lexical_index import LexicalIndex
+
 K1, B = 1.2, 0.75
 #: Words that a query drops unless nothing else is left.
 STOPWORDS = "a an and are do does find for how in is of or show the to what where which with".split()
@@ -75,20 +80,27 @@ def whole_files(files: DataFrame, content: DataFrame, queries: DataFrame, k: int
     return scored.join(files.select("doc_id", "path"), "doc_id").withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k).drop("path")
 
 
-def containing(files: DataFrame, signals: DataFrame) -> DataFrame:
+def containing(files: DataFrame, signals: DataFrame, index: LexicalIndex | None = None) -> DataFrame:
     """(signal_id, doc_id, score): weight + 1 for a hit in the path, weight for one in the text.
 
     signals: (signal_id, value, weight). A document is a candidate for a signal if it has the longest of the signal's
     inner word runs, those that touch neither of its ends: wherever the signal stands, such a run is a whole run of the
     document too, while one at an end may be part of a longer run. Signals without an inner run, few as a rule, are
     compared with every document. A null value matches nothing, an empty one every text.
+
+    With an index of the files' texts the candidates are its postings of those runs, and only paths are taken apart.
     """
     # \z and not $, which also matches before a last line end
     inner = F.regexp_replace(F.regexp_replace(F.col("value"), r"^[\p{L}\p{Nd}]+", ""), r"[\p{L}\p{Nd}]+\z", "")
     runs = F.array_sort(T.word_runs(inner), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
     keyed = signals.withColumn("run", F.get(runs, 0))
-    words = files.select("doc_id", F.explode(F.array_distinct(F.concat(T.word_runs(F.col("text")), T.word_runs(F.col("path"))))).alias("run"))
-    found = words.join(keyed.filter("run IS NOT NULL"), "run").select("doc_id", "signal_id", "value", "weight")
+    named = keyed.filter("run IS NOT NULL")
+    taken_apart = ["path"] if index else ["text", "path"]
+    words = files.select("doc_id", F.explode(F.array_distinct(F.concat(*(T.word_runs(F.col(c)) for c in taken_apart)))).alias("run"))
+    found = words.join(named, "run").select("doc_id", "signal_id", "value", "weight")
+    if index:
+        in_text = index.holding(named.select(F.lower("run").alias("term"), "signal_id", "value", "weight"))
+        found = found.unionByName(in_text.select("doc_id", "signal_id", "value", "weight")).distinct()
     columns = ["signal_id", "value", "weight", "doc_id", "path", "text"]
     scanned = files.crossJoin(F.broadcast(keyed.filter("run IS NULL AND value IS NOT NULL").select("signal_id", "value", "weight")))
     both = found.join(files, "doc_id").select(*columns).unionByName(scanned.select(*columns))

@@ -162,7 +162,10 @@ def gr_27(spark, d):
     return graph.closure(calls, spark.createDataFrame([("p:1",)], "key string"), 5)
 
 
-@query("st_04_sync_decisions", "SELECT * FROM (VALUES ('fresh', 'rebuild'), ('same', 'existing'), ('edges', 'overlay'), ('nodes', 'rebuild')) t(case_name, decision)")
+@query("st_04_sync_decisions", GRAPH + """, e AS (SELECT DISTINCT src, dst, relation FROM edges), less AS (SELECT * FROM e WHERE relation <> 'contains'), k AS (SELECT key FROM nodes), without AS (SELECT key FROM k WHERE key <> 'n:1'),
+d AS (SELECT EXISTS (FROM (SELECT * FROM e EXCEPT SELECT * FROM less) UNION ALL FROM (SELECT * FROM less EXCEPT SELECT * FROM e)) AS edges_differ, EXISTS (FROM (SELECT key FROM k EXCEPT SELECT key FROM without)) AS nodes_differ)
+SELECT 'fresh' AS case_name, 'rebuild' AS decision UNION ALL SELECT 'same', CASE WHEN EXISTS (FROM (SELECT * FROM e EXCEPT SELECT * FROM e)) THEN 'overlay' ELSE 'existing' END
+UNION ALL SELECT 'edges', CASE WHEN edges_differ THEN 'overlay' ELSE 'existing' END FROM d UNION ALL SELECT 'nodes', CASE WHEN nodes_differ THEN 'rebuild' ELSE 'existing' END FROM d""")
 def st_04(spark, d):
     nodes, edges = V.nodes(spark, d).select("key"), cut(V.edges(spark, d).distinct())
     less = edges.filter("relation <> 'contains'")

@@ -186,24 +186,6 @@ def gr_25(spark, d):
     return both.select("n")
 
 
-@query("gr_30_synthetic", """SELECT * FROM (VALUES ('chain', true), ('entangled', true), ('hub', true), ('layered', true), ('modular', true)) t(topology, sound)""")
-def gr_30(spark, d):
-    made = None
-    for topology in ("chain", "entangled", "hub", "layered", "modular"):
-        g = graph.synthetic(spark, topology, 2000, 20_000, 7)
-        removed, added = graph.mutated(g, 0.05, 2000, 3)
-        sound = g.agg((F.count_if((F.col("source") == F.col("target")) | (F.col("target") >= 2000)) == 0) & (F.count(F.lit(1)) == F.count_distinct("source", "target")) & (F.count(F.lit(1)) > 10_000))
-        near = removed.agg(F.count(F.lit(1)).alias("r")).crossJoin(added.agg(F.count(F.lit(1)).alias("a"))).select((F.col("r") > 500) & (F.col("a") > 400) & (F.col("a") <= F.col("r")))
-        row = sound.toDF("x").crossJoin(near.toDF("y")).select(F.lit(topology).alias("topology"), (F.col("x") & F.col("y")).alias("sound"))
-        made = row if made is None else made.unionByName(row)
-    return made
-
-
-@query("gr_00_capabilities", "SELECT unnest(['" + "', '".join(graph.OPERATIONS) + "']) AS operation")
-def gr_00(spark, d):
-    return graph.capabilities(spark)
-
-
 @query("gr_19_impact_in_order")
 def gr_19(spark, d):
     """Held against a queue in tests/test_sections.py."""

@@ -92,14 +92,14 @@ tot AS (SELECT query_id, count(*) AS n FROM rel GROUP BY 1), hit AS (SELECT quer
 SELECT query_id, round(coalesce(found / n, 0), 6) AS recall, round(coalesce(1 / first, 0), 6) AS reciprocal_rank FROM tot LEFT JOIN hit USING (query_id)""")
 def ag_12(spark, d):
     signals = V.table(spark, d, "benchmark").select(F.col("item_id").alias("signal_id"), F.col("text").alias("value"), F.lit(1).alias("weight"))
-    relevant = retrieval.containing(V.files(spark, d), signals).select(F.col("signal_id").alias("query_id"), "doc_id")
+    relevant = retrieval.containing(V.files(spark, d), signals, index_of(spark, d)).select(F.col("signal_id").alias("query_id"), "doc_id")
     return metrics.retrieval(batch_ranked(spark, d, 20), relevant, 10)
 
 
 @query("rk_09_exact", "WITH " + FILES + " SELECT item_id AS signal_id, doc_id, CAST(CASE WHEN contains(path, b.text) THEN 101 ELSE 100 END AS INTEGER) AS score FROM benchmark b JOIN files f ON contains(f.text, b.text) OR contains(f.path, b.text)")
 def rk_09(spark, d):
     signals = V.table(spark, d, "benchmark").select(F.col("item_id").alias("signal_id"), F.col("text").alias("value"), F.lit(100).alias("weight"))
-    return retrieval.containing(V.files(spark, d), signals)
+    return retrieval.containing(V.files(spark, d), signals, index_of(spark, d))
 
 
 @query("rk_03_field_scores", "WITH " + FILES + r""", t AS (SELECT doc_id, list_transform(string_split_regex(path, '[^\p{L}\p{Nd}]+'), lambda x: lower(x)) AS p,
@@ -116,21 +116,13 @@ def so_02(spark, d):
 
 
 @query("rk_04_aliases", r"""
-WITH v AS (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(list_distinct(string_split_regex(lower(text), '[^a-z]+'))) AS term FROM documents WHERE lang = 'en') GROUP BY 1),
+WITH v AS (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(list_distinct(string_split_regex(lower(text), '[^a-z]+'))) AS term FROM documents) GROUP BY 1),
 t AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z]+')) || 'x' AS term FROM benchmark),
 p AS (SELECT t.term, v.term AS alias, df, 1 - levenshtein(t.term, v.term) / greatest(length(t.term), length(v.term)) AS sim FROM t JOIN v ON substr(t.term, 1, 4) = substr(v.term, 1, 4)
       WHERE t.term NOT IN (SELECT term FROM v) AND length(t.term) BETWEEN 5 AND 32 AND length(v.term) BETWEEN 5 AND 32 AND abs(length(t.term) - length(v.term)) <= 5)
 SELECT term, alias, round(sim, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY sim DESC, df, alias) AS n FROM p WHERE sim >= 0.55 OR (substr(term, 1, 5) = substr(alias, 1, 5) AND sim >= 0.5)) WHERE n = 1""")
 def rk_04(spark, d):
-    return _aliases(spark, d, V.table(spark, d, "documents").filter("lang = 'en'"))
-
-
-@query("rk_04_aliases_all", SQL["rk_04_aliases"].replace(" WHERE lang = 'en'", ""))
-def rk_04_all(spark, d):
-    return _aliases(spark, d, V.table(spark, d, "documents"))
-
-
-def _aliases(spark, d, docs):
+    docs = V.table(spark, d, "documents")
     ascii_words = F.split(F.lower("text"), "[^a-z]+")
     vocabulary = docs.select("doc_id", F.explode(F.array_distinct(ascii_words)).alias("term")).groupBy("term").agg(F.count_distinct("doc_id").alias("df"))
     terms = V.table(spark, d, "benchmark").select(F.explode(ascii_words).alias("w")).select(F.concat("w", F.lit("x")).alias("term")).distinct()
@@ -154,7 +146,7 @@ def pr_01(spark, d):
     return V.files(spark, d).filter(T.under(F.col("path"), "src1/en")).select("doc_id")
 
 
-@query("sc_06_document_kind", "WITH " + FILES + " SELECT doc_id, 'text' AS kind FROM files")
+@query("sc_06_document_kind", "WITH " + FILES + " SELECT doc_id, CASE WHEN path LIKE '%.json' OR path LIKE '%.yml' THEN 'config' WHEN path LIKE 'docs/adr%' THEN 'adr' WHEN path LIKE '%.txt' THEN 'text' END AS kind FROM files")
 def sc_06(spark, d):
     return V.files(spark, d).select("doc_id", T.document_kind(F.col("path")).alias("kind"))
 
@@ -220,15 +212,10 @@ def gr_07(spark, d):
     return graph.simple_paths(V.edges(spark, d), start, 3)
 
 
-@query("gr_13_components", GRAPH + ", m AS (SELECT DISTINCT dst, src FROM edges WHERE relation = 'references' AND dst LIKE 'c:%'), l AS (SELECT dst, least(dst, min(src)) AS component FROM m GROUP BY dst) SELECT dst AS key, component FROM l UNION SELECT m.src, component FROM m JOIN l ON m.dst = l.dst")
-def gr_13(spark, d):
-    return graph.components(V.edges(spark, d).filter("relation = 'references' AND dst LIKE 'c:%'"))
-
-
-@query("gr_13_components_all", GRAPH + """, links AS MATERIALIZED (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
+@query("gr_13_components", GRAPH + """, links AS MATERIALIZED (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
 l(key, component) USING KEY (key) AS (SELECT src, src FROM links GROUP BY src UNION (SELECT links.src, min(l.component) FROM l JOIN links ON links.dst = l.key JOIN recurring.l AS own ON own.key = links.src WHERE l.component < own.component GROUP BY links.src))
 SELECT key, component FROM l""")
-def gr_13_all(spark, d):
+def gr_13(spark, d):
     return graph.components(V.edges(spark, d))
 
 
@@ -294,17 +281,9 @@ def jn_10(spark, d):
     return temporal.as_of(V.table(spark, d, "events"), "click")
 
 
-@query("jn_08_overlapping", "WITH s AS (SELECT l_suppkey AS key, l_orderkey AS span_id, CAST(l_quantity AS BIGINT) AS a, CAST(l_quantity AS BIGINT) + l_linenumber AS b FROM lineitem WHERE l_returnflag = 'R'), w AS (SELECT s_suppkey AS key, s_suppkey AS window_id, CAST(s_suppkey % 40 AS BIGINT) AS a, CAST(s_suppkey % 40 + 5 AS BIGINT) AS b FROM supplier) SELECT span_id, window_id FROM s JOIN w USING (key) WHERE s.a < w.b AND w.a < s.b")
+@query("jn_08_overlapping", "WITH s AS (SELECT l_suppkey AS key, l_orderkey AS span_id, CAST(l_quantity AS BIGINT) AS a, CAST(l_quantity AS BIGINT) + l_linenumber AS b FROM lineitem), w AS (SELECT s_suppkey AS key, s_suppkey AS window_id, CAST(s_suppkey % 40 AS BIGINT) AS a, CAST(s_suppkey % 40 + 5 AS BIGINT) AS b FROM supplier) SELECT span_id, window_id FROM s JOIN w USING (key) WHERE s.a < w.b AND w.a < s.b")
 def jn_08(spark, d):
-    return _overlapping(spark, d, V.table(spark, d, "lineitem").filter("l_returnflag = 'R'"))
-
-
-@query("jn_08_overlapping_all", SQL["jn_08_overlapping"].replace(" WHERE l_returnflag = 'R'", ""))
-def jn_08_all(spark, d):
-    return _overlapping(spark, d, V.table(spark, d, "lineitem"))
-
-
-def _overlapping(spark, d, lines):
+    lines = V.table(spark, d, "lineitem")
     start = F.col("l_quantity").cast("long")
     spans = lines.select(F.col("l_suppkey").alias("key"), F.col("l_orderkey").alias("span_id"), start.alias("start"), (start + F.col("l_linenumber")).alias("end"))
     windows = V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_suppkey").alias("window_id"), (F.col("s_suppkey") % 40).alias("start"), (F.col("s_suppkey") % 40 + 5).alias("end"))
@@ -317,11 +296,16 @@ def sl_03(spark, d):
     return V.table(spark, d, "lineitem").withColumn("n", n.cast("long")).filter("n <= 3").select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice", "n")
 
 
-@query("ag_16_fingerprint", "SELECT source, sha256(string_agg(doc_id || ':' || sha256(text), ',' ORDER BY doc_id)) AS fingerprint FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL GROUP BY source")
+HALVES = "('0x' || substr(h, 1, 15))::BIGINT) AS VARCHAR) || '-' || CAST(sum(('0x' || substr(h, 16, 15))::BIGINT"
+
+
+@query("ag_16_fingerprint", f"WITH r AS (SELECT source, sha256(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS h FROM documents) SELECT source, count(*) AS n, sha256(CAST(sum({HALVES}) AS VARCHAR)) AS fingerprint FROM r GROUP BY source")
 def ag_16(spark, d):
-    rows = V.table(spark, d, "documents").filter("doc_id IS NOT NULL AND text IS NOT NULL").select("source", "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.sha2("text", 256)).alias("x"))
-    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "x"))), lambda r: r["x"]), ",")
-    return rows.groupBy("source").agg(F.sha2(ordered, 256).alias("fingerprint"))
+    """Of all rows in any order: sums of two parts of each row's digest, which aggregate before they are shuffled."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    rows = V.table(spark, d, "documents").select("source", F.sha2(F.concat(text("doc_id"), F.lit(":"), text("text")), 256).alias("h"))
+    part = lambda at: F.sum(F.conv(F.substring("h", at, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.concat_ws("-", part(1), part(16)), 256).alias("fingerprint"))
 
 
 @query("st_09_runtime_counts", "SELECT event_type, count(*) AS n, min(ts) AS first_seen, max(ts) AS last_seen FROM events GROUP BY event_type")

@@ -137,13 +137,30 @@ def test_exact_signals_inside_words(spark):
     assert got == sorted(want)
 
 
-def test_queries_over_whole_tables(spark, sf_dir):
-    """Nodes, terms and lines that the registered subsets leave out are there."""
+def test_signals_through_an_index(spark, tmp_path):
+    from cairnwork.operators import lexical_index
+
+    texts = {1: "call parseHTTPRequest now", 2: "a ->* b", 3: "Some Longword here, then", 4: "plain", 5: "été2\nx", 6: None}
+    values = {1: "Request", 2: "->*", 3: "ngword here, the", 5: "té2\n", 7: "p/", 8: None, 9: "call parseHTTPRequest n", 10: "", 11: "p/3.t", 12: "ome Longword h", 13: "ome longword h"}
+    files = spark.createDataFrame([(i, f"p/{i}.txt", t) for i, t in texts.items()], "doc_id int, path string, text string")
+    signals = spark.createDataFrame([(i, v, 100) for i, v in values.items()], "signal_id int, value string, weight int")
+    lexical_index.build(files.select("doc_id", "text"), f"file://{tmp_path}/x")
+    index = lexical_index.read(spark, f"file://{tmp_path}/x")
+    want = sorted(tuple(r) for r in retrieval.containing(files, signals).collect())
+    assert sorted(tuple(r) for r in retrieval.containing(files, signals, index).collect()) == want and len(want) > 10
+
+
+def test_components_cover_every_end(spark, sf_dir):
     from cairnwork.plans import registry, views
 
-    run = lambda name: registry.QUERIES[name](spark, sf_dir)
     edges = views.edges(spark, sf_dir)
     ends = edges.select("src").union(edges.select("dst")).distinct().count()
-    assert run("gr_13_components").count() < run("gr_13_components_all").count() == ends
-    assert run("jn_08_overlapping").count() < run("jn_08_overlapping_all").count()
-    assert run("rk_04_aliases").count() != run("rk_04_aliases_all").count()
+    assert registry.QUERIES["gr_13_components"](spark, sf_dir).count() == ends
+
+
+def test_synthetic_graphs(spark):
+    for topology in ("chain", "entangled", "hub", "layered", "modular"):
+        made = {tuple(r) for r in graph.synthetic(spark, topology, 2000, 20_000, 7).collect()}
+        assert len(made) > 10_000 and all(a != b and 0 <= b < 2000 for a, b in made)
+        removed, added = (df.count() for df in graph.mutated(graph.synthetic(spark, topology, 2000, 20_000, 7), 0.05, 2000, 3))
+        assert 500 < removed and 400 < added <= removed
