@@ -114,12 +114,13 @@ def text_score(value: Column, terms: Column) -> Column:
     return F.size(F.filter(terms, lambda t: F.contains(value, t))) * 18 + fixed
 
 
-def impact_scores(dependents: DataFrame, terms: Column, tests: bool = False) -> DataFrame:
+def impact_scores(dependents: DataFrame, terms: Column, tests: bool | Column = False) -> DataFrame:
     """dependents (name, qualified_name, path, kind, relation, depth) with score: near ones, strong relations, words of the query, no tests, definite."""
     value = F.lower(F.concat_ws(" ", "name", "qualified_name", "path", "kind", "relation"))
     p = F.lower(F.trim("path"))
     place = F.when(p.startswith("@builtin/") | p.startswith("@stdlib/"), -140).when(p.startswith("@external/"), -50).otherwise(0)
-    test = F.when(trace_test_path(F.col("path")), F.lit(12 if tests else -120)).otherwise(12)
+    wanted = tests if isinstance(tests, Column) else F.lit(tests)
+    test = F.when(trace_test_path(F.col("path")) & ~wanted, -120).otherwise(12)
     sure = F.when(F.lower("relation").startswith("possible-"), -24).otherwise(12)
     score = 180 - (F.greatest("depth", F.lit(1)) - 1) * 28 + relation_score(F.col("relation")) * 0.7 + text_score(value, terms) + place + test + sure
     return dependents.withColumn("score", F.round(score.cast("double"), 6))

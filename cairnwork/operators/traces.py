@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cairnwork.operators.discovery import relation_score, text_score, trace_terms, trace_test_path
+from cairnwork.operators import graph, seeds
+from cairnwork.operators.discovery import impact_scores, relation_score, text_score, trace_terms, trace_test_path
 from cairnwork.plans.storage import cut
 
 #: Which neighbours a walk takes first.
@@ -161,6 +162,49 @@ def node_score(node: Column, terms: Column) -> Column:
     return text_score(value, terms) + place_score(node["path"]) + F.when(trace_test_path(node["path"]), -120).otherwise(0)
 
 
+def ranked_neighbours(beside: DataFrame, nodes: DataFrame, queries: DataFrame) -> DataFrame:
+    """beside (query, key, next, relation, ...) with score and rank: which neighbours of a key suit the query (query, text) best.
+
+    A strong relation, words of the query, of change and of behaviour in what the neighbour is called; no tests, nothing built in.
+    """
+    named = nodes.select(F.col("key").alias("next"), F.struct("key", "kind", "name", "path", "qualified_name").alias("node"))
+    terms = queries.select("query", trace_terms(F.col("text")).alias("terms"))
+    told = beside.join(named, "next").join(terms, "query").withColumn("score", relation_score(F.col("relation")) + node_score(F.col("node"), F.col("terms")))
+    rank = F.row_number().over(W.partitionBy("query", "key").orderBy(F.desc("score"), "relation", label(F.col("node")), "next"))
+    return told.withColumn("rank", rank.cast("long")).drop("node", "terms")
+
+
+#: Impact looks at so many dependents for each that it shows, at most so many.
+CANDIDATES, MOST_CANDIDATES = 4, 64
+
+
+def impacted(starts: DataFrame, nodes: DataFrame, edges: DataFrame, queries: DataFrame, depth: int, limit: int) -> DataFrame:
+    """(query, rank, key, depth, relation, score, truncated): what depends on the starts (query, key) of each query, best first.
+
+    The nearest candidates, by depth and key, each with the relations by which it depends on a node one step nearer; of
+    those that are called alike in the same place the best counts. One bitset search serves all queries.
+    """
+    most = min(MOST_CANDIDATES, max(limit, limit * CANDIDATES))
+    steps = cut(edges.filter(F.col("relation").isin(*graph.IMPACT)).select(F.col("dst").alias("key"), F.col("src").alias("next"), "relation").distinct())
+    places = cut(seeds.numbered(starts))
+    told = seeds.told(seeds.reached(steps.select("key", "next"), places, depth), places).join(starts.select("query", F.col("key").alias("seed")), "seed")
+    found = cut(told.groupBy("query", "key").agg(F.min("depth").alias("depth")))
+    of_query = W.partitionBy("query")
+    away = found.filter("depth > 0").withColumns({"nth": F.row_number().over(of_query.orderBy("depth", "key")), "n": F.count(F.lit(1)).over(of_query)})
+    near = away.filter(F.col("nth") <= most).withColumnRenamed("key", "next")
+    before = found.select("query", "key", (F.col("depth") + 1).alias("depth"))
+    by = near.join(before, ["query", "depth"]).join(steps, ["key", "next"]).select("query", F.col("next").alias("key"), "depth", "relation", "n").distinct()
+    held = by.join(nodes.select("key", "kind", "name", "path", "qualified_name"), "key").join(queries.select("query", "text"), "query")
+    asks_tests = reduce(lambda a, b: a | b, [F.lower("text").contains(w) for w in TEST_WORDS])
+    rows = impact_scores(held, trace_terms(F.col("text")), asks_tests)
+    called = F.lower(F.coalesce(F.when(F.col("qualified_name") != "", F.col("qualified_name")), F.col("name")))
+    alike = [F.lower("path"), called, F.lower("kind"), plain_relation(F.col("relation"))]
+    tie = [F.lower("path"), called, F.lower("relation"), "key"]
+    rows = rows.withColumn("of_alike", F.row_number().over(W.partitionBy("query", *alike).orderBy(F.desc("score"), *tie))).filter("of_alike = 1")
+    rows = rows.withColumns({"rank": F.row_number().over(of_query.orderBy(F.desc("score"), "depth", *tie)).cast("long"), "kept": F.count(F.lit(1)).over(of_query)})
+    return rows.filter(F.col("rank") <= limit).select("query", "rank", "key", "depth", "relation", "score", ((F.col("kept") > limit) | (F.col("n") > most)).alias("truncated"))
+
+
 #: Walks are widened by few nodes a level: at most so many walks, branches of each, results of one entry, results in all.
 FRONTIER, SPREAD, OF_ENTRY, MOST = 8, 2, 4, 32
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairnwork.operators import discovery, traces
+from cairnwork.operators import discovery, graph, traces
 from cairnwork.plans import views as V
 from cairnwork.plans.base import query
 
@@ -117,3 +117,46 @@ def gr_20(spark, d):
 def dq_03(spark, d):
     q = V.trace_queries(spark, d)
     return flat(traces.trace(q, V.trace_nodes(spark, d), V.trace_edges(spark, d), q, 3, 6))
+
+
+#: What a node is worth to a query, apart from paths.
+WORTH_SQL = f"""WITH RECURSIVE {V.TRACE_SQL},
+terms AS (
+  SELECT query, list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{Nd}}_]+'), lambda x: strlen(x) >= 3)) AS terms, contains(lower(text), 'test') AS asks_tests FROM trace_queries),
+held AS (
+  SELECT *, CASE WHEN qualified_name <> '' THEN qualified_name WHEN name <> '' THEN name ELSE path END AS label, {TEST_PATH} AS test,
+    CASE WHEN path[1:9] = '@builtin/' THEN -140 WHEN path[1:10] = '@external/' THEN -50 ELSE 0 END AS place FROM trace_nodes)
+"""
+
+
+@query("rk_26_neighbours", WORTH_SQL + f""", b AS (
+  SELECT query, key, dst AS next, relation FROM trace_queries JOIN trace_edges ON src = key WHERE dst IN (SELECT key FROM held)
+  UNION ALL SELECT query, key, src, relation FROM trace_queries JOIN trace_edges ON dst = key WHERE src IN (SELECT key FROM held)),
+v AS (SELECT b.*, h.label, h.place, h.test, t.terms, replace(b.relation, 'possible-', '') AS r, lower(h.name || ' ' || h.qualified_name || ' ' || h.path || ' ' || h.kind) AS v FROM b JOIN held h ON h.key = next JOIN terms t USING (query)),
+s AS (SELECT query, key, next, relation, label, ((CASE {RELATION_CASES} ELSE 45 END) + 18 * len(list_filter(terms, lambda x: contains(v, x))) + {WORDS(discovery.CHANGES, 10)} + {WORDS(discovery.BEHAVIOURS, 4)} + place + CASE WHEN test THEN -120 ELSE 0 END)::BIGINT AS score FROM v)
+SELECT query, key, next, relation, score, row_number() OVER (PARTITION BY query, key ORDER BY score DESC, relation, label, next) AS rank FROM s""")
+def rk_26(spark, d):
+    nodes, q = V.trace_nodes(spark, d), V.trace_queries(spark, d)
+    beside = traces.adjacency(nodes, V.trace_edges(spark, d)).join(q.select("query", "key"), "key").select("query", "key", "next", "relation")
+    return traces.ranked_neighbours(beside, nodes, q).withColumn("score", F.col("score").cast("long"))
+
+
+IMPACT_SQL = ", ".join(f"'{r}'" for r in graph.IMPACT)
+
+
+@query("dq_04_impact", WORTH_SQL + f""", e AS (SELECT DISTINCT src, dst, relation FROM trace_edges WHERE relation IN ({IMPACT_SQL})),
+back(query, key, depth) AS (SELECT query, key, 0 FROM trace_queries UNION SELECT query, src, depth + 1 FROM back JOIN e ON dst = key WHERE depth < 4),
+found AS (SELECT query, key, min(depth) AS depth FROM back GROUP BY ALL),
+near AS (SELECT *, count(*) OVER (PARTITION BY query) AS n FROM found WHERE depth > 0 QUALIFY row_number() OVER (PARTITION BY query ORDER BY depth, key) <= 20),
+rel AS (SELECT DISTINCT near.query, near.key, near.depth, relation, n FROM near JOIN e ON src = near.key JOIN found f ON f.query = near.query AND f.key = dst AND f.depth = near.depth - 1),
+v AS (
+  SELECT rel.*, h.*  EXCLUDE (key), t.terms, t.asks_tests, replace(relation, 'possible-', '') AS r, lower(name || ' ' || qualified_name || ' ' || path || ' ' || kind || ' ' || relation) AS v,
+    lower(CASE WHEN qualified_name <> '' THEN qualified_name ELSE name END) AS called FROM rel JOIN held h USING (key) JOIN terms t USING (query)),
+s AS (
+  SELECT *, round((180 - (depth - 1) * 28 + 0.7 * (CASE {RELATION_CASES} ELSE 45 END) + 18 * len(list_filter(terms, lambda x: contains(v, x))) + {WORDS(discovery.CHANGES, 10)} + {WORDS(discovery.BEHAVIOURS, 4)} + place
+    + CASE WHEN test AND NOT asks_tests THEN -120 ELSE 12 END + CASE WHEN relation LIKE 'possible-%' THEN -24 ELSE 12 END)::DOUBLE, 6) AS score FROM v),
+once AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query, lower(path), called, kind, r ORDER BY score DESC, lower(path), called, relation, key) = 1)
+SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, depth, lower(path), called, relation, key) AS rank, key, depth::INT AS depth, relation, score, count(*) OVER (PARTITION BY query) > 5 OR n > 20 AS truncated FROM once QUALIFY rank <= 5""")
+def dq_04(spark, d):
+    q = V.trace_queries(spark, d)
+    return traces.impacted(q.select("query", "key"), V.trace_nodes(spark, d), V.trace_edges(spark, d), q, 4, 5)
