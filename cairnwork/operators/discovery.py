@@ -230,3 +230,34 @@ def stale(held: DataFrame, now: DataFrame) -> DataFrame:
     for c, name in (("identity", "identity"), ("dims", "dims"), ("text_hash", "text")):
         why = why.when(F.col("h")[c] != F.col("w")[c], name)
     return both.select("key", why.alias("why")).filter("why IS NOT NULL")
+
+
+#: How many suggestions an orientation makes at most, one of search aside.
+SUGGESTED = 6
+
+
+def oriented(found: DataFrame, asked: DataFrame, nodes: DataFrame, files: DataFrame, limit: int) -> DataFrame:
+    """(query, lane, rank, anchor, kind, reason): where to begin, for each query of asked (query, text; an empty text for none).
+
+    found (query, key, place): what a query's symbols are, or the anchors of a repository where nothing is asked; its first
+    `limit` are looked at. Lanes: symbol (documentation left out), source (the first files by path, with what they are),
+    suggestion (inspect and trace for symbols, inspect for files, then search where nothing was asked).
+    """
+    of_query = W.partitionBy("query")
+    looked = found.withColumn("nth", F.row_number().over(of_query.orderBy("place", "key"))).filter(F.col("nth") <= limit)
+    named = looked.join(nodes.select("key", "kind", "path"), "key").filter(path_class(F.col("path")) != "document")
+    symbols = named.select("query", F.lit("symbol").alias("lane"), F.row_number().over(of_query.orderBy("nth")).cast("long").alias("rank"), F.col("key").alias("anchor"), "kind", F.lit("symbol or contract").alias("reason"))
+    first = files.filter(F.coalesce(F.col("text"), F.lit("")) != "").filter(path_class(F.col("path")) != "document").orderBy("path").limit(limit)  # a short list
+    first = first.select(F.row_number().over(W.orderBy("path")).cast("long").alias("rank"), F.col("path").alias("anchor"), path_class(F.col("path")).alias("kind"))
+    sources = asked.select("query").crossJoin(F.broadcast(first)).select("query", F.lit("source").alias("lane"), "rank", "anchor", "kind", F.lit("file of the snapshot").alias("reason"))
+    most = min(SUGGESTED, limit)
+    whole = lambda modes: F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(m).alias("kind"), F.lit(r).alias("reason")) for i, (m, r) in enumerate(modes))))
+    inspect, trace = ("inspect", "inspect the evidence of this anchor"), ("trace", "expand bounded structural paths")
+    of_symbols = symbols.filter(F.col("rank") <= -(-most // 2)).select("query", F.lit(0).alias("lane"), "rank", "anchor", whole([inspect, trace]).alias("s"))
+    some = of_symbols.groupBy("query").agg(F.count(F.lit(1)).alias("n"))
+    of_sources = sources.join(some, "query", "left").filter(F.col("rank") <= most - F.coalesce("n", F.lit(0))).select("query", F.lit(1).alias("lane"), "rank", "anchor", whole([inspect]).alias("s"))
+    search = asked.filter("text = ''").select("query", F.lit(2).alias("lane"), F.lit(1).cast("long").alias("rank"), F.lit("").alias("anchor"), whole([("search", "search for a symbol, contract, behaviour or literal")]).alias("s"))
+    told = of_symbols.unionByName(of_sources).unionByName(search)
+    place = F.row_number().over(of_query.orderBy("lane", "rank", "s.i")).cast("long")
+    suggestions = told.select("query", F.lit("suggestion").alias("lane"), place.alias("rank"), "anchor", "s.kind", "s.reason")
+    return symbols.unionByName(sources).unionByName(suggestions)

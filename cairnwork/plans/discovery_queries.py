@@ -154,6 +154,24 @@ def ve_05_pooled(spark, d):
     return vectors.nearest_to_parts(v.select("vec_id", F.col("embedding").alias("v")), parts, 10)
 
 
+@query("dq_02_orient", GRAPH + """, asked AS (SELECT 0 AS query, '' AS text UNION ALL SELECT r_regionkey + 1, r_name FROM region),
+an AS (SELECT key, row_number() OVER (ORDER BY p, path, key) AS place FROM (SELECT key, path, CASE WHEN path LIKE '%test%' OR path LIKE '%spec%' THEN 2 WHEN path LIKE '%doc%' THEN 3 WHEN kind IN ('module', 'function') THEN 1 ELSE 4 END AS p FROM nodes ORDER BY p, path, key LIMIT 8)),
+found AS (SELECT 0 AS query, key, place FROM an UNION ALL SELECT n_regionkey + 1, 'n:' || n_nationkey, n_nationkey FROM nation),
+sym AS (SELECT query, 'symbol' AS lane, row_number() OVER (PARTITION BY query ORDER BY place, key) AS rank, key AS anchor, kind, 'symbol or contract' AS reason FROM found JOIN nodes USING (key) QUALIFY rank <= 4),
+src AS (SELECT query, 'source' AS lane, rank, path AS anchor, CASE WHEN path LIKE '%config%' THEN 'contract' ELSE 'file' END AS kind, 'file of the snapshot' AS reason FROM asked, (SELECT path, row_number() OVER (ORDER BY path) AS rank FROM (SELECT concat_ws('/', source, lang, doc_id || '.txt') AS path FROM documents WHERE coalesce(text, '') <> '') QUALIFY rank <= 4)),
+s1 AS (SELECT query, 0 AS l, rank, anchor, m AS i, ['inspect', 'trace'][m + 1] AS kind, ['inspect the evidence of this anchor', 'expand bounded structural paths'][m + 1] AS reason FROM sym, (VALUES (0), (1)) v(m) WHERE rank <= 2),
+s2 AS (SELECT query, 1, rank, anchor, 0, 'inspect', 'inspect the evidence of this anchor' FROM src WHERE rank <= 4 - (SELECT count(*) FROM s1 WHERE s1.query = src.query)),
+s3 AS (SELECT query, 2, 1, '', 0, 'search', 'search for a symbol, contract, behaviour or literal' FROM asked WHERE text = ''),
+sug AS (SELECT query, 'suggestion' AS lane, row_number() OVER (PARTITION BY query ORDER BY l, rank, i) AS rank, anchor, kind, reason FROM (FROM s1 UNION ALL FROM s2 UNION ALL FROM s3))
+FROM sym UNION ALL FROM src UNION ALL FROM sug""")
+def dq_02(spark, d):
+    nodes = V.nodes(spark, d)
+    asked = V.table(spark, d, "region").select((F.col("r_regionkey") + 1).alias("query"), F.col("r_name").alias("text")).unionByName(spark.range(1).selectExpr("id AS query", "'' AS text"))
+    nations = V.table(spark, d, "nation").select((F.col("n_regionkey") + 1).alias("query"), F.concat(F.lit("n:"), F.col("n_nationkey").cast("string")).alias("key"), F.col("n_nationkey").cast("long").alias("place"))
+    found = discovery.anchors(nodes, 8).select(F.lit(0).cast("long").alias("query"), "key", "place").unionByName(nations)
+    return discovery.oriented(found, asked, nodes, V.files(spark, d), 4)
+
+
 @query("gr_27_closure", f"WITH RECURSIVE {V.CALLS_SQL}" + """, steps AS (SELECT DISTINCT dst AS a, src AS b FROM call_graph WHERE relation = 'calls'), fwd AS (SELECT DISTINCT src AS a, dst AS b FROM call_graph WHERE relation = 'calls'),
 em(key, depth) USING KEY (key) AS (SELECT 'p:1', 0 UNION SELECT b, min(em.depth + 1) FROM em JOIN steps ON em.key = a LEFT JOIN recurring.em AS old ON old.key = b WHERE em.depth < 5 AND old.key IS NULL GROUP BY b),
 cx AS (SELECT DISTINCT b AS key FROM em JOIN fwd ON em.key = a WHERE b NOT IN (SELECT key FROM em)) SELECT key, 'emit' AS part FROM em UNION ALL SELECT key, 'context' FROM cx""")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cairnwork.plans import views as V
 from cairnwork.plans.base import query
 from cairnwork.plans.storage import shared_folder
-from cairnwork.sources import fact_files, files, graph_store
+from cairnwork.sources import fact_files, files, graph_store, reports
 from cairnwork.streaming import consumers
 
 GRAPH = f"WITH RECURSIVE {V.EDGES_SQL}, {V.NODES_SQL}"
@@ -73,3 +73,31 @@ def st_05(spark, d):
             consumers.watch(spark, root, state, both, checkpoint)
     consumers.hand_out(spark, root, state, both, [1, 2, 3])
     return spark.read.parquet(out)
+
+
+SUMMARY_SQL = "SELECT c_mktsegment AS segment, count(*) AS orders, CAST(round(sum(o_totalprice), 0) AS BIGINT) AS total FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_mktsegment"
+
+
+@query("sk_07_report", f"""WITH s AS ({SUMMARY_SQL})
+SELECT 'csv' AS form, segment, orders, total, NULL AS line FROM s UNION ALL SELECT 'json', segment, orders, total, NULL FROM s
+UNION ALL SELECT 'markdown', NULL, NULL, NULL, '| ' || segment || ' | ' || orders || ' | ' || total || ' |' FROM s
+UNION ALL SELECT 'markdown', NULL, NULL, NULL, unnest(['# Orders by segment', '', '| segment | orders | total |', '|-|-|-|'])""")
+def sk_07(spark, d):
+    """A summary written in all three forms and read back."""
+    joined = V.table(spark, d, "customer").join(V.table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"))
+    rows = joined.groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count(F.lit(1)).alias("orders"), F.round(F.sum("o_totalprice")).cast("long").alias("total"))
+    path = folder(spark, "report")
+    reports.report(rows, ["segment"], "Orders by segment", path)
+    schema = "segment string, orders long, total long"
+    forms = [spark.read.schema(schema).option("header", True).csv(f"{path}/csv").withColumn("form", F.lit("csv")), spark.read.schema(schema).json(f"{path}/json").withColumn("form", F.lit("json"))]
+    lines = spark.read.text(f"{path}/markdown").select(F.lit("markdown").alias("form"), F.col("value").alias("line"))
+    return forms[0].unionByName(forms[1]).unionByName(lines, allowMissingColumns=True)
+
+
+@query("sk_02_saved", "SELECT o_orderkey, o_custkey, o_orderpriority FROM orders")
+def sk_02(spark, d):
+    """Orders saved twice as canonical lines; the current save is read."""
+    root, rows = folder(spark, "saved"), V.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    reports.save(rows.limit(0), ["o_orderkey"], root)
+    reports.save(rows, ["o_orderkey"], root)
+    return reports.saved(spark, root).select(F.from_json("line", rows.schema).alias("r")).select("r.*")
