@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cairnwork.plans import views as V
 from cairnwork.plans.base import query
 from cairnwork.plans.storage import shared_folder
-from cairnwork.sources import fact_files, files, graph_store, reports
+from cairnwork.sources import fact_files, files, graph_store, ignore, reports
 from cairnwork.streaming import consumers
 
 GRAPH = f"WITH RECURSIVE {V.EDGES_SQL}, {V.NODES_SQL}"
@@ -101,3 +101,43 @@ def sk_02(spark, d):
     reports.save(rows.limit(0), ["o_orderkey"], root)
     reports.save(rows, ["o_orderkey"], root)
     return reports.saved(spark, root).select(F.from_json("line", rows.schema).alias("r")).select("r.*")
+
+
+@query("sc_02_ignored", """SELECT doc_id, source = 'src1' AND lang = 'fr' OR lang = 'de' OR CAST(doc_id AS VARCHAR) LIKE '%7' AND CAST(doc_id AS VARCHAR) NOT LIKE '%17' AS ignored
+FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL""")
+def sc_02(spark, d):
+    """Paths of documents under the rules of one control file at the root and one in each source's folder."""
+    docs = V.table(spark, d, "documents").filter("source IS NOT NULL AND lang IS NOT NULL")
+    root = spark.range(1).select(F.lit(".gitignore").alias("path"), F.lit("# numbers\n*7.txt\n!*17.txt\n/src1/fr/\n").alias("text"))
+    inner = docs.select(F.concat("source", F.lit("/.gitignore")).alias("path"), F.lit("de/\n").alias("text")).distinct()
+    found = ignore.rules(root.unionByName(inner))
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return docs.select("doc_id", ignore.ignored(path, found).alias("ignored"))
+
+
+@query("sc_15_versions", "SELECT 1 AS number, o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT 2, o_orderkey, o_orderstatus FROM orders")
+def sc_15(spark, d):
+    """Two versions of the orders behind one pointer: the first by its number, the second as the current one."""
+    root, rows = folder(spark, "versions"), V.table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    files.publish(rows.filter("o_orderkey % 2 = 0"), root, 0)
+    files.publish(rows, root, 1)
+    both = files.current(spark, root, 1).withColumn("number", F.lit(1)).unionByName(files.current(spark, root).withColumn("number", F.lit(files.pointer(spark, root))))
+    return both.select("number", "o_orderkey", "o_orderstatus")
+
+
+@query("sk_01_sharded", "SELECT doc_id, n_chars FROM documents")
+def sk_01(spark, d):
+    """Documents in shards; then all of them changed, and the shards written anew in two halves, each leaving the other alone."""
+    root, rows = folder(spark, "shards"), V.table(spark, d, "documents").select("doc_id", "n_chars")
+    files.publish_shards(rows.withColumn("n_chars", F.col("n_chars") + 1), "doc_id", root, 8)
+    files.publish_shards(rows, "doc_id", root, 8, [0, 1, 2, 3])
+    files.publish_shards(rows, "doc_id", root, 8, [4, 5, 6, 7])
+    return spark.read.parquet(root).select("doc_id", "n_chars")
+
+
+@query("sk_03_exported", GRAPH + " SELECT kind, key, name, path FROM nodes")
+def sk_03(spark, d):
+    """Nodes as JSON lines, a folder for each kind, read back."""
+    path = folder(spark, "lines")
+    files.export_lines(V.nodes(spark, d).select("kind", "key", "name", "path"), "kind", ["key"], path)
+    return spark.read.schema("key string, name string, path string, kind string").json(path).select("kind", "key", "name", "path")
