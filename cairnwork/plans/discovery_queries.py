@@ -154,9 +154,9 @@ def ve_05_pooled(spark, d):
     return vectors.nearest_to_parts(v.select("vec_id", F.col("embedding").alias("v")), parts, 10)
 
 
-@query("dq_02_orient", GRAPH + """, asked AS (SELECT 0 AS query, '' AS text UNION ALL SELECT r_regionkey + 1, r_name FROM region),
+@query("dq_02_orient", GRAPH + """, asked AS (SELECT 0::BIGINT AS query, '' AS text UNION ALL SELECT r_regionkey + 1, r_name FROM region),
 an AS (SELECT key, row_number() OVER (ORDER BY p, path, key) AS place FROM (SELECT key, path, CASE WHEN path LIKE '%test%' OR path LIKE '%spec%' THEN 2 WHEN path LIKE '%doc%' THEN 3 WHEN kind IN ('module', 'function') THEN 1 ELSE 4 END AS p FROM nodes ORDER BY p, path, key LIMIT 8)),
-found AS (SELECT 0 AS query, key, place FROM an UNION ALL SELECT n_regionkey + 1, 'n:' || n_nationkey, n_nationkey FROM nation),
+found AS (SELECT 0::BIGINT AS query, key, place FROM an UNION ALL SELECT n_regionkey + 1, 'n:' || n_nationkey, n_nationkey FROM nation),
 sym AS (SELECT query, 'symbol' AS lane, row_number() OVER (PARTITION BY query ORDER BY place, key) AS rank, key AS anchor, kind, 'symbol or contract' AS reason FROM found JOIN nodes USING (key) QUALIFY rank <= 4),
 src AS (SELECT query, 'source' AS lane, rank, path AS anchor, CASE WHEN path LIKE '%config%' THEN 'contract' ELSE 'file' END AS kind, 'file of the snapshot' AS reason FROM asked, (SELECT path, row_number() OVER (ORDER BY path) AS rank FROM (SELECT concat_ws('/', source, lang, doc_id || '.txt') AS path FROM documents WHERE coalesce(text, '') <> '') QUALIFY rank <= 4)),
 s1 AS (SELECT query, 0 AS l, rank, anchor, m AS i, ['inspect', 'trace'][m + 1] AS kind, ['inspect the evidence of this anchor', 'expand bounded structural paths'][m + 1] AS reason FROM sym, (VALUES (0), (1)) v(m) WHERE rank <= 2),
