@@ -204,8 +204,8 @@ def contracts(producers: DataFrame, endpoints: DataFrame) -> DataFrame:
 
 
 def merged(descriptors: DataFrame, key: str, order: str) -> DataFrame:
-    """One row a key: the first non-empty text, the greatest score, reasons as a set in the order first seen. descriptors: (key, order, text, score, reasons)."""
-    text = F.min_by("text", F.when(F.col("text") != "", F.col(order)))
+    """One row a key: the first non-empty text, the greatest score, reasons as a set in the order first seen, ties by text. descriptors: (key, order, text, score, reasons)."""
+    text = F.min_by("text", F.when(F.col("text") != "", F.struct(order, "text")))
     basic = descriptors.groupBy(key).agg(F.coalesce(text, F.lit("")).alias("text"), F.max("score").alias("score"))
     seen = descriptors.select(key, order, F.posexplode("reasons").alias("i", "reason")).groupBy(key, "reason").agg(F.min(F.struct(order, "i")).alias("at"))
     listed = seen.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "reason"))), lambda x: x["reason"]).alias("reasons"))

@@ -221,7 +221,7 @@ def jn_12(spark, d):
 @query("ag_18_merged_evidence", """
 WITH r AS (SELECT l_suppkey AS key, l_orderkey * 10 + l_linenumber AS i, CASE WHEN l_quantity > 20 THEN l_returnflag || l_linestatus ELSE '' END AS text, l_extendedprice AS score, [l_returnflag, l_linestatus] AS reasons FROM lineitem),
 s AS (SELECT key, reason, min((i, j)) AS pos FROM (SELECT key, i, unnest(reasons) AS reason, generate_subscripts(reasons, 1) AS j FROM r) GROUP BY ALL)
-SELECT key, (SELECT coalesce(arg_min(text, i) FILTER (text <> ''), '') FROM r WHERE r.key = k.key) AS text, (SELECT max(score) FROM r WHERE r.key = k.key) AS score, (SELECT string_agg(reason, ',' ORDER BY pos) FROM s WHERE s.key = k.key) AS reasons FROM (SELECT DISTINCT key FROM r) k""")
+SELECT key, (SELECT coalesce(arg_min(text, (i, text)) FILTER (text <> ''), '') FROM r WHERE r.key = k.key) AS text, (SELECT max(score) FROM r WHERE r.key = k.key) AS score, (SELECT string_agg(reason, ',' ORDER BY pos, reason) FROM s WHERE s.key = k.key) AS reasons FROM (SELECT DISTINCT key FROM r) k""")
 def ag_18(spark, d):
     rows = V.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("key"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("i"), F.when(F.col("l_quantity") > 20, F.concat("l_returnflag", "l_linestatus")).otherwise("").alias("text"), F.col("l_extendedprice").alias("score"), F.array("l_returnflag", "l_linestatus").alias("reasons"))
     return facts.merged(rows.withColumnRenamed("i", "seen"), "key", "seen").withColumn("reasons", F.array_join("reasons", ","))
