@@ -83,7 +83,7 @@ u AS (SELECT *, sum(size) OVER (PARTITION BY query_id ORDER BY turn, list_positi
 def rk_28(spark, d):
     o = V.table(spark, d, "orders")
     rank = F.row_number().over(W.partitionBy("o_custkey", "o_orderstatus").orderBy("o_orderdate", "o_orderkey"))
-    rows = o.select(F.col("o_custkey").alias("query_id"), F.col("o_orderstatus").alias("lane"), "o_orderkey", F.round(F.col("o_totalprice") / 1000).cast("long").alias("size"), rank.alias("rank"))
+    rows = o.select(F.col("o_custkey").alias("query_id"), F.col("o_orderstatus").alias("lane"), "o_orderkey", F.bround(F.col("o_totalprice") / 1000).cast("long").alias("size"), rank.alias("rank"))
     return ranking.round_robin(rows, ["O", "F", "P"], "size", 1000).select("query_id", "o_orderkey", "used")
 
 
