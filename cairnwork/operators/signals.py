@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairnwork.functions import text as T
+from cairnwork.plans.storage import cut
 
 #: The forms of signals, extensions that make a dotted name a file, what is stripped around a word.
 VERSION = r"^(?:v|V|go)?[0-9]+(?:\.[0-9]+)+(?:[-+][A-Za-z0-9.-]+)?$"
@@ -66,13 +67,24 @@ def exact_search(files: DataFrame, asked: DataFrame, k: int | None = None) -> Da
     A signal's weight, plus one, counts for a hit in the path, its weight for one in the text; phrases, paths and file
     names match anywhere, others as whole words. Candidates of a query are files with all tokens of one of its
     signals, or all files if one of them has no token. asked: signals() rows, a stated query set, broadcast by size.
+
+    Files meet a value, once for all its queries, by the value's rarest token; its other tokens are looked up for these
+    files alone.
     """
+    asked = cut(asked)
     tokens = F.array_distinct(T.tokens(F.col("value")))
-    keyed = asked.select("query_id", "value", F.explode(tokens).alias("term"), F.size(tokens).alias("needed")).distinct()
-    terms = files.select("doc_id", F.explode(F.array_distinct(F.concat(*(T.tokens(F.col(c)) for c in ("text", "path"))))).alias("term"))
-    met = terms.join(keyed, "term").groupBy("query_id", "value", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.first("needed").alias("needed"))
+    values = asked.select("value").distinct().select("value", tokens.alias("tokens"))
+    keyed = values.select("value", F.explode("tokens").alias("term"))
+    whole = files.select("doc_id", F.explode(F.array_distinct(F.concat(*(T.tokens(F.col(c)) for c in ("text", "path"))))).alias("term"))
+    terms = cut(whole.join(keyed.select("term").distinct(), "term", "left_semi"))
+    counts = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    rare = keyed.join(counts, "term", "left").groupBy("value").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
+    first = terms.join(rare, "term").join(values, "value").select("doc_id", "value", "tokens", "term")
+    more = first.select("doc_id", "value", F.explode(F.array_remove("tokens", F.col("term"))).alias("term"), (F.size("tokens") - 1).alias("needed"))
+    rest = more.join(terms, ["doc_id", "term"]).groupBy("doc_id", "value").agg(F.count(F.lit(1)).alias("n"), F.first("needed").alias("needed")).filter("n = needed")
+    met = first.filter(F.size("tokens") == 1).select("doc_id", "value").unionByName(rest.select("doc_id", "value"))
     open_ = asked.filter(F.size(T.tokens(F.col("value"))) == 0).select("query_id").distinct()
-    some = met.filter("n = needed").select("query_id", "doc_id").distinct().join(open_, "query_id", "left_anti")
+    some = met.join(asked.select("query_id", "value").distinct(), "value").select("query_id", "doc_id").distinct().join(open_, "query_id", "left_anti")
     pairs = some.unionByName(files.select("doc_id").crossJoin(F.broadcast(open_)).select("query_id", "doc_id"))
     rows = pairs.join(asked, "query_id").join(files, "doc_id")
     value = F.col("value")
