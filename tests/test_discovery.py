@@ -1,6 +1,7 @@
 """Composite search, sync decisions and grounding on small fixtures."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -91,3 +92,15 @@ def test_windows_of_queries(spark):
     assert told() == [*split, (2, 0, "split window 1/1", "abc")]
     assert told(mode="full", most=5) == [(1, 0, "full query", "abcde"), (2, 0, "full query", "abc")]
     assert told(mode="quality") == [(1, 0, "full query", "abcdefg"), *((q, i + 1, w, t) for q, i, w, t in split), (2, 0, "full query", "abc")]
+
+
+def test_ranges_of_just_a_node_meet_no_others(spark):
+    """Ranges that a node has just so are matched by their ends, not against all nodes of the path; the others by what they touch."""
+    from cairnwork.operators import discovery
+
+    nodes = spark.createDataFrame([("k1", "type", "a", 1, 5), ("k2", "field", "a", 2, 3), ("k3", "module", "a", 4, 9), ("k4", "type", "b", 1, 5)], "key string, kind string, path string, start_line int, end_line int")
+    ranges = spark.createDataFrame([(1, "a", 2, 3), (2, "a", 3, 4), (3, "b", 6, 7), (4, "a", 1, 5)], "range_id long, path string, a int, b int")
+    met = discovery.declarations(ranges, nodes)
+    assert sorted(map(tuple, met.collect())) == [(1, "k2", 1), (2, "k1", 1), (2, "k2", 3), (2, "k3", 2), (4, "k1", 1)]
+    met = discovery.declarations(ranges.filter("range_id in (1, 4)"), nodes)
+    assert re.search(r"[( ]a#\d+ = |[^<>]= a#\d+", met._jdf.queryExecution().optimizedPlan().toString())  # an end is part of a join's key
