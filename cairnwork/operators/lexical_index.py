@@ -7,6 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairnwork.operators import retrieval
@@ -62,11 +63,11 @@ def build(docs: DataFrame, folder: str) -> None:
     Ranges are of (term, doc_id), so that a term of a third of the documents is split over tasks.
     """
     spark = docs.sparkSession
-    tf = retrieval.term_frequencies(docs)
+    # terms stand with their document's others, so that its length takes no exchange
+    tf = retrieval.term_frequencies(docs).withColumn("dl", F.sum("tf").over(W.partitionBy("doc_id")))
     tf.write.mode("errorifexists").parquet(f"{folder}/tf")
     tf = spark.read.parquet(f"{folder}/tf")
-    lengths = tf.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-    joined = tf.join(retrieval.document_frequencies(tf), "term").join(lengths, "doc_id").select("term", "doc_id", "tf", "dl", "df")
+    joined = tf.join(retrieval.document_frequencies(tf), "term").select("term", "doc_id", "tf", "dl", "df")
     joined.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.option("parquet.block.size", 4 << 20).parquet(f"{folder}/postings")
     tf.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens")).crossJoin(docs.agg(F.count(F.lit(1)).alias("n"))).coalesce(1).write.parquet(f"{folder}/totals")
 
