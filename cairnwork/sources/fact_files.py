@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 #: The first line, the fields of each record, the span that ends it, what stands for nothing, and escapes.
@@ -34,6 +34,8 @@ COLUMNS = ("record", "key", "target", "kind", "identity", "path", "name", "quali
 SCHEMA = ", ".join(f"{c} {'int' if c in NUMBERS else 'string'}" for c in COLUMNS)
 COMMITS = "_commits"
 SPLIT = 64 << 20
+#: Bytes read at once, whose records make one record batch a kind.
+BLOCK = 1 << 20
 
 
 class BadLine(ValueError):
@@ -92,6 +94,64 @@ def decoded(line: str, place: str) -> tuple:
     return tuple(out.values())
 
 
+def _cut_last(data: bytes) -> tuple[bytes | None, bytes]:
+    """The whole lines of data, without the last line end, and what begins after it."""
+    end = data.rfind(b"\n")
+    return (None, data) if end < 0 else (data[:end], data[end + 1 :])
+
+
+def batches(lines: bytes, place: str) -> Iterator:
+    """Record batches of lines of records, by record kind. What no column operation reads is decoded by itself: escapes, bad lines."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    schema = pa.schema([(c, pa.int32() if c in NUMBERS else pa.string()) for c in COLUMNS])
+    every = pa.array(lines.decode().split("\n"), pa.string())
+    hard = pc.match_substring(every, "\\")
+    for record, names in FIELDS.items():
+        mine = every.filter(pc.and_not(pc.starts_with(every, f"{record}\t"), hard))
+        if not len(mine):
+            continue
+        n = 1 + len(names) + len(SPAN)
+        fields = pc.split_pattern(mine, "\t")
+        if not pc.all(pc.equal(pc.list_value_length(fields), n)).as_py():
+            raise BadLine(f"{place}: no record of this form")
+        flat = fields.flatten()
+        at = lambda i: flat.take(pa.array(range(i, len(flat), n), pa.int64()))  # noqa: B023, E731
+        nothing = pa.scalar(None, pa.string())
+        held = {"record": at(0)}
+        for i, name in enumerate(names, 1):
+            held[name.rstrip("?")] = pc.if_else(pc.equal(at(i), NOTHING), nothing, at(i)) if name.endswith("?") else at(i)
+        span = [at(i) for i in range(n - len(SPAN), n)]
+        none = pc.equal(span[0], NOTHING)
+        for other in span[1:]:
+            none = pc.and_(none, pc.equal(other, NOTHING))
+        held[SPAN[0]] = pc.if_else(none, nothing, span[0])
+        try:
+            held.update((c, pc.cast(pc.if_else(none, nothing, v), pa.int32())) for c, v in zip(NUMBERS, span[1:], strict=True))
+        except pa.ArrowInvalid:
+            raise BadLine(f"{place}: a bad escape or number") from None
+        yield pa.RecordBatch.from_arrays([held.get(f.name, pa.nulls(len(mine), f.type)) for f in schema], schema=schema)
+    known = pc.starts_with(every, "N\t")
+    for record in list(FIELDS)[1:]:
+        known = pc.or_(known, pc.starts_with(every, f"{record}\t"))
+    others = every.filter(pc.or_(hard, pc.invert(known))).to_pylist()
+    if others:
+        rows = [decoded(line, place) for line in others]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def placed(lines: bytes, path: str, start: int) -> Iterator:
+    """Their batches; if a line is bad, the error says at which byte of the file."""
+    try:
+        yield from batches(lines, path)
+    except BadLine:
+        for line in lines.split(b"\n"):
+            decoded(line.decode(), f"{path} at byte {start}")
+            start += len(line) + 1
+        raise
+
+
 def filesystem(uri: str):
     from pyarrow import fs
 
@@ -135,8 +195,8 @@ class Reader(DataSourceReader):
             out += [Range(info.path, at, min(at + self.split, info.size)) for at in range(0, info.size, self.split)]
         return out or [Range("", 0, 0)]
 
-    def read(self, partition: Range) -> Iterator[tuple]:
-        """The lines that begin in the range; the one that a range begins within is that of the range before."""
+    def read(self, partition: Range) -> Iterator:
+        """The lines that begin in the range, a record batch a block; the one that a range begins within is that of the range before."""
         if not partition.path:
             return
         fs, _ = filesystem(self.path)
@@ -152,18 +212,28 @@ class Reader(DataSourceReader):
                 began = f.read_at(1, at - 1) == b"\n"
             rest = b""
             while at < size and (at - len(rest) < partition.end or rest):
-                block = f.read_at(1 << 20, at)
+                block = f.read_at(BLOCK, at)
                 place, data = at - len(rest), rest + block
                 at += len(block)
-                *whole, rest = data.split(b"\n")
-                for line in whole:
-                    if place >= partition.end:
-                        return
-                    if began:
-                        yield decoded(line.decode(), f"{partition.path} at byte {place}")
-                    began, place = True, place + len(line) + 1
+                if not began:  # up to the first line end is another range's
+                    cut = data.find(b"\n") + 1
+                    if not cut:
+                        rest = data
+                        if place >= partition.end:
+                            return
+                        continue
+                    place, data, began = place + cut, data[cut:], True
+                if place >= partition.end:
+                    return
+                # the last line that begins in the range ends at the first line end from its last byte on
+                last = data.find(b"\n", max(partition.end - place - 1, 0))
+                whole, rest, done = (data[:last], b"", True) if last >= 0 else (*_cut_last(data), False)
+                if whole is not None:
+                    yield from placed(whole, partition.path, place)
+                if done:
+                    return
             if rest and began and size - len(rest) < partition.end:
-                yield decoded(rest.decode(), f"{partition.path} at byte {size - len(rest)}")
+                yield from placed(rest, partition.path, size - len(rest))
 
 
 @dataclass
@@ -172,23 +242,55 @@ class Written(WriterCommitMessage):
     lines: int
 
 
-class Writer(DataSourceWriter):
+def encoded_batch(batch) -> bytes:
+    """A record batch's lines, in its order. What column operations can't write is encoded by itself: rows that lack something, texts to be escaped."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    text = {c: pc.cast(batch.column(c), pa.string()) for c in batch.schema.names}
+    empty = pa.nulls(len(batch), pa.string())
+    lines = empty
+    span = [text[c] for c in SPAN]
+    fit = pc.equal(*(pc.is_null(c) for c in span[:2]))
+    for c in span[2:]:
+        fit = pc.and_(fit, pc.equal(pc.is_null(span[0]), pc.is_null(c)))
+    for record, names in FIELDS.items():
+        values = [text[n.rstrip("?")] for n in names]
+        mine = pc.and_(fit, pc.fill_null(pc.equal(text["record"], record), False))
+        for v, n in zip(values, names, strict=True):
+            if not n.endswith("?"):
+                mine = pc.and_(mine, pc.is_valid(v))
+        line = pc.binary_join_element_wise(record, *(pc.fill_null(v, NOTHING) for v in (*values, *span)), "\t")
+        plain = pc.equal(pc.count_substring(line, "\t"), len(values) + len(span))
+        plain = pc.and_not(plain, pc.match_substring_regex(line, r"[\\\n\r\x00]"))
+        lines = pc.if_else(pc.and_(mine, plain), line, lines)
+    out = lines.to_pylist()
+    hard = pc.indices_nonzero(pc.is_null(lines))
+    for i, row in zip(hard.to_pylist(), batch.take(hard).to_pylist(), strict=True):  # few as a rule
+        out[i] = encoded(row)
+    return ("\n".join(out) + "\n").encode()
+
+
+class Writer(DataSourceArrowWriter):
     def __init__(self, path: str, overwrite: bool):
         self.path, self.overwrite = path, overwrite
 
-    def write(self, rows: Iterator[Row]) -> Written:
-        """A file of this attempt alone, with a name that no other attempt has."""
+    def write(self, rows: Iterator) -> Written:
+        """A file of this attempt alone, with a name that no other attempt has, of record batches; rows by themselves are taken too."""
         fs, base = filesystem(self.path)
         name, out, lines = f"facts-{uuid.uuid4().hex}.tsv", None, 0
         try:
-            for row in rows:
-                line = encoded(row)
+            for part in rows:
+                n = 1 if isinstance(part, Row) else len(part)
+                if not n:
+                    continue
+                data = f"{encoded(part)}\n".encode() if isinstance(part, Row) else encoded_batch(part)
                 if out is None:
                     fs.create_dir(base, recursive=True)
                     out = fs.open_output_stream(f"{base}/{name}")
                     out.write(f"{HEADER}\n".encode())
-                out.write(f"{line}\n".encode())
-                lines += 1
+                out.write(data)
+                lines += n
         finally:
             if out is not None:
                 out.close()

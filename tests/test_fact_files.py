@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from cairnwork.sources import fact_files as ff
@@ -78,3 +79,21 @@ def test_files_from_elsewhere_and_bad_lines(spark, tmp_path):
         with pytest.raises(Exception, match=said):
             ff.read_facts(spark, str(folder)).collect()
     assert ff.read_facts(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_records_are_read_in_batches(tmp_path):
+    """A block gives a record batch a kind, not a row at a time; blocks and ranges that cut lines lose and repeat none."""
+    lines = [ff.encoded(Row(**dict(zip(ff.COLUMNS, r, strict=True)))) for r in ROWS * 40]
+    (tmp_path / "a.tsv").write_text("\n".join([ff.HEADER, *lines]), newline="")
+    whole = list(ff.Reader(str(tmp_path), 1 << 20).read(ff.Range(str(tmp_path / "a.tsv"), 0, 1 << 20)))
+    assert len(whole) == 4 and sum(b.num_rows for b in whole) == 160  # N, E, U and those with escapes
+    expected = sorted(ROWS * 40, key=str)
+    block = ff.BLOCK
+    try:
+        for ff.BLOCK in (5, 64, 1000):
+            for split in (3, 50, 777):
+                reader = ff.Reader(str(tmp_path), split)
+                got = [tuple(r.values()) for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+                assert sorted(got, key=str) == expected
+    finally:
+        ff.BLOCK = block
