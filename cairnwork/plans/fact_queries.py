@@ -15,7 +15,7 @@ key = lambda letter, c: F.concat(F.lit(f"{letter}:"), F.col(c).cast("string"))
 
 
 def stream_of_parts(spark, d, valid: bool = True):
-    """Paths of two JSONL files: parts as nodes, their calls as edges, then the brands of some again under the same ids."""
+    """Paths of two folders of JSONL files, in ranges that are each sorted by one task: parts as nodes, their calls as edges, then the brands of some again under the same ids."""
     folder = f"{shared_folder(spark)}/facts-{uuid.uuid4().hex}"
     ident = lambda c: F.concat(F.lit("sha256:"), F.sha2(c.cast("string"), 256))
     parts = V.table(spark, d, "part")
@@ -26,10 +26,10 @@ def stream_of_parts(spark, d, valid: bool = True):
     edges = calls.select(F.to_json(F.struct(F.lit("edge").alias("record"), ident(plain(F.col("src"))).alias("source"), ident(plain(F.col("dst"))).alias("target"), "relation")).alias("value"), ident(plain(F.col("src"))).alias("o"))
     nodes = parts.select(node("p_name").alias("value"), ident(F.col("p_partkey")).alias("o"))
     first = head.withColumn("k", F.lit(0)).withColumn("o", F.lit("")).unionByName(nodes.withColumn("k", F.lit(1))).unionByName(edges.withColumn("k", F.lit(2)))
-    first.coalesce(1).sortWithinPartitions("k", "o").select("value").write.text(f"{folder}/a")
+    first.repartitionByRange("k", "o").sortWithinPartitions("k", "o").select("value").write.text(f"{folder}/a")
     if valid:
         return [f"{folder}/a"]
-    parts.filter("p_size > 30").select(node("p_type").alias("value")).coalesce(1).write.text(f"{folder}/b")
+    parts.filter("p_size > 30").select(node("p_type").alias("value")).write.text(f"{folder}/b")
     return [f"{folder}/a", f"{folder}/b"]
 
 

@@ -107,3 +107,19 @@ def test_chains_and_dependents_of_seeds(spark):
     rows = seeds.dependents(e, spark.createDataFrame([("a",), ("e",)], "key string"), limit=2).collect()
     assert {(r["seed"], r["nth"], r["key"], r["depth"], r["truncated"]) for r in rows} == {("a", 1, "d", 1, True), ("a", 2, "x", 1, True)}  # contains is no dependence
     assert graph.IMPACT
+
+
+def test_a_fact_stream_is_written_by_several_tasks(spark, sf_dir):
+    """Files that are each in order, none by one task that sorts all; read back they are sound."""
+    import os
+
+    from cairnwork.operators import facts
+    from cairnwork.plans import fact_queries
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # which would join such small files
+    try:
+        paths = fact_queries.stream_of_parts(spark, sf_dir)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len([n for n in os.listdir(paths[0].removeprefix("file://")) if n.startswith("part-")]) > 1
+    assert facts.problems(facts.parsed(spark, paths)).count() == 0
