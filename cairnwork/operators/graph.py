@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -95,20 +100,82 @@ def simple_paths(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     return out
 
 
+#: Links that one task contracts at a time.
+LINKS = 1 << 20
+
+
+def _roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of links, and of each the least node that these links connect it with."""
+    nodes, ends = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = np.split(ends, 2)
+    root = np.arange(len(nodes))
+    while len(a):
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while True:  # to the top of each tree
+            up = root[root]
+            if np.array_equal(up, root):
+                break
+            root = up
+        a, b = root[a], root[b]
+        a, b = a[a != b], b[a != b]
+    return nodes, nodes[root]
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of each node, by the links (node, root) of this task; of many nodes what some of the links tell."""
+    links, rows, held = [], 0, (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    star = lambda: pa.RecordBatch.from_arrays([pa.array(c) for c in held], names=["node", "root"])
+    for batch in batches:
+        links.append([c.to_numpy() for c in batch.columns])
+        rows += batch.num_rows
+        if rows >= LINKS:
+            held = _roots(*(np.concatenate(c) for c in zip(held, *links)))
+            links, rows = [], 0
+            if len(held[0]) > 2 * LINKS:
+                yield star()
+                held = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    if links:
+        held = _roots(*(np.concatenate(c) for c in zip(held, *links)))
+    yield star()
+
+
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """(key, component): the smallest key that a node is connected with, by minima and pointer jumping to a fixed point."""
-    both = cut(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    labels = cut(both.groupBy(F.col("src").alias("key")).agg(F.least(F.min("dst"), F.first("src")).alias("component")))
+    """(key, component): the smallest key that a node is connected with.
+
+    Nodes are 64-bit hashes of their keys, which are looked over for collisions. Each task contracts its links to stars,
+    a node and the least one that it is connected with there; a node's least root is its pointer, and the links of its
+    other roots with that one are the next round's. As hashes order nodes at random, a part of the nodes goes in every
+    round, and no group holds more than one row a task. Links that fit in one task are contracted there, which ends it.
+    """
+    linked = edges.filter("src IS NOT NULL AND dst IS NOT NULL")
+    for seed in range(42, 50):
+        of = lambda c: F.xxhash64(F.lit(seed), c)  # noqa: B023, E731
+        ends = edges.select(F.explode(F.array("src", "dst")).alias("key")).filter("key IS NOT NULL")
+        keys = cut(ends.distinct().select(of("key").alias("node"), "key"))
+        if keys.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+            break
+    else:
+        raise RuntimeError("keys collide")
+    links = linked.select(of("src").alias("node"), of("dst").alias("root"))
+    pointers: list[DataFrame] = []
     for _ in range(most_rounds):
-        near = both.join(labels, both["dst"] == labels["key"]).groupBy("src").agg(F.min("component").alias("m")).withColumnRenamed("src", "key")
-        lower = labels.join(near, "key").select("key", F.least("component", "m").alias("component"))
-        roots = lower.select(F.col("key").alias("component"), F.col("component").alias("root"))
-        jumped = cut(lower.join(roots, "component", "left").select("key", F.coalesce("root", "component").alias("component")))
-        changed = not jumped.join(labels, ["key", "component"], "left_anti").isEmpty()
-        labels = jumped
-        if not changed:
-            return labels
-    raise RuntimeError("components did not settle")
+        stars = links.mapInArrow(_stars, "node long, root long")
+        least = F.min("root").over(W.partitionBy("node"))
+        met = cut(stars.withColumn("least", least))
+        pointers.append(met.select("node", F.col("least").alias("to")).distinct())
+        links = cut(met.filter("root <> least").select(F.col("root").alias("node"), F.col("least").alias("root")).distinct())
+        left = links.count()
+        if not left:
+            break
+        links = links.repartition(math.ceil(left / LINKS))
+    else:
+        raise RuntimeError("components did not settle")
+    labels = pointers.pop().select("node", F.col("to").alias("label"))
+    while pointers:  # a pointer's end is a node of the next round, or was told of no other root
+        ends = labels.select(F.col("node").alias("to"), "label")
+        labels = cut(pointers.pop().join(ends, "to", "left").select("node", F.coalesce("label", "to").alias("label")))
+    named = cut(keys.join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("label")))
+    return named.join(named.groupBy("label").agg(F.min("key").alias("component")), "label").select("key", "component")
 
 
 def overlay(base: DataFrame, removed: DataFrame, added: DataFrame) -> DataFrame:

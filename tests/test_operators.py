@@ -1,5 +1,7 @@
 """Small fixtures with literal results."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +54,28 @@ def test_chain_of_components_is_followed(spark):
     assert {r.component for r in graph.components(chain).collect()} == {"000"}
 
 
+def test_components_of_many_rounds_are_whole(spark, monkeypatch):
+    """Links of more than one task: contracted in rounds; an end that is null links nothing, but its other end is a node."""
+    monkeypatch.setattr(graph, "LINKS", 16)
+    rng = random.Random(7)
+    pairs = [(f"a{i:04d}", f"a{i + 1:04d}") for i in range(300)] + [(f"b{rng.randrange(400)}", f"b{rng.randrange(400)}") for _ in range(350)] + [("hub", f"c{i}") for i in range(300)]
+    parent = {k: k for p in pairs for k in p}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        low, high = sorted((find(a), find(b)))
+        parent[high] = low
+    rows = [*pairs, ("only", None), (None, None), *pairs[:50]]
+    rng.shuffle(rows)
+    got = graph.components(spark.createDataFrame(rows, "src string, dst string").repartition(20)).collect()
+    assert len(got) == len(parent) + 1
+    assert {r.key: r.component for r in got} == {**{k: find(k) for k in parent}, "only": "only"}
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([(1, [3.0, 4.0, 9.0]), (2, [0.0, 0.0, 1.0]), (3, [1.0]), (4, [float("nan"), 1.0])], "id int, v array<double>")
     got = {r.id: r.u for r in df.select("id", vectors.unit(F.col("v"), 2).alias("u")).collect()}
