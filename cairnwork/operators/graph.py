@@ -476,10 +476,13 @@ def invalid_overlay(base: DataFrame, removed: DataFrame, added: DataFrame) -> Da
     return gone.unionByName(added.select(*key).join(base.select(*key), key, "left_semi").select(F.lit("added, in base").alias("problem"), *key))
 
 
+#: An order-free checksum of rows, from sums that aggregate before they are shuffled.
+CHECKSUM = ("count(1) AS n", "sum(crc32(concat_ws('\\0', src, dst, relation))) AS low", "sum(crc32(concat_ws('\\0', relation, dst, src))) AS high")
+
+
 def checksum(edges: DataFrame) -> DataFrame:
-    """(n, low, high): an order-free checksum of the distinct edges, from sums that aggregate before they are shuffled."""
-    e = edges.select("src", "dst", "relation").distinct()
-    return e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.crc32(F.concat_ws("\x00", "src", "dst", "relation"))).alias("low"), F.sum(F.crc32(F.concat_ws("\x00", "relation", "dst", "src"))).alias("high"))
+    """(n, low, high): an order-free checksum of the distinct edges."""
+    return edges.select("src", "dst", "relation").distinct().agg(*map(F.expr, CHECKSUM))
 
 
 def export_page(nodes: DataFrame, edges: DataFrame, offset: int, limit: int, pinned: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -34,6 +34,15 @@ def test_versions_equal_sets_and_only_dirty_shards_are_written(spark, tmp_path):
     assert {tuple(x) for x in graph_store.edges(spark, root, number - 1).collect()} == want  # an earlier version stays readable
 
 
+def test_shards_without_deltas_are_read_without_merging(spark, tmp_path):
+    root = f"file://{tmp_path}/g"
+    rows = spark.createDataFrame([("a", "b", "calls"), ("a", "b", "calls"), ("b", "c", "calls")], EDGES)
+    graph_store.create(rows, root, shards=2)
+    read = graph_store.edges(spark, root)
+    assert sorted(map(tuple, read.collect())) == [("a", "b", "calls"), ("b", "c", "calls")]
+    assert "max_by" not in read._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_a_compaction_that_loses_edges_is_not_published(spark, tmp_path, monkeypatch):
     root = f"file://{tmp_path}/g"
     graph_store.create(spark.createDataFrame([("a", "b", "calls"), ("a", "c", "calls")], EDGES), root, shards=1)
