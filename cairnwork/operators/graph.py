@@ -192,10 +192,17 @@ def difference(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def shared_neighbours(edges: DataFrame, least: int) -> DataFrame:
-    """(a, b, n): pairs of sources with `least` targets or more in common."""
-    e = edges.select("src", "dst").distinct()
-    pairs = e.select(F.col("src").alias("a"), "dst").join(e.select(F.col("src").alias("b"), "dst"), "dst").filter("a < b")
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    """(a, b, n): pairs of sources with `least` targets or more in common.
+
+    Sources are numbered, so that pairs are counted as numbers; only the pairs that stay take their names.
+    """
+    e = edges.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct()
+    ids = cut(e.select("src").distinct().withColumn("id", F.monotonically_increasing_id()))
+    held = e.join(ids, "src").select("id", "dst")
+    pairs = held.select(F.col("id").alias("x"), "dst").join(held.select(F.col("id").alias("y"), "dst"), "dst").filter("x < y")
+    counted = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    named = counted.join(ids.select(F.col("id").alias("x"), F.col("src").alias("s")), "x").join(ids.select(F.col("id").alias("y"), F.col("src").alias("t")), "y")
+    return named.select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"), "n")
 
 
 def name_ranks(nodes: DataFrame, query: str) -> DataFrame:

@@ -76,6 +76,14 @@ def test_components_of_many_rounds_are_whole(spark, monkeypatch):
     assert {r.key: r.component for r in got} == {**{k: find(k) for k in parent}, "only": "only"}
 
 
+def test_shared_neighbours_are_counted_as_numbers(spark):
+    """Names are ordered as texts, a target's null source shares nothing, and pairs are shuffled without their names."""
+    rows = [(s, t, "calls") for s in ("s:10", "s:9", "s:2") for t in ("x", "y", "z")] + [("s:9", "w", "calls"), ("s:10", "w", "reads"), (None, "x", "calls"), (None, "y", "calls"), ("s:3", None, "calls")]
+    found = graph.shared_neighbours(spark.createDataFrame(rows + rows, "src string, dst string, relation string"), 3)
+    assert sorted(map(tuple, found.collect())) == [("s:10", "s:2", 3), ("s:10", "s:9", 4), ("s:2", "s:9", 3)]
+    assert "keys=[x#" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([(1, [3.0, 4.0, 9.0]), (2, [0.0, 0.0, 1.0]), (3, [1.0]), (4, [float("nan"), 1.0])], "id int, v array<double>")
     got = {r.id: r.u for r in df.select("id", vectors.unit(F.col("v"), 2).alias("u")).collect()}
