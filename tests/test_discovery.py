@@ -104,3 +104,13 @@ def test_ranges_of_just_a_node_meet_no_others(spark):
     assert sorted(map(tuple, met.collect())) == [(1, "k2", 1), (2, "k1", 1), (2, "k2", 3), (2, "k3", 2), (4, "k1", 1)]
     met = discovery.declarations(ranges.filter("range_id in (1, 4)"), nodes)
     assert re.search(r"[( ]a#\d+ = |[^<>]= a#\d+", met._jdf.queryExecution().optimizedPlan().toString())  # an end is part of a join's key
+
+
+def test_neighbourhoods_place_each_way_apart(spark):
+    """Repeated edges count once, and no edge is dealt by its key and way after it was made distinct."""
+    nodes = spark.createDataFrame([(k, "function", k, f"f/{k}", k) for k in "abcd"], "key string, kind string, name string, path string, qualified_name string")
+    edges = spark.createDataFrame([("a", "b", "calls"), ("a", "b", "calls"), ("a", "c", "calls"), ("d", "a", "reads")], "src string, dst string, relation string")
+    found = discovery.neighbourhoods(nodes, edges, most=1)
+    got = {r.key: r.text for r in found.collect()}
+    assert got["a"] == "function a a\npath f/a\nout calls b; omitted 1\nin reads d" and got["c"] == "function c c\npath f/c\nin calls a"
+    assert "way#" not in found._jdf.queryExecution().optimizedPlan().toString()
