@@ -114,3 +114,11 @@ def test_neighbourhoods_place_each_way_apart(spark):
     got = {r.key: r.text for r in found.collect()}
     assert got["a"] == "function a a\npath f/a\nout calls b; omitted 1\nin reads d" and got["c"] == "function c c\npath f/c\nin calls a"
     assert "way#" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_equal_snapshots_with_nulls_are_the_same(spark):
+    nodes = spark.createDataFrame([("a",), (None,)], "key string")
+    edges = spark.createDataFrame([("a", None, "calls"), ("a", "a", "calls")], "src string, dst string, relation string")
+    assert discovery.sync_decision(True, nodes, nodes, edges, edges) == "existing"
+    assert discovery.sync_decision(True, nodes, nodes, edges, edges.filter("dst IS NULL")) == "overlay"
+    assert discovery.sync_decision(True, nodes.filter("key = 'a'"), nodes, edges, edges) == "rebuild"
