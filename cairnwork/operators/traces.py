@@ -1,15 +1,16 @@
 """Traces through a property graph, for many queries at once: walks by level with caps, paths scored and chosen.
 
 A walk's level is one join of all queries' frontiers with the adjacency. What a node claims depends on what those before it
-claimed, so the choice itself is made query by query, in groups of bounded size: of a node's neighbours only as many go
-there as could be claimed by it and by those before it.
+claimed, so the choice itself is made query by query, while the rows of a partition stream by in order: of a node's
+neighbours only as many go there as could be claimed by it and by those before it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -79,6 +80,33 @@ def _behaves(relations: Column) -> Column:
 
 
 CHOSEN = "next string, relation string, direction string, place int, result int, queued int, claimed boolean"
+CHOSEN_TYPES = {"next": pa.string(), "relation": pa.string(), "direction": pa.string(), "place": pa.int32(), "result": pa.int32(), "queued": pa.int32(), "claimed": pa.bool_()}
+
+
+def _chosen(rows: DataFrame, begin: Callable, more: dict[str, pa.DataType] | None = None) -> DataFrame:
+    """What `begin()`, a function of one row that gives a chosen row or None, chooses from the rows of each query by place and rank.
+
+    Queries are dealt over all tasks, however small they are, and many go through one call.
+    """
+    types = {**CHOSEN_TYPES, **(more or {})}
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query, take = None, None
+        for batch in batches:
+            names, kind, out = batch.schema.names, batch.schema.field("query").type, []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if take is None or row[0] != query:
+                    query, take = row[0], begin()
+                found = take(*row[1:])
+                if found:
+                    out.append((query, *found))
+            columns = list(zip(*out)) or [[]] * (1 + len(types))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (kind, *types.values()), strict=True)], names=[names[0], *types])
+
+    spark = rows.sparkSession
+    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "query").sortWithinPartitions("query", "place", "rank")
+    shape = ", ".join([f"query {dict(rows.dtypes)['query']}", CHOSEN, *(f"{c} {'boolean' if t == pa.bool_() else 'string'}" for c, t in (more or {}).items())])
+    return dealt.mapInArrow(choose, shape)
 
 
 def walked(starts: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int, limit: int, *, targets: DataFrame | None = None,
@@ -94,7 +122,6 @@ def walked(starts: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int, li
     asked = None if targets is None else targets.select("query", F.col("key").alias("next")).distinct().withColumn("target", F.lit(True))
     walks = cut(_begun(starts.join(nodes.select("key").distinct(), "key", "left_semi")))
     claimed, results = walks.select("query", "key"), None
-    kind = dict(starts.dtypes)["query"]
     for level in range(1, depth + 1):
         last = level == depth
         sizes = walks.groupBy("query").agg(F.count(F.lit(1)).cast("int").alias("here"))
@@ -111,29 +138,28 @@ def walked(starts: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int, li
         counts = F.col("target") if asked is not None else F.col("behaves") | ~is_context(F.col("relation"))
         rows = steps.select("query", "place", "here", "rank", "next", "relation", "direction", "target", counts.alias("counts"))
 
-        def choose(group: pd.DataFrame) -> pd.DataFrame:
-            taken, out, found, queued = set(), [], 0, 0
-            for place, some in group.sort_values(["place", "rank"]).groupby("place", sort=True):
-                own = 0
-                for r in some.itertuples():
-                    if r.next in taken:
-                        continue
-                    result = -1
-                    if r.counts and found < limit:
-                        result, found = found, found + 1
-                    goes_on = not r.target and not last
-                    enters = goes_on and r.here - place - 1 + queued < waiting
-                    if result >= 0 or goes_on:
-                        out.append((r.query, r.next, r.relation, r.direction, place, result, queued if enters else -1, goes_on))
-                    if goes_on:
-                        taken.add(r.next)
-                        queued += enters
-                        own += 1
-                        if own >= branches:
-                            break
-            return pd.DataFrame(out, columns=["query", "next", "relation", "direction", "place", "result", "queued", "claimed"])
-
-        chosen = cut(rows.groupBy("query").applyInPandas(choose, f"query {kind}, {CHOSEN}"))
+        def begin() -> Callable:
+            taken, now, own, found, queued = set(), None, 0, 0, 0
+
+            def take(place, here, rank, next, relation, direction, target, counts):
+                nonlocal now, own, found, queued
+                if place != now:
+                    now, own = place, 0
+                if own >= branches or next in taken:
+                    return None
+                result, goes_on = -1, not target and not last
+                if counts and found < limit:
+                    result, found = found, found + 1
+                enters = goes_on and here - place - 1 + queued < waiting
+                out = (next, relation, direction, place, result, queued if enters else -1, goes_on) if result >= 0 or goes_on else None
+                if goes_on:
+                    taken.add(next)
+                    queued, own = queued + enters, own + 1
+                return out
+
+            return take
+
+        chosen = cut(_chosen(rows, begin))
         grown = cut(_longer(walks, chosen))
         new = grown.filter("result >= 0").select("query", F.lit(level).alias("level"), "result", "nodes", "relations", "directions")
         results = new if results is None else results.unionByName(new)
@@ -223,8 +249,6 @@ def spread(starts: DataFrame, nodes: DataFrame, edges: DataFrame, queries: DataF
     walks = _begun(starts.join(nodes.select("key").distinct(), "key", "left_semi"))
     walks = cut(walks.join(named.select(F.col("next").alias("key"), label(F.col("node")).alias("entry")), "key"))
     claimed = walks.select("query", "key")
-    kind = dict(starts.dtypes)["query"]
-    shape = f"query {kind}, {CHOSEN}, behaves boolean, entry string"
     results = None
     for level in range(1, depth + 1):
         last = level == depth
@@ -238,37 +262,45 @@ def spread(starts: DataFrame, nodes: DataFrame, edges: DataFrame, queries: DataF
             "rank": F.row_number().over(W.partitionBy("query", "place").orderBy(*best)),
             "of_kind": F.row_number().over(W.partitionBy("query", "place", "behaves").orderBy(*best)),
         }).filter(F.col("of_kind") <= MOST + 2 * FRONTIER * SPREAD)
-        rows = steps.select("query", "place", "rank", "next", "relation", "direction", "behaves", "entry")
-        before = starts.sparkSession.createDataFrame([], f"of {kind}, behaves boolean, entry string") if results is None else results.select(*(F.col(a).alias(b) for a, b in (("query", "of"), ("behaves", "behaves"), ("entry", "entry"))))
-
-        def choose(group: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-            of_entry = held[held.behaves].entry.str.lower().value_counts().to_dict()
-            doing, idle = int(held.behaves.sum()), int((~held.behaves).sum())
-            taken, out, found, queued = set(), [], 0, 0
-            for place, some in group.sort_values(["place", "rank"]).groupby("place", sort=True):
-                own = 0
-                for r in some.itertuples():
-                    if r.next in taken:
-                        continue
-                    entry, result = r.entry.lower(), -1
-                    if r.behaves and of_entry.get(entry, 0) < OF_ENTRY:
-                        of_entry[entry] = of_entry.get(entry, 0) + 1
-                        doing, result, found = doing + 1, found, found + 1
-                    elif not r.behaves and idle < most:
-                        idle, result, found = idle + 1, found, found + 1
-                    if result >= 0 or not last:
-                        out.append((r.query, r.next, r.relation, r.direction, place, result, -1 if last else queued, not last, r.behaves, r.entry))
-                    if last:
-                        continue
-                    taken.add(r.next)
-                    queued, own = queued + 1, own + 1
-                    if doing >= most or own >= SPREAD or queued >= FRONTIER:
-                        break
-                if not last and (doing >= most or queued >= FRONTIER):
-                    break
-            return pd.DataFrame(out, columns=["query", "next", "relation", "direction", "place", "result", "queued", "claimed", "behaves", "entry"])
-
-        chosen = cut(rows.groupBy("query").cogroup(before.groupBy("of")).applyInPandas(choose, shape))
+        rows = steps.select("query", "place", "rank", "next", "relation", "direction", "behaves", "entry", F.lit(0).cast("long").alias("held"))
+        if results is not None:  # what a query has so far comes before its rows, counted
+            none = F.lit(None).cast("string")
+            held = results.groupBy("query", "behaves", "entry").agg(F.count(F.lit(1)).alias("held"))
+            rows = rows.unionByName(held.select("query", F.lit(-1).alias("place"), F.lit(0).alias("rank"), none.alias("next"), none.alias("relation"), none.alias("direction"), "behaves", "entry", "held"))
+
+        def begin() -> Callable:
+            of_entry, doing, idle = {}, 0, 0
+            taken, now, own, found, queued, over = set(), None, 0, 0, 0, False
+
+            def take(place, rank, next, relation, direction, behaves, entry, held):
+                nonlocal doing, idle, now, own, found, queued, over
+                called = entry.lower()
+                if held:
+                    doing, idle = (doing + held, idle) if behaves else (doing, idle + held)
+                    if behaves:
+                        of_entry[called] = of_entry.get(called, 0) + held
+                    return None
+                if place != now:
+                    now, own = place, 0
+                if over or own >= SPREAD or next in taken:
+                    return None
+                result = -1
+                if behaves and of_entry.get(called, 0) < OF_ENTRY:
+                    of_entry[called] = of_entry.get(called, 0) + 1
+                    doing, result, found = doing + 1, found, found + 1
+                elif not behaves and idle < most:
+                    idle, result, found = idle + 1, found, found + 1
+                if last:
+                    return (next, relation, direction, place, result, -1, False, behaves, entry) if result >= 0 else None
+                out = (next, relation, direction, place, result, queued, True, behaves, entry)
+                taken.add(next)
+                queued, own = queued + 1, own + 1
+                over = doing >= most or queued >= FRONTIER
+                return out
+
+            return take
+
+        chosen = cut(_chosen(rows, begin, {"behaves": pa.bool_(), "entry": pa.string()}))
         grown = cut(_longer(walks, chosen))
         new = grown.filter("result >= 0").select("query", F.lit(level).alias("level"), "result", "nodes", "relations", "directions", "behaves", "entry")
         results = new if results is None else results.unionByName(new)

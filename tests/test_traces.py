@@ -211,3 +211,29 @@ def test_choice_keeps_two_of_an_entry_and_few_tests(spark):
     assert score[(1, 0)] == pytest.approx(5 * 18 + 105 * 0.7 + 18 * 0.25 - 2)
     assert score[(1, 2)] == pytest.approx(5 * 18 + 95 * 0.7 - 70 - 2)
     assert score[(1, 6)] == pytest.approx(5 * 18 + 95 * 0.7 + 18 * 0.25 - 2)
+
+
+def test_choices_of_many_queries_are_dealt_over_tasks_and_streamed(spark):
+    """Few rows of many queries: every task takes some, a query that lies in two batches keeps its state, rows come in order."""
+    from pyspark.sql import functions as F
+
+    def begin():
+        seen = []
+
+        def take(place, rank, next):
+            seen.append((place, rank))
+            return (next, "calls", "outgoing", place, len(seen), -1, seen == sorted(seen))
+
+        return take
+
+    rows = spark.range(40).select(F.col("id").alias("query"), F.explode(F.sequence(F.lit(6), F.lit(0), F.lit(-1))).alias("rank"))
+    rows = rows.select("query", (F.col("rank") % 2).cast("int").alias("place"), "rank", F.concat_ws("/", "query", "rank").alias("next"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = traces._chosen(rows, begin).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len({r["task"] for r in got}) == 4
+    order = [0, 2, 4, 6, 1, 3, 5]
+    assert sorted((r["query"], r["result"], r["next"]) for r in got) == [(q, i + 1, f"{q}/{n}") for q in range(40) for i, n in enumerate(order)]
+    assert all(r["claimed"] for r in got)
