@@ -82,24 +82,50 @@ def gaps(unresolved: DataFrame, seeds: DataFrame, limit: int = GAPS) -> DataFram
 def chains(edges: DataFrame, pairs: DataFrame, depth: int = CHAIN_DEPTH) -> DataFrame:
     """(start, target, nodes, relations): the shortest call chain of each pair (start, target), of those the first by its nodes.
 
-    How far each node is from the targets is found for all of them at once, backwards; then each chain takes the least
-    node that is one step nearer, one join a step for all pairs.
+    Pairs are numbered and searched from both ends, half the depth each, so that what is reached grows with the square
+    root of a whole search. Of the nodes where the halves of a shortest chain meet the way back to the start is marked;
+    then each chain takes the least node that is one step nearer, one join a step for all pairs.
     """
     steps = cut(graph.call_edges(edges).groupBy(F.col("src").alias("key"), F.col("dst").alias("next")).agg(F.min("relation").alias("relation")))
     pairs = pairs.filter("start <> target").distinct()
-    places = cut(numbered(pairs.select(F.col("target").alias("key"))))
-    away = cut(reached(steps.select(F.col("next").alias("key"), F.col("key").alias("next")), places, depth))
-    bits = places.withColumnsRenamed({"key": "target"})
-    near = away.withColumnsRenamed({"key": "next", "depth": "left"})
-    at = pairs.join(bits, "target").join(away.withColumnRenamed("key", "start"), ["start", "word"]).filter("(shiftrightunsigned(bits, bit) & 1) = 1")
-    at = cut(at.select("start", "target", "word", "bit", F.col("start").alias("key"), F.col("depth").alias("left"), F.array("start").alias("nodes"), F.array().cast("array<string>").alias("relations")))
-    done = at.filter("left = 0").select("start", "target", "nodes", "relations")
-    for _ in range(depth):
-        nearer = at.withColumn("left", F.col("left") - 1).join(steps, "key").join(near, ["next", "word", "left"]).filter("(shiftrightunsigned(bits, bit) & 1) = 1")
-        best = nearer.groupBy("start", "target", "word", "bit", "left").agg(F.min(F.struct("next", "relation", "nodes", "relations")).alias("b"))
-        at = cut(best.select("start", "target", "word", "bit", F.col("b.next").alias("key"), "left", F.concat("b.nodes", F.array("b.next")).alias("nodes"), F.concat("b.relations", F.array("b.relation")).alias("relations")))
-        done = done.unionByName(at.filter("left = 0").select("start", "target", "nodes", "relations"))
-        at = at.filter("left > 0")
+    # pairs of one start, and of one target as far as keys are alike, share words
+    places = cut(numbered(pairs.select(F.struct("start", "target").alias("key"))).select("key.*", "word", "bit"))
+    ends = {who: places.select(F.col(who).alias("key"), "word", "bit") for who in ("start", "target")}
+    ahead = cut(reached(steps.select("key", "next"), ends["start"], (depth + 1) // 2).withColumnRenamed("depth", "gone"))
+    back = cut(reached(steps.select(F.col("next").alias("key"), F.col("key").alias("next")), ends["target"], depth // 2).withColumnRenamed("depth", "left"))
+    both = ahead.withColumnRenamed("bits", "mine").join(back, ["key", "word"]).withColumn("bits", F.col("mine").bitwiseAND(F.col("bits"))).filter("bits <> 0")
+    met = cut(both.select("key", "word", "bits", "gone", "left"))
+    each = F.expr("filter(sequence(0, 63), b -> (shiftrightunsigned(bits, b) & 1) = 1)")
+    # a pair's distance is its least sum of two halves; of the sums that give it the last meeting on the way counts
+    lengths = met.groupBy("word", "gone", "left").agg(F.bit_or("bits").alias("bits")).select("word", "gone", "left", F.explode(each).alias("bit")).groupBy("word", "bit").agg(F.min(F.struct((F.col("gone") + F.col("left")).alias("steps"), (-F.col("gone")).alias("gone"))).alias("m"))
+    lengths = cut(lengths.select("word", "bit", F.col("m.steps").alias("steps"), (-F.col("m.gone")).alias("gone")))
+    of_word = lengths.groupBy("word", "gone", (F.col("steps") - F.col("gone")).alias("left")).agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("own"))
+    own = met.join(of_word, ["word", "gone", "left"]).withColumn("bits", F.col("bits").bitwiseAND(F.col("own"))).filter("bits <> 0")
+    own = cut(own.select("key", "word", "gone", "bits"))
+    # (next, word, gone, bits): nodes of the first half that lie on a shortest chain of a pair
+    lies = marked = own
+    for gone in range((depth + 1) // 2, 1, -1):
+        here = lies.filter(F.col("gone") == gone).select(F.col("key").alias("next"), "word", F.col("bits").alias("mine"))
+        before = here.join(steps, "next").groupBy("key", "word").agg(F.bit_or("mine").alias("mine"))
+        before = before.join(ahead.filter(F.col("gone") == gone - 1), ["key", "word"]).withColumn("bits", F.col("bits").bitwiseAND(F.col("mine"))).filter("bits <> 0")
+        before = cut(before.select("key", "word", "gone", "bits"))
+        marked = marked.unionByName(before)
+        lies = own.unionByName(before)
+    marked = cut(marked.groupBy(F.col("key").alias("next"), "word", F.col("gone").alias("at")).agg(F.bit_or("bits").alias("bits")))
+    near = back.withColumnsRenamed({"key": "next"})
+    none = F.array().cast("array<string>")
+    at = cut(places.join(lengths, ["word", "bit"]).select("start", "target", "word", "bit", "steps", "gone", F.col("start").alias("key"), F.array("start").alias("nodes"), none.alias("relations")))
+    done = None
+    for n in range(1, depth + 1):
+        moved = at.withColumns({"at": F.lit(n), "left": F.col("steps") - n}).join(steps, "key")
+        first = moved.filter(F.col("at") <= F.col("gone")).join(marked, ["next", "word", "at"])
+        second = moved.filter(F.col("at") > F.col("gone")).join(near, ["next", "word", "left"])
+        nearer = first.select(*moved.columns, "bits").unionByName(second.select(*moved.columns, "bits")).filter("(shiftrightunsigned(bits, bit) & 1) = 1")
+        best = nearer.groupBy("start", "target", "word", "bit", "steps", "gone").agg(F.min(F.struct("next", "relation", "nodes", "relations")).alias("b"))
+        at = cut(best.select("start", "target", "word", "bit", "steps", "gone", F.col("b.next").alias("key"), F.concat("b.nodes", F.array("b.next")).alias("nodes"), F.concat("b.relations", F.array("b.relation")).alias("relations")))
+        ended = at.filter(F.col("steps") == n).select("start", "target", "nodes", "relations")
+        done = ended if done is None else done.unionByName(ended)
+        at = at.filter(F.col("steps") > n)
         if at.isEmpty():
             break
     return done

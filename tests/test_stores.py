@@ -132,3 +132,43 @@ def test_a_fact_stream_is_written_by_several_tasks(spark, sf_dir):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert len([n for n in os.listdir(paths[0].removeprefix("file://")) if n.startswith("part-")]) > 1
     assert facts.problems(facts.parsed(spark, paths)).count() == 0
+
+
+def test_chains_are_searched_from_both_ends(spark, monkeypatch):
+    """Random graphs, with pairs in one another's way, against a search for each; neither end is searched over half the depth."""
+    import random
+
+    from cairnwork.operators import seeds
+
+    depths, whole = [], seeds.reached
+    monkeypatch.setattr(seeds, "reached", lambda steps, places, depth: depths.append(depth) or whole(steps, places, depth))
+    r = random.Random(7)
+    edges = sorted({(f"k{r.randrange(150):03}", f"k{r.randrange(150):03}", r.choice(["calls", "possible-calls", "reads"])) for _ in range(330)})
+    pairs = sorted({(f"k{r.randrange(150):03}", f"k{r.randrange(150):03}") for _ in range(400)})
+    steps = {}
+    for a, b, rel in edges:
+        if rel != "reads":
+            steps.setdefault(a, {})[b] = min(rel, steps.get(a, {}).get(b, rel))
+
+    def first(start, target, depth):
+        at = {start: ((start,), ())}
+        seen = {start}
+        for _ in range(depth):
+            new = {}
+            for k in at:
+                for n, rel in steps.get(k, {}).items():
+                    if n not in seen:
+                        path = (at[k][0] + (n,), at[k][1] + (rel,))
+                        new[n] = min(path, new.get(n, path))
+            seen |= set(new)
+            if target in new:
+                return new[target]
+            at = new
+        return None
+
+    e, p = spark.createDataFrame(edges, "src string, dst string, relation string"), spark.createDataFrame(pairs, "start string, target string")
+    for depth in (8, 5, 1):
+        want = {(a, b): first(a, b, depth) for a, b in pairs if a != b}
+        got = {(x["start"], x["target"]): (tuple(x["nodes"]), tuple(x["relations"])) for x in seeds.chains(e, p, depth).collect()}
+        assert got == {k: v for k, v in want.items() if v}
+    assert max(depths) == 4
