@@ -25,16 +25,20 @@ class LexicalIndex:
     n: int
     tokens: int
 
-    def _scored(self, hits: DataFrame) -> DataFrame:
+    def _gains(self, hits: DataFrame) -> DataFrame:
+        """hits, postings with other columns, with the gain of each."""
         mean = self.tokens / self.n if self.n and self.tokens else 1.0
-        idf = F.log1p((F.lit(self.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         k1, b = retrieval.K1, retrieval.B
         gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(mean)))
-        return hits.groupBy("query_id", "doc_id").agg(F.sum(idf * gain).alias("score"))
+        return hits.withColumn("gain", retrieval.idf(F.lit(self.n), F.col("df")) * gain)
+
+    def gains(self, queries: DataFrame) -> DataFrame:
+        """(doc_id, term, gain) of the postings of the terms of queries (query_id, term)."""
+        return self._gains(self.postings.join(queries.select("term").distinct(), "term", "left_semi")).select("doc_id", "term", "gain")
 
     def search(self, queries: DataFrame) -> DataFrame:
         """(query_id, doc_id, score) of every document with a term of a query; queries: (query_id, term)."""
-        return self._scored(self.postings.join(queries, "term"))
+        return retrieval.summed(self.gains(queries), queries, self.n)
 
     def search_terms(self, queries: dict[int, list[str]]) -> DataFrame:
         """search() for queries at hand: their terms reach the scan, which skips all row groups without one."""
@@ -44,7 +48,8 @@ class LexicalIndex:
         if not terms or len(terms) > FILTERED:
             spark = self.postings.sparkSession
             return self.search(spark.createDataFrame([(q, t) for t, q in pairs], "query_id long, term string"))
-        return self._scored(self._of(terms).select("*", F.explode(F.element_at(asked, F.col("term"))).alias("query_id")))
+        hits = self._gains(self._of(terms)).select("doc_id", "gain", F.explode(F.element_at(asked, F.col("term"))).alias("query_id"))
+        return hits.groupBy("query_id", "doc_id").agg(F.sum("gain").alias("score"))
 
     def _of(self, terms: list[str]) -> DataFrame:
         """The postings of terms, at most FILTERED, as a filter that skips row groups."""
